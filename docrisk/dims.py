@@ -229,3 +229,56 @@ DEDUP_HORIZON = "10 minutes"
 SUSPICIOUS_FROM = 46
 ARITHMETIC_BONUS = 10
 AMOUNT_TOLERANCE = 0.01
+
+# --- fixed values: error and fallback texts ----------------------------------------------------
+NO_UPLOAD = "Dosya alınamadı. image, file veya video alanı bulunamadı."
+EMPTY_FILE = "Dosya boş."
+TOO_LARGE = "maxFileSize exceeded"
+UNSUPPORTED_TYPE = "Desteklenmeyen dosya türü."
+EMPTY_ANSWER = "OpenAI boş cevap döndürdü."
+INVALID_ANSWER = {
+    "statement": "Hesap özeti analiz sonucu geçersiz.",
+    "video": "Video analiz sonucu geçersiz.",
+    "receipt": "OpenAI geçerli JSON döndürmedi.",
+}
+INVALID_ADDRESS = "Geçerli bir TRON adresi girin."
+NO_ACCOUNT = "Crypto analizinde hata oluştu."
+EVIDENCE_DEFAULT = {"receipt": "Analiz tamamlandı.", "video": "Video analizi tamamlandı."}
+
+# --- fixed values: message texts -----------------------------------------------------------------
+RULE_LINE = "━━━━━━━━━━━━━━"
+REPORT_TITLES = {"receipt": "ANALİZ SONUCU", "statement": "HESAP ÖZETİ ANALİZİ"}
+REPORT_NOTE = (
+    "Bu sonuç yalnızca otomatik ön inceleme sonucudur.\n"
+    "Kesin gerçeklik veya sahtecilik kararı değildir."
+)
+SUMMARY_DEFAULT = "Analiz tamamlandı."
+CLAIM_TITLE = "KULLANICI BİLGİSİ KONTROLÜ"
+CLAIM_CONSISTENT = "Girilen bilgiler dekontta görünen bilgilerle uyumlu görünüyor."
+CLAIM_MISMATCH = "UYARI: Girilen bilgiler ile dekont arasında farklılık bulundu."
+CLAIM_UNVERIFIED = "Girilen bilgilerin bazıları dekont üzerinden güvenilir şekilde doğrulanamadı."
+CLAIM_NOTE = "Bu kontrol risk skoruna dahil edilmemiştir."
+FIELD_MISMATCH = "Uyuşmuyor."
+
+ROUTE_MESSAGES = {
+    "no_original": "Orijinal belge mesajı bulunamadı.\n\nLütfen belgeyi tekrar gönder.",
+    "no_file": "Belge dosyası okunamadı.\n\nLütfen belgeyi tekrar gönder.",
+    "invalid_choice": "Geçersiz analiz seçimi.",
+    "statement_video": (
+        "Hesap özeti analizi için video desteklenmiyor.\n\n"
+        "Lütfen hesap özetini PDF veya fotoğraf olarak gönder."
+    ),
+    "ask_file": "Lütfen analiz etmek istediğin belgeyi gönder.",
+    "unsupported_file": "Bu dosya türü desteklenmiyor.\n\nLütfen PDF, fotoğraf veya video gönder.",
+    "menu": "Belge alındı.\n\nŞimdi hangi analiz yapılacağını seç:",
+    "welcome": "Dekont, hesap özeti veya belge gönder.",
+    "help": "Önce analiz etmek istediğin belgeyi gönder.",
+}
+DIGIT_STATES = {
+    "no_text": "Analiz edilecek metin bulunamadı.",
+    "too_few": "Karşılaştırma için yeterli rakam bulunamadı.",
+    "no_repeats": "Aynı rakamın yeterli tekrarı bulunamadı.",
+    "ready": "Rakam karakterleri mikro tutarlılık analizi için hazır.",
+}
+PROCESS_ERROR = "işlem hatası."
+UNKNOWN_ERROR = "Bilinmeyen hata"

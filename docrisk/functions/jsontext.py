@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrisk.functions.values import BLANK, strip
@@ -20,36 +20,36 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(c, rf"{BLANK}*```\z", "")
 
 
-def parse_strict(text: Column) -> Column:
-    """Parse a text that holds exactly one JSON value; NULL otherwise.
-
-    ``try_parse_json`` alone ignores anything after the first value.
-    """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_SENTINEL}"]')))
-    return F.when(
-        F.try_variant_get(wrapped, "$[1]", "string") == _SENTINEL, F.try_variant_get(wrapped, "$[0]", "variant")
-    )
-
-
 def braced(text: Column) -> Column:
     """The part from the first { to the last }, NULL when there is none."""
-    start = F.instr(text, "{")
-    end = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    return F.when((start > 0) & (F.instr(text, "}") > 0) & (end > start), text.substr(start, end - start + 1))
+    return F.regexp_substr(text, F.lit(r"(?s)\{.*\}"))
 
 
-def parse_lenient(text: Column) -> Column:
-    """Parse after removing fences; failing that, parse the braced part; else NULL."""
-    c = strip_fences(text)
-    return F.when(text != "", F.coalesce(parse_strict(c), parse_strict(braced(c))))
+def _wrapped(text: Column) -> Column:
+    # try_parse_json ignores anything after the first value, hence the array with a sentinel
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_SENTINEL}"]')))
 
 
-def parse_object(text: Column) -> Column:
-    """``parse_lenient`` restricted to objects and arrays; null and scalars give NULL.
+def _is_whole(wrapped: Column) -> Column:
+    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == _SENTINEL, F.lit(False))
 
-    Tells them apart by the first character, which is cheaper than asking the parsed value.
+
+def parse_lenient(df: DataFrame, text: str, out: str, objects_only: bool = False) -> DataFrame:
+    """Add ``out``: the variant a text holds, after removing fences; failing that, the variant
+    its braced part holds; else NULL.
+
+    ``objects_only`` also turns null and scalars into NULL. They are told apart by the first
+    character of the text, which is cheaper than asking the parsed value. The text is parsed once,
+    its braced part only where that failed.
     """
-    c = strip_fences(text)
-    whole, inner = parse_strict(c), parse_strict(braced(c))
-    container = F.substring(c, 1, 1).isin("{", "[")
-    return F.when(text != "", F.when(container, F.coalesce(whole, inner)).when(whole.isNull(), inner))
+    whole = _is_whole(F.col("_all"))
+    staged = (
+        df.withColumn("_clean", strip_fences(F.col(text)))
+        .withColumn("_all", _wrapped(F.col("_clean")))
+        .withColumn("_part", F.when(~whole, _wrapped(braced(F.col("_clean")))))
+    )
+    wanted = F.substring("_clean", 1, 1).isin("{", "[") if objects_only else F.lit(True)
+    value = F.when(whole & wanted, F.try_variant_get("_all", "$[0]", "variant")).when(
+        _is_whole(F.col("_part")), F.try_variant_get("_part", "$[0]", "variant")
+    )
+    return staged.withColumn(out, value).drop("_clean", "_all", "_part")

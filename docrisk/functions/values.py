@@ -7,6 +7,8 @@ differences; nothing here needs a Python worker.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,19 +126,19 @@ def if_truthy(value: Column) -> Column:
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    """Limit to [low, high]; NULL stays NULL (greatest/least alone would skip it)."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+    """Limit a non-NULL value to [low, high]; greatest and least skip NULL, so guard before."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
 def half_up(value: Column) -> Column:
-    """Round a non-negative double half up to int.
-
-    Exact where adding one half first is not: the fraction of a double has no rounding error.
-    """
-    whole = F.floor(value)
-    return F.when(value - whole >= 0.5, whole + 1).otherwise(whole).cast("int")
+    """Round a non-negative double half up to int."""
+    return F.round(value).cast("int")
 
 
 def finite(value: Column) -> Column:
-    """The double unless it is NaN or infinite."""
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    """The double unless it is NaN or infinite (NaN sorts above every number)."""
+    return F.when(is_finite(value), value)
+
+
+def is_finite(value: Column) -> Column:
+    return value.between(-sys.float_info.max, sys.float_info.max)

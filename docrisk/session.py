@@ -13,6 +13,9 @@ SQL_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes of bytecode. The scoring folds exceed
+    # that as one whole-stage method and run several times faster as split projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
