@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrisk.functions.values import BLANK, strip
+from docrisk.functions.values import BLANKS, strip
 
 # Appended after the text inside one array: if the text closes that array early, or holds more
 # than one value, the sentinel is not the second element and the text is rejected.
 _SENTINEL = "\u241eend"
 
 
-def strip_fences(text: Column) -> Column:
-    """Drop a leading ```json or ``` line and a trailing ``` from a stripped text."""
-    c = strip(text)
-    c = F.regexp_replace(c, rf"(?i)^```json{BLANK}*", "")
-    c = F.regexp_replace(c, rf"^```{BLANK}*", "")
-    return F.regexp_replace(c, rf"{BLANK}*```\z", "")
+def strip_fences(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: the stripped text without a leading ```json or ``` and a trailing ```.
+
+    Looks at both ends only; patterns would walk through the whole text several times.
+    """
+    blanks = F.lit(BLANKS)
+    c = F.col(out)
+    end = F.length(c) - 3
+    return (
+        df.withColumn(out, strip(F.col(text)))
+        .withColumn(out, F.when(F.lower(F.left(c, F.lit(7))) == "```json", F.ltrim(F.substring(c, 8, 2**31 - 1), blanks)).otherwise(c))
+        .withColumn(out, F.when(c.startswith("```"), F.ltrim(F.substring(c, 4, 2**31 - 1), blanks)).otherwise(c))
+        .withColumn(out, F.when(c.endswith("```"), F.rtrim(F.left(c, end), blanks)).otherwise(c))
+    )
 
 
 def braced(text: Column) -> Column:
@@ -44,7 +52,7 @@ def parse_lenient(df: DataFrame, text: str, out: str, objects_only: bool = False
     """
     whole = _is_whole(F.col("_all"))
     staged = (
-        df.withColumn("_clean", strip_fences(F.col(text)))
+        strip_fences(df, text, "_clean")
         .withColumn("_all", _wrapped(F.col("_clean")))
         .withColumn("_part", F.when(~whole, _wrapped(braced(F.col("_clean")))))
     )

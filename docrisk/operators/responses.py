@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docrisk import dims
 from docrisk.functions.jsontext import parse_lenient
-from docrisk.functions.values import finite, is_exactly, kind, member, number, text_of
+from docrisk.functions.values import is_exactly, kind, member, number, text_of
 
 __all__ = ["parse_lenient", "parse_responses", "receipt_fields", "statement_fields", "explode_checks", "violations"]
 
@@ -21,23 +21,6 @@ def _texts(value: Column, path: str) -> Column:
     return F.try_variant_get(value, f"$.{path}", "array<string>")
 
 
-def _number(value: Column, path: str) -> Column:
-    return finite(number(member(value, path)))
-
-
-def _common_fields(v: Column) -> dict[str, Column]:
-    return {
-        "model_risk": F.coalesce(_number(v, "overallRisk"), F.lit(0.0)),
-        "model_label": text_of(v, "riskLabel"),
-        "confidence": F.coalesce(_number(v, "confidence"), F.lit(0.0)),
-        "summary": text_of(v, "summary"),
-        "model_categories": F.struct(
-            *[_number(v, f"categories.{c}").cast("int").alias(c) for c in dims.CATEGORY_WEIGHTS]
-        ),
-        "limitations": _texts(v, "limitations"),
-    }
-
-
 _RAW_CHECKS = (
     "struct<" + ",".join(f"{n}:struct<status:string,score:variant,evidence:string>" for n in dims.CHECK_NAMES) + ">"
 )
@@ -48,37 +31,51 @@ def receipt_fields(df: DataFrame, response: str = "response", shared: str | None
 
     The fields every kind of response has are read from ``shared``, by default the same column.
 
-    A check score is 0 for JSON null and NULL when it is missing or no number. ``amount`` keeps
+    A check score is 0 for JSON null and NULL when it is missing or no number (infinite ones are
+    left to the engine, which skips them). ``amount`` keeps
     what the arithmetic bonus asks: is the flag exactly false, are the totals other than JSON
     null (a missing total counts as given), how large is the difference.
     """
-    v = F.col(response)
+    v, every = F.col(response), F.col(shared or response)
     raw = F.col("_raw")
-    # one lambda for all scores: 25 copies of the number rule would not be worth their code size
-    scores = F.transform(F.array(*[raw[n]["score"] for n in dims.CHECK_NAMES]), lambda s: finite(number(s)))
-    checks = F.struct(
-        *[
-            F.struct(
-                raw[n]["status"].alias("status"),
-                F.get(F.col("_scores"), F.lit(i)).alias("score"),
-                raw[n]["evidence"].alias("evidence"),
-            ).alias(n)
-            for i, n in enumerate(dims.CHECK_NAMES)
-        ]
-    )
+    # all numbers go through one lambda: 33 copies of its rule would not be worth their code size
+    sources = {f"checks.{n}": raw[n]["score"] for n in dims.CHECK_NAMES}
+    sources |= {n: member(every, n) for n in ("overallRisk", "confidence")}
+    sources |= {c: member(every, f"categories.{c}") for c in dims.CATEGORY_WEIGHTS}
+    sources["difference"] = member(v, "amountAnalysis.difference")
+    numbers = F.transform(F.array(*sources.values()), number)
+    at = {name: F.get(F.col("_numbers"), F.lit(i)) for i, name in enumerate(sources)}
 
     def not_null(path: str) -> Column:
         return ~F.is_variant_null(member(v, path))
 
-    amount = F.struct(
-        is_exactly(member(v, "amountAnalysis.calculationConsistent"), False).alias("inconsistent"),
-        not_null("amountAnalysis.calculatedTotal").alias("calculated_given"),
-        not_null("amountAnalysis.totalAmount").alias("total_given"),
-        _number(v, "amountAnalysis.difference").alias("difference"),
-        text_of(v, "amountAnalysis.evidence").alias("evidence"),
-    )
-    staged = df.withColumn("_raw", F.try_variant_get(v, "$.checks", _RAW_CHECKS)).withColumn("_scores", scores)
-    return staged.withColumns(_common_fields(F.col(shared or response)) | {"checks": checks, "amount": amount}).drop("_raw", "_scores")
+    columns = {
+        "model_risk": F.coalesce(at["overallRisk"], F.lit(0.0)),
+        "model_label": text_of(every, "riskLabel"),
+        "confidence": F.coalesce(at["confidence"], F.lit(0.0)),
+        "summary": text_of(every, "summary"),
+        "model_categories": F.struct(*[at[c].cast("int").alias(c) for c in dims.CATEGORY_WEIGHTS]),
+        "limitations": _texts(every, "limitations"),
+        "checks": F.struct(
+            *[
+                F.struct(
+                    raw[n]["status"].alias("status"),
+                    at[f"checks.{n}"].alias("score"),
+                    raw[n]["evidence"].alias("evidence"),
+                ).alias(n)
+                for n in dims.CHECK_NAMES
+            ]
+        ),
+        "amount": F.struct(
+            is_exactly(member(v, "amountAnalysis.calculationConsistent"), False).alias("inconsistent"),
+            not_null("amountAnalysis.calculatedTotal").alias("calculated_given"),
+            not_null("amountAnalysis.totalAmount").alias("total_given"),
+            at["difference"].alias("difference"),
+            text_of(v, "amountAnalysis.evidence").alias("evidence"),
+        ),
+    }
+    staged = df.withColumn("_raw", F.try_variant_get(v, "$.checks", _RAW_CHECKS)).withColumn("_numbers", numbers)
+    return staged.withColumns(columns).drop("_raw", "_numbers")
 
 
 def statement_fields(df: DataFrame, response: str = "response") -> DataFrame:
@@ -170,12 +167,13 @@ def _bad_value(value: Column, spec) -> Column:
     """Whether a variant that is there breaks its type, enumeration or bounds."""
     k = kind(value)
     if isinstance(spec, list):
-        ok = (k == "STRING") & F.try_variant_get(value, "$", "string").isin(spec)
+        # text form: a number or flag never equals one of the words
+        ok = F.try_variant_get(value, "$", "string").isin(spec)
     elif spec in (_PERCENT, _COUNT):
         n = F.try_variant_get(value, "$", "double")
-        ok = _is_number(k) & (n == F.floor(n)) & (n >= 0)
+        ok = (n >= 0) & (n == F.floor(n)) & (k != "STRING") & (k != "BOOLEAN")
         if spec == _PERCENT:
-            ok = ok & (n <= 100)
+            ok = (n <= 100) & ok
     elif spec == "text":
         ok = k == "STRING"
     elif spec == "texts":
@@ -222,20 +220,27 @@ def _object_findings(value: Column, spec: dict, path: str) -> list[Column]:
 
 
 def _check_findings(checks: Column) -> list[Column]:
-    """Rules over the check map, evaluated once per entry instead of once per check name."""
+    """Rules over the check map, tested per entry; what is wrong is spelt out for broken ones only."""
     entries = F.try_variant_get(checks, "$", "map<string,variant>")
+    parts = F.try_variant_get(checks, "$", "map<string,map<string,variant>>")
     names = F.array(*[F.lit(n) for n in dims.CHECK_NAMES])
-    known = F.map_values(F.map_filter(entries, lambda n, _: F.array_contains(names, n)))
 
-    def broken(check: Column) -> Column:
-        parts = _object_findings(check, _CHECK, "checks.*")
-        return F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))
+    def keeps_contract(check: Column) -> Column:
+        ok = F.size(check) == len(_CHECK)
+        for name, part in _CHECK.items():
+            ok = ok & ~_bad_value(F.try_element_at(check, F.lit(name)), part)
+        return F.coalesce(ok, F.lit(False))
+
+    def findings(name: Column) -> Column:
+        rules = _object_findings(F.try_element_at(entries, name), _CHECK, "checks.*")
+        return F.flatten(F.array(*[F.coalesce(r, F.array().cast("array<string>")) for r in rules]))
 
+    broken = F.map_keys(F.map_filter(parts, lambda n, c: F.array_contains(names, n) & ~keeps_contract(c)))
     return [
         F.when(entries.isNull() & checks.isNotNull(), F.array(F.lit("type:checks"))),
         F.transform(F.array_except(names, F.map_keys(entries)), lambda n: F.concat(F.lit("missing:checks."), n)),
         F.transform(F.array_except(F.map_keys(entries), names), lambda n: F.lit("unexpected:checks.*")),
-        F.flatten(F.transform(known, broken)),
+        F.flatten(F.transform(broken, findings)),
     ]
 
 

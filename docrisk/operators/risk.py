@@ -48,9 +48,9 @@ def category_risks(df: DataFrame, checks: str = "checks") -> DataFrame:
 
 def arithmetic_bonus(amount: Column) -> Column:
     """Extra points when a document's own arithmetic is given and does not add up."""
-    hit = amount["inconsistent"] & amount["calculated_given"] & amount["total_given"] & (
-        F.abs(amount["difference"]) > dims.AMOUNT_TOLERANCE
-    )
+    difference = amount["difference"]
+    off = is_finite(difference) & (F.abs(difference) > dims.AMOUNT_TOLERANCE)
+    hit = amount["inconsistent"] & amount["calculated_given"] & amount["total_given"] & off
     return F.when(hit, F.lit(dims.ARITHMETIC_BONUS)).otherwise(F.lit(0))
 
 

@@ -57,7 +57,8 @@ def route_updates(df: DataFrame) -> DataFrame:
     original = menu["reply_to_message"]
     data = callback["data"]
     is_callback = callback.isNotNull()
-    staged = df.withColumn("file", F.when(is_callback, message_file(original)).otherwise(message_file(message)))
+    source = F.when(is_callback, original).otherwise(message)
+    staged = df.withColumn("_source", source).withColumn("file", message_file(F.col("_source"))).drop("_source")
     file = F.col("file")
     picks_bank = is_true(data.startswith("bank:"))
     picks_statement = is_true(data == "mode:statement")
