@@ -245,6 +245,7 @@ def comparison_summary(df: DataFrame, comparison: str = "comparison") -> DataFra
 def _digit_counts(text: Column) -> tuple[Column, Column]:
     """(the digits of a text, array of (digit, n) in digit order)."""
     digits = F.regexp_replace(text, "[^0-9]+", "")
+    # the array holds ten counts whatever the length of the text
     counts = F.array(
         *[
             F.struct(F.lit(str(d)).alias("digit"),
@@ -262,7 +263,7 @@ def repeated_digits(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     nothing is shuffled. Texts with fewer than two digits have none by definition.
     """
     _, counts = _digit_counts(F.col(text))
-    return df.select(key, F.explode(F.filter(counts, lambda c: c["n"] >= 2)).alias("c")).select(key, "c.*")
+    return df.select(key, F.explode_outer(counts).alias("c")).filter(F.col("c.n") >= 2).select(key, "c.*")
 
 
 def digit_state(text: Column) -> Column:

@@ -570,7 +570,7 @@ CAPTION_LINES = [
     ("c_custkey", ["1000 TL", "1.250,50 TL", "Tutar: 99,90 EURO", "750", None, "12.45", "TL bekliyorum", "Amount 5 $", "3,5 usd"]),
     ("c_custkey", ["TR83 0013 4000 0266 0590 7001 01", "tr830013400002660590700101", None, "iban yok 123456"]),
     ("c_custkey", ["Alıcı: Mehmet Uşak", "Ayşe Can", "ALICI: X Y", "recipient- Bob", None, "1234567", "alici Zed",
-                   "  Boşluk   Var  ", "Alıcı:", "son satır", "12 345 678"]),
+                   "  Boşluk   Var  ", "Alıcı:", "son\u00a0satır", "12 345 678"]),
 ]
 CAPTION = (
     "concat_ws(CASE WHEN c_custkey % 13 = 0 THEN concat(chr(13), chr(10)) ELSE chr(10) END, "
