@@ -473,7 +473,7 @@ CLAIMS = rf"""
 raw AS (SELECT c_custkey AS k, trim(replace({a.CAPTION}, chr(13), ''), concat(' ', chr(10), chr(9))) AS t FROM customer),
 split AS (
   SELECT k, nullif(t, '') AS t,
-    [y for y in [regexp_replace(trim(x), '[\s\x{00a0}]+', ' ', 'g') for x in string_split(t, chr(10))] if y <> ''] AS lines FROM raw),
+    [y for y in [regexp_replace(trim(x), '[\s\x{{00a0}}]+', ' ', 'g') for x in string_split(t, chr(10))] if y <> ''] AS lines FROM raw),
 found AS (
   SELECT *, trim({_first(r'(?i)(?:gönderen|gonderen|sender)\s*[:\-]?\s*([^\n]+)')}) AS sender,
     trim({_first(r'(?i)(?:alıcı|alici|recipient)\s*[:\-]?\s*([^\n]+)')}) AS recipient,
