@@ -37,14 +37,17 @@ def receipt_fields(df: DataFrame, response: str = "response", shared: str | None
     null (a missing total counts as given), how large is the difference.
     """
     v, every = F.col(response), F.col(shared or response)
-    raw = F.col("_raw")
     # all numbers go through one lambda: 33 copies of its rule would not be worth their code size
-    sources = {f"checks.{n}": raw[n]["score"] for n in dims.CHECK_NAMES}
-    sources |= {n: member(every, n) for n in ("overallRisk", "confidence")}
-    sources |= {c: member(every, f"categories.{c}") for c in dims.CATEGORY_WEIGHTS}
-    sources["difference"] = member(v, "amountAnalysis.difference")
-    numbers = F.transform(F.array(*sources.values()), number)
-    at = {name: F.get(F.col("_numbers"), F.lit(i)) for i, name in enumerate(sources)}
+    sources = [f"_raw.{n}.score" for n in dims.CHECK_NAMES]
+    paths = ["overallRisk", "confidence", *[f"categories.{c}" for c in dims.CATEGORY_WEIGHTS]]
+    sources += [f"try_variant_get({shared or response}, '$.{p}', 'variant')" for p in paths]
+    sources.append(f"try_variant_get({response}, '$.amountAnalysis.difference', 'variant')")
+    numbers = F.transform(F.expr(f"array({', '.join(sources)})"), number)
+    at = {name: F.get(F.col("_numbers"), F.lit(len(dims.CHECK_NAMES) + i)) for i, name in enumerate([*paths, "difference"])}
+    checks = ", ".join(
+        f"struct(_raw.{n}.status AS status, _numbers[{i}] AS score, _raw.{n}.evidence AS evidence) AS {n}"
+        for i, n in enumerate(dims.CHECK_NAMES)
+    )
 
     def not_null(path: str) -> Column:
         return ~F.is_variant_null(member(v, path))
@@ -54,18 +57,9 @@ def receipt_fields(df: DataFrame, response: str = "response", shared: str | None
         "model_label": text_of(every, "riskLabel"),
         "confidence": F.coalesce(at["confidence"], F.lit(0.0)),
         "summary": text_of(every, "summary"),
-        "model_categories": F.struct(*[at[c].cast("int").alias(c) for c in dims.CATEGORY_WEIGHTS]),
+        "model_categories": F.struct(*[at[f"categories.{c}"].cast("int").alias(c) for c in dims.CATEGORY_WEIGHTS]),
         "limitations": _texts(every, "limitations"),
-        "checks": F.struct(
-            *[
-                F.struct(
-                    raw[n]["status"].alias("status"),
-                    at[f"checks.{n}"].alias("score"),
-                    raw[n]["evidence"].alias("evidence"),
-                ).alias(n)
-                for n in dims.CHECK_NAMES
-            ]
-        ),
+        "checks": F.expr(f"struct({checks})"),
         "amount": F.struct(
             is_exactly(member(v, "amountAnalysis.calculationConsistent"), False).alias("inconsistent"),
             not_null("amountAnalysis.calculatedTotal").alias("calculated_given"),
@@ -105,17 +99,13 @@ def statement_fields(df: DataFrame, response: str = "response") -> DataFrame:
 
 def explode_checks(df: DataFrame, keys: list[str], checks: str = "checks") -> DataFrame:
     """One row per document and check that is there: keys, check, status, score."""
-    rows = F.array(
-        *[
-            F.when(
-                F.col(checks)[n].isNotNull(),
-                F.struct(F.lit(n).alias("check"), F.col(checks)[n]["status"].alias("status"),
-                         F.col(checks)[n]["score"].alias("score")),
-            )
-            for n in dims.CHECK_NAMES
-        ]
+    rows = ", ".join(
+        f"CASE WHEN {checks}.{n} IS NOT NULL THEN "
+        f"named_struct('check', '{n}', 'status', {checks}.{n}.status, 'score', {checks}.{n}.score) END"
+        for n in dims.CHECK_NAMES
     )
-    return df.select(*keys, F.explode_outer(rows).alias("c")).filter(F.col("c").isNotNull()).select(*keys, "c.*")
+    long = df.select(*keys, F.explode_outer(F.expr(f"array({rows})")).alias("c"))
+    return long.filter(F.col("c").isNotNull()).select(*keys, "c.*")
 
 
 # --- response contract --------------------------------------------------------------------

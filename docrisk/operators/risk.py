@@ -6,6 +6,8 @@ depend on how rows were shuffled: scoring is a narrow projection without any exc
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,36 +16,44 @@ from docrisk.functions.scoring import risk_label, suspicious
 from docrisk.functions.values import clamp, half_up, is_finite, is_true
 
 
-def usable_score(check: Column) -> Column:
-    """The clamped score of a check; NULL when it is missing, unknown or no number."""
-    score = check["score"].cast("double")
-    known = ~check["status"].eqNullSafe(F.lit("unknown"))
-    return F.when(known & is_finite(score), clamp(score))
+_MAX = f"{sys.float_info.max}D"
 
 
-def category_risks(df: DataFrame, checks: str = "checks") -> DataFrame:
-    """Add ``categories``, the five category risks, from a struct or map of checks.
+def _usable(check: str) -> str:
+    """SQL: the clamped score of a check; NULL when it is missing, unknown or no number.
 
-    Each is the weighted mean over the usable checks, summed left to right; 0 without any. A
-    check that is not usable enters both sums as zero, so the fold is plain arithmetic.
+    The range test also leaves out NaN, which sorts above every number.
     """
-    scored = df.withColumn("_usable", F.array(*[usable_score(F.col(checks)[n]) for n in dims.CHECK_NAMES]))
-    value, given = {}, {}
-    for i, name in enumerate(dims.CHECK_NAMES):
-        score = F.get(F.col("_usable"), F.lit(i))
-        value[name] = F.coalesce(score, F.lit(0.0))
-        given[name] = F.when(score.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
-
-    def mean(weights: dict[str, float]) -> Column:
-        total, weight = F.lit(0.0), F.lit(0.0)
-        for name, w in weights.items():
-            total = total + value[name] * F.lit(w)
-            weight = weight + given[name] * F.lit(w)
-        # without any usable check both sums are 0, and so is the result
-        return half_up(total / F.greatest(weight, F.lit(0.1)))
-
-    categories = F.struct(*[mean(w).alias(c) for c, w in dims.CHECK_WEIGHTS.items()])
-    return scored.withColumn("categories", categories).drop("_usable")
+    score = f"CAST({check}.score AS DOUBLE)"
+    return (
+        f"CASE WHEN NOT ({check}.status <=> 'unknown') AND {score} BETWEEN -{_MAX} AND {_MAX} "
+        f"THEN greatest(0D, least(100D, {score})) END"
+    )
+
+
+def _mean(weights: dict[str, float]) -> str:
+    """SQL: the weighted mean over the usable scores, summed left to right; 0 without any.
+
+    A score that is not usable enters both sums as zero, so the fold is plain arithmetic.
+    """
+    total = weight = "0D"
+    for name, w in weights.items():
+        score = f"_usable[{dims.CHECK_NAMES.index(name)}]"
+        total += f" + coalesce({score}, 0D) * {w}D"
+        weight += f" + CASE WHEN {score} IS NOT NULL THEN {w}D ELSE 0D END"
+    # without any usable score both sums are 0, and so is the quotient
+    return f"CAST(round(({total}) / greatest({weight}, 0.1D)) AS INT)"
+
+
+def category_risks(df: DataFrame, checks: str = "checks") -> DataFrame:
+    """Add ``categories``, the five category risks, from a struct of checks."""
+    usable = ", ".join(_usable(f"`{checks}`.{n}") for n in dims.CHECK_NAMES)
+    means = ", ".join(f"{_mean(w)} AS {c}" for c, w in dims.CHECK_WEIGHTS.items())
+    return (
+        df.withColumn("_usable", F.expr(f"array({usable})"))
+        .withColumn("categories", F.expr(f"struct({means})"))
+        .drop("_usable")
+    )
 
 
 def arithmetic_bonus(amount: Column) -> Column:

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out the rows of a table that comes in fewer partitions than there are cores.
+
+    A large table has more splits than cores and is left as it is: no exchange is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(key: str, values: list[str | None], shift: int = 0) -> str:
     """SQL: one of ``values`` by key; runs in Spark and in the checking engine."""
     arms = " ".join(
@@ -46,22 +55,18 @@ def check_status(i: int, k: str = "o_orderkey") -> str:
 
 
 def _checks() -> Column:
-    return F.struct(
-        *[
-            F.when(
-                ~F.expr(check_missing(i)),
-                F.struct(
-                    F.expr(check_status(i)).alias("status"), F.expr(check_score(i)).cast("double").alias("score")
-                ),
-            ).alias(name)
-            for i, name in enumerate(dims.CHECK_NAMES)
-        ]
+    checks = ", ".join(
+        f"CASE WHEN NOT ({check_missing(i)}) THEN "
+        f"named_struct('status', {check_status(i)}, 'score', CAST({check_score(i)} AS DOUBLE)) END AS {name}"
+        for i, name in enumerate(dims.CHECK_NAMES)
     )
+    return F.expr(f"struct({checks})")
 
 
 def checked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, checks: one document per order with up to 25 check results."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), _checks().alias("checks"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.select(F.col("o_orderkey").alias("k"), _checks().alias("checks"))
 
 
 def checked_orders_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +74,8 @@ def checked_orders_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = F.explode(F.sequence(F.lit(0), F.lit(len(dims.CHECK_NAMES) - 1))).alias("i")
     names = F.array(*[F.lit(n) for n in dims.CHECK_NAMES])
     statuses = F.array(*[F.lit(s) for s in dims.CHECK_STATUSES])
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", index).filter("(o_orderkey + 3 * i) % 11 <> 0")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    rows = orders.select("o_orderkey", index).filter("(o_orderkey + 3 * i) % 11 <> 0")
     return rows.select(
         F.col("o_orderkey").alias("k"),
         F.get(names, F.col("i")).alias("check"),
@@ -124,7 +130,8 @@ def answered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 10, F.concat(F.lit("```\n"), answer, F.lit("```")))
         .otherwise(answer)
     )
-    return table(spark, sf_dir, "orders").withColumn("_a", _answer()).select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.withColumn("_a", _answer()).select(
         F.col("o_orderkey").cast("string").alias("doc_id"),
         F.expr(DOC_TYPE).alias("type"),
         F.concat(F.lit("belge"), F.col("o_orderkey").cast("string")).alias("file_name"),
@@ -164,7 +171,8 @@ def contract_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"difference":0,"calculationConsistent":'), F.when(broken == 11, "null").otherwise(F.lit("true")),
         F.lit(',"evidence":"e"}}'),
     )
-    return table(spark, sf_dir, "orders").select(k.alias("k"), text.alias("output_text"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.select(k.alias("k"), text.alias("output_text"))
 
 
 # --- invoices, from orders and lineitem ------------------------------------------------------------
@@ -580,7 +588,8 @@ CAPTION = (
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr(CAPTION).alias("text"))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return customers.select(F.col("c_custkey").alias("k"), F.expr(CAPTION).alias("text"))
 
 
 CLAIMED = {
@@ -655,7 +664,7 @@ def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         (F.lit(1000000000) + F.col("event_id")).alias("u"), F.col("props").alias("body")
     )
-    both = turns.unionByName(events)
+    both = spread(turns.unionByName(events), "u")
     return both.select("u", *[F.expr(sql).alias(name) for name, sql in CHAT.items()])
 
 

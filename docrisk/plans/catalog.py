@@ -32,10 +32,6 @@ def query(fn: Query) -> Query:
     return run
 
 
-def _text(column: str) -> F.Column:
-    return F.col(column).cast("string")
-
-
 def _money(column: str):
     return F.col(column).cast("double").alias(column)
 
