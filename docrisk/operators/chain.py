@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +51,12 @@ def _token_rules(security: Column) -> list[Rule]:
 
 
 def _scored(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    return df.withColumns(
-        {"score": rule_score(rules), "codes": rule_codes(rules), "warnings": rule_messages(rules)}
-    ).withColumn("label", risk_label(F.col("score")))
+    # the conditions once, as a list of flags: score, codes and warnings all read them
+    flags = df.withColumn("_hits", F.array(*[r.condition for r in rules]))
+    found = [replace(r, condition=F.get(F.col("_hits"), F.lit(i))) for i, r in enumerate(rules)]
+    return flags.withColumns(
+        {"score": rule_score(found), "codes": rule_codes(found), "warnings": rule_messages(found)}
+    ).withColumn("label", risk_label(F.col("score"))).drop("_hits")
 
 
 def token_risk(df: DataFrame, security: str = "security") -> DataFrame:

@@ -188,15 +188,20 @@ def reconcile_claims(claims: DataFrame, fields: DataFrame, key: str = "doc_id")
     """
     read = fields.select(key, F.struct(*[F.col(f).alias(f) for f in dims.CLAIM_FIELDS]).alias("_read"))
     joined = claims.join(read, key, "left")
+    # both sides in comparable form first: each is asked several times below
+    forms = {f"_said_{f}": comparable(f, F.col("claim")[f]) for f in dims.CLAIM_FIELDS}
+    forms |= {f"_seen_{f}": comparable(f, F.col("_read")[f]) for f in dims.CLAIM_FIELDS}
+    joined = joined.withColumns(forms)
 
     def verdict(field: str) -> Column:
-        said, seen = comparable(field, F.col("claim")[field]), comparable(field, F.col("_read")[field])
+        said, seen = F.col(f"_said_{field}"), F.col(f"_seen_{field}")
         return F.when(said.isNotNull(), F.when(seen.isNull(), "unknown").when(said == seen, "match").otherwise("mismatch"))
 
     all_fields = F.map_from_arrays(
         F.array(*[F.lit(f) for f in dims.CLAIM_FIELDS]), F.array(*[verdict(f) for f in dims.CLAIM_FIELDS])
     )
-    matches = F.map_filter(all_fields, lambda _, v: v.isNotNull())
+    joined = joined.withColumn("_matches", F.map_filter(all_fields, lambda _, v: v.isNotNull()))
+    matches = F.col("_matches")
     given = F.size(matches) > 0
     comparison = F.struct(
         F.when(given, claim_payload(F.col("claim"))).alias("provided"),
@@ -205,7 +210,7 @@ def reconcile_claims(claims: DataFrame, fields: DataFrame, key: str = "doc_id")
         matches.alias("matches"),
         F.array().cast("array<string>").alias("warnings"),
     )
-    return joined.withColumn("comparison", comparison).drop("_read")
+    return joined.withColumn("comparison", comparison).drop("_read", "_matches", *forms)
 
 
 def _labels() -> Column:
@@ -242,36 +247,38 @@ def comparison_summary(df: DataFrame, comparison: str = "comparison") -> DataFra
 # --- repeated digits -----------------------------------------------------------------------------
 
 
-def _digit_counts(text: Column) -> tuple[Column, Column]:
-    """(the digits of a text, array of (digit, n) in digit order)."""
-    digits = F.regexp_replace(text, "[^0-9]+", "")
-    # the array holds ten counts whatever the length of the text
-    counts = F.array(
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9]+", "")
+
+
+def _counts(digits: Column) -> Column:
+    """Array of (digit, n) in digit order; ten entries whatever the length of the text."""
+    return F.array(
         *[
             F.struct(F.lit(str(d)).alias("digit"),
                      (F.length(digits) - F.length(F.replace(digits, F.lit(str(d)), F.lit("")))).alias("n"))
             for d in range(10)
         ]
     )
-    return digits, counts
 
 
 def repeated_digits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digits seen at least twice in a text, with their counts.
 
-    Counted inside the row (text minus the digit), so nothing is exploded per character and
-    nothing is shuffled. Texts with fewer than two digits have none by definition.
+    Counted inside the row (digits with and without the one in question), so nothing is exploded
+    per character and nothing is shuffled. Texts with fewer than two digits have none.
     """
-    _, counts = _digit_counts(F.col(text))
-    return df.select(key, F.explode_outer(counts).alias("c")).filter(F.col("c.n") >= 2).select(key, "c.*")
+    digits = df.select(key, _digits(F.col(text)).alias("_digits")).filter(F.length("_digits") >= 2)
+    long = digits.select(key, F.explode_outer(_counts(F.col("_digits"))).alias("c"))
+    return long.filter(F.col("c.n") >= 2).select(key, "c.*")
 
 
 def digit_state(text: Column) -> Column:
     """no_text, too_few, no_repeats or ready."""
-    digits, counts = _digit_counts(text)
+    digits = _digits(text)
     return (
         F.when(first_text(text).isNull(), "no_text")
         .when(F.length(digits) < 2, "too_few")
-        .when(~F.exists(counts, lambda c: c["n"] >= 2), "no_repeats")
+        .when(~digits.rlike(r"([0-9])[0-9]*\1"), "no_repeats")
         .otherwise("ready")
     )

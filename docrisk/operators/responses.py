@@ -187,10 +187,9 @@ def _keys(value: Column) -> Column:
     return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
 
 
-def _object_findings(value: Column, spec: dict, path: str) -> list[Column]:
-    """Arrays of rule names broken by the object at ``path`` (empty path: the response)."""
+def _object_findings(value: Column, keys: Column, spec: dict, path: str) -> list[Column]:
+    """Arrays of rule names broken by the object at ``path`` (empty path: the response) itself."""
     at = f"{path}." if path else ""
-    keys = _keys(value)
     names = F.array(*[F.lit(n) for n in spec])
     found = [
         F.when(keys.isNull() & value.isNotNull(), F.array(F.lit(f"type:{path or 'response'}"))),
@@ -198,21 +197,14 @@ def _object_findings(value: Column, spec: dict, path: str) -> list[Column]:
         F.transform(F.array_except(keys, names), lambda n: F.lit(f"unexpected:{at or 'response.'}*")),
     ]
     for name, part in spec.items():
-        item = member(value, name)
-        if isinstance(part, dict):
-            found += _object_findings(item, part, f"{at}{name}")
-        elif part == "checks":
-            found += _check_findings(item)
-        else:
-            rule = F.array(F.lit(f"value:{at}{name}"))
-            found.append(F.when(item.isNotNull() & _bad_value(item, part), rule))
+        if not isinstance(part, dict) and part != "checks":
+            item = member(value, name)
+            found.append(F.when(item.isNotNull() & _bad_value(item, part), F.array(F.lit(f"value:{at}{name}"))))
     return found
 
 
-def _check_findings(checks: Column) -> list[Column]:
+def _check_findings(checks: Column, entries: Column, parts: Column) -> list[Column]:
     """Rules over the check map, tested per entry; what is wrong is spelt out for broken ones only."""
-    entries = F.try_variant_get(checks, "$", "map<string,variant>")
-    parts = F.try_variant_get(checks, "$", "map<string,map<string,variant>>")
     names = F.array(*[F.lit(n) for n in dims.CHECK_NAMES])
 
     def plainly_fine(check: Column) -> Column:
@@ -228,7 +220,8 @@ def _check_findings(checks: Column) -> list[Column]:
         return F.coalesce(ok, F.lit(False))
 
     def findings(name: Column) -> Column:
-        rules = _object_findings(F.try_element_at(entries, name), _CHECK, "checks.*")
+        check = F.try_element_at(entries, name)
+        rules = _object_findings(check, _keys(check), _CHECK, "checks.*")
         return F.flatten(F.array(*[F.coalesce(r, F.array().cast("array<string>")) for r in rules]))
 
     doubtful = F.map_keys(F.map_filter(parts, lambda n, c: ~plainly_fine(c)))
@@ -243,9 +236,23 @@ def _check_findings(checks: Column) -> list[Column]:
 
 def violations(df: DataFrame, contract: str, keys: list[str], response: str = "response") -> DataFrame:
     """One row per broken contract rule: keys, rule."""
+    spec = CONTRACTS[contract]
     v = F.col(response)
+    objects = {"": spec} | {name: part for name, part in spec.items() if isinstance(part, dict)}
+    # key lists and check maps as columns of their own, so that each is read off the variant once
+    staged = {f"_keys_{name}": _keys(member(v, name) if name else v) for name in objects}
+    checks = member(v, "checks")
+    staged["_entries"] = F.try_variant_get(checks, "$", "map<string,variant>")
+    staged["_parts"] = F.try_variant_get(checks, "$", "map<string,map<string,variant>>")
+    found = []
+    for name, part in objects.items():
+        found += _object_findings(member(v, name) if name else v, F.col(f"_keys_{name}"), part, name)
+    if "checks" in spec:
+        found += _check_findings(checks, F.col("_entries"), F.col("_parts"))
     none = F.array().cast("array<string>")
-    parts = [F.coalesce(p, none) for p in _object_findings(v, CONTRACTS[contract], "")]
-    rules = F.when(v.isNull(), F.array(F.lit("type:response"))).otherwise(F.flatten(F.array(*parts)))
+    every = F.flatten(F.array(*[F.coalesce(f, none) for f in found]))
+    rules = F.when(v.isNull(), F.array(F.lit("type:response"))).otherwise(every)
     # a plain explode would first filter on the size of the list and so work everything out twice
-    return df.select(*keys, F.explode_outer(rules).alias("rule")).filter(F.col("rule").isNotNull())
+    return (
+        df.withColumns(staged).select(*keys, F.explode_outer(rules).alias("rule")).filter(F.col("rule").isNotNull())
+    )

@@ -193,12 +193,11 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     net, tax = F.expr(LINE_NET), F.expr(LINE_TAX)
     parts = [("subtotal", net, F.lit(True)), ("vat", tax, F.lit(True)),
              ("shown_total", (net + tax).cast("decimal(18,2)"), F.col("l_orderkey") % 3 == 0)]
-    rows = F.array_compact(
-        F.array(*[F.when(cond, F.struct(F.lit(k).alias("kind"), a.alias("amount"))) for k, a, cond in parts])
-    )
+    rows = F.array(*[F.when(cond, F.struct(F.lit(k).alias("kind"), a.alias("amount"))) for k, a, cond in parts])
     from_lines = (
         table(spark, sf_dir, "lineitem")
-        .select(F.col("l_orderkey").alias("doc_id"), F.explode(rows).alias("r"))
+        .select(F.col("l_orderkey").alias("doc_id"), F.explode_outer(rows).alias("r"))
+        .filter("r is not null")
         .select("doc_id", "r.kind", "r.amount")
     )
     k = F.col("o_orderkey")
@@ -212,12 +211,11 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("discount", money(10), k % 12 == 2),
         ("other_tax", money(None), k % 39 == 0),
     ]
-    rows = F.array_compact(
-        F.array(*[F.when(cond, F.struct(F.lit(n).alias("kind"), a.alias("amount"))) for n, a, cond in extras])
-    )
+    rows = F.array(*[F.when(cond, F.struct(F.lit(n).alias("kind"), a.alias("amount"))) for n, a, cond in extras])
     from_orders = (
         table(spark, sf_dir, "orders")
-        .select(k.alias("doc_id"), F.explode(rows).alias("r"))
+        .select(k.alias("doc_id"), F.explode_outer(rows).alias("r"))
+        .filter("r is not null")
         .select("doc_id", "r.kind", "r.amount")
     )
     return from_lines.unionByName(from_orders)
