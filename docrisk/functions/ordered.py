@@ -3,9 +3,11 @@
 A plain window puts a whole group into one task. Here groups above ``hot_rows`` are cut into
 blocks of the order column: each block is scanned on its own and the totals of the blocks before
 it are added. A block spans ``span`` order values, which are unique within a group, so it holds
-at most ``span`` rows; only one row per block meets in the second, small window.
+at most ``span`` rows (twice that around zero); only one row per block meets in the second,
+small window. All other groups stay one block.
 
-All other groups stay one block, so the rows are shuffled once, as a plain window would.
+The rows are shuffled once, as a plain window would: the scan of the blocks and their totals read
+the same exchange.
 """
 
 from __future__ import annotations
@@ -17,64 +19,78 @@ HOT_ROWS = 2_000_000
 BLOCK_SPAN = 1_000_000
 
 
+def group_sizes(df: DataFrame, key: str) -> DataFrame:
+    """key, rows: partial counts per group."""
+    return df.groupBy(key).agg(F.count("*").alias("rows"))
+
+
 def ordered_scan(
     df: DataFrame,
     key: str,
     order: str,
     sums: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
+    sizes: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     span: int = BLOCK_SPAN,
 ) -> DataFrame:
     """Add running sums (current row included) and previous-row values per group.
 
     ``order`` is an integer column, unique within each ``key``. ``previous`` values are NULL on
-    the first row of a group. Groups with a NULL key are never split.
+    the first row of a group. ``sizes`` (key, rows) saves counting where ``df`` is expensive; it
+    may be approximate, since it only decides which groups are cut. NULL keys are never cut.
     """
     sums, previous = sums or {}, previous or {}
     # At most rows / hot_rows keys, by construction: that bound is what allows the broadcast.
     hot = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(key, F.lit(True).alias("_hot"))
+        (group_sizes(df, key) if sizes is None else sizes)
+        .filter(F.col(key).isNotNull() & (F.col("rows") > hot_rows))
+        .select(F.col(key).alias("_hot_key"))
+    )
+    # NULL where the group stays whole
+    block = F.when(F.col("_hot_key").isNotNull(), F.expr(f"`{order}` div {span}"))
+    rows = (
+        df.join(F.broadcast(hot), df[key] == hot["_hot_key"], "left")
+        .withColumn("_block", block)
+        .drop("_hot_key")
+        .repartition(key, "_block")
     )
-    block = F.when(F.col("_hot"), F.expr(f"`{order}` div {span}")).otherwise(F.lit(0))
-    tagged = df.withColumns({f"_s_{n}": c for n, c in sums.items()} | {f"_p_{n}": c for n, c in previous.items()})
-    tagged = tagged.join(F.broadcast(hot), key, "left").withColumn("_block", block)
 
     in_block = Window.partitionBy(key, "_block").orderBy(order)
     to_here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = {n: F.sum(f"_s_{n}").over(to_here) for n in sums}
-    local |= {n: F.lag(f"_p_{n}").over(in_block) for n in previous}
+    local = {f"_s_{n}": F.sum(c).over(to_here) for n, c in sums.items()}
+    local |= {f"_p_{n}": F.lag(c).over(in_block) for n, c in previous.items()}
     if previous:
         local["_first"] = F.lag(F.lit(1)).over(in_block).isNull()
-    scanned = tagged.withColumns(local)
+    scanned = rows.withColumns(local)
 
-    # Totals of the earlier blocks; only the groups that were cut take part.
-    totals = [F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums]
-    totals += [F.max_by(F.struct(F.col(f"_p_{n}")), F.col(order)).alias(f"_p_{n}") for n in previous]
-    blocks = Window.partitionBy("_key").orderBy("_at")
-    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        tagged.filter(F.col("_hot"))
-        .groupBy(F.col(key).alias("_key"), F.col("_block").alias("_at"))
-        .agg(*totals)
-        .select(
-            "_key",
-            "_at",
-            *[F.sum(f"_s_{n}").over(before).alias(f"_cs_{n}") for n in sums],
-            *[F.lag(f"_p_{n}").over(blocks)[f"_p_{n}"].alias(f"_cp_{n}") for n in previous],
+    # Totals per block and the last row of each, with all its columns: needing the same columns as
+    # the scan is what lets both read one exchange. Groups that were not cut drop out here.
+    last = F.struct(*[c.alias(f"_v_{n}") for n, c in previous.items()], *df.columns)
+    totals = (
+        rows.groupBy(F.col(key), F.col("_block"))
+        .agg(
+            F.max(F.col("_block").isNotNull()).alias("_cut"),
+            F.max_by(last, F.col(order)).alias("_last"),
+            *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
         )
+        .filter("_cut")
     )
-    joined = scanned.join(
-        carry, (scanned[key] == carry["_key"]) & (scanned["_block"] == carry["_at"]), "left"
+    blocks = Window.partitionBy(key).orderBy("_block")
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(
+        # not the bare key: a null test on it would reach down into the shared exchange and split it
+        F.when(F.col("_cut"), F.col(key)).alias("_key"),
+        F.col("_block").alias("_at"),
+        *[F.sum(f"_t_{n}").over(before).alias(f"_cs_{n}") for n in sums],
+        *[F.lag("_last").over(blocks)[f"_v_{n}"].alias(f"_cp_{n}") for n in previous],
     )
+    joined = scanned.join(carry, (scanned[key] == carry["_key"]) & (scanned["_block"] == carry["_at"]), "left")
+
     out = [F.col(c) for c in df.columns]
     for n in sums:
-        carried = F.coalesce(F.col(f"_cs_{n}"), F.lit(0)) + F.coalesce(F.col(n), F.lit(0))
-        seen = F.col(n).isNotNull() | F.col(f"_cs_{n}").isNotNull()
-        out.append(F.when(seen, carried).alias(n))
-    out += [F.when(F.col("_first"), F.col(f"_cp_{n}")).otherwise(F.col(n)).alias(n) for n in previous]
+        seen = F.col(f"_s_{n}").isNotNull() | F.col(f"_cs_{n}").isNotNull()
+        total = F.coalesce(F.col(f"_cs_{n}"), F.lit(0)) + F.coalesce(F.col(f"_s_{n}"), F.lit(0))
+        out.append(F.when(seen, total).alias(n))
+    out += [F.when(F.col("_first"), F.col(f"_cp_{n}")).otherwise(F.col(f"_p_{n}")).alias(n) for n in previous]
     return joined.select(*out)

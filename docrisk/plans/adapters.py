@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrisk import dims, schemas
-from docrisk.functions.ordered import ordered_scan
+from docrisk.functions.ordered import group_sizes, ordered_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -246,6 +246,12 @@ BALANCE_ERROR = "CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END"
 BALANCE_UNREADABLE = "event_id % 211 = 0"
 
 
+def statement_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stmt_id, rows: how long each statement is, without deriving its rows."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stmt_id"))
+    return group_sizes(events, "stmt_id")
+
+
 def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one statement per user in event order, 25 per page, with a shown balance."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")

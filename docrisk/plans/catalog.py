@@ -149,19 +149,22 @@ def statement_totals(spark, sf_dir):
 
 @query
 def statement_running_balance(spark, sf_dir):
-    balance = statement.running_balance(a.statement_rows(spark, sf_dir), a.statement_openings(spark, sf_dir))
+    balance = statement.running_balance(
+        a.statement_rows(spark, sf_dir), a.statement_openings(spark, sf_dir), sizes=a.statement_sizes(spark, sf_dir)
+    )
     return balance.select("stmt_id", "seq", _money("expected"), _money("shown"), "is_break")
 
 
 @query
 def statement_balance_breaks(spark, sf_dir):
-    breaks = statement.balance_breaks(a.statement_rows(spark, sf_dir))
+    breaks = statement.balance_breaks(a.statement_rows(spark, sf_dir), sizes=a.statement_sizes(spark, sf_dir))
     return breaks.select("stmt_id", "seq", _money("expected"), _money("shown"), "is_break")
 
 
 @query
 def statement_page_breaks(spark, sf_dir):
-    return statement.page_breaks(a.statement_pages(spark, sf_dir))
+    # a statement has fewer pages than rows, so its row count is a safe size
+    return statement.page_breaks(a.statement_pages(spark, sf_dir), sizes=a.statement_sizes(spark, sf_dir))
 
 
 @query
@@ -174,7 +177,9 @@ def statement_duplicates(spark, sf_dir):
 
 @query
 def statement_dates(spark, sf_dir):
-    return statement.date_findings(a.dated_rows(spark, sf_dir), a.statement_header(spark, sf_dir))
+    return statement.date_findings(
+        a.dated_rows(spark, sf_dir), a.statement_header(spark, sf_dir), sizes=a.statement_sizes(spark, sf_dir)
+    )
 
 
 @query

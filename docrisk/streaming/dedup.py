@@ -26,7 +26,9 @@ def dedup_updates(updates: DataFrame, horizon: str = dims.DEDUP_HORIZON, exact:
 
     The default works on event time inside the JVM and forgets an id once the watermark has
     passed it by ``horizon``. ``exact`` measures processing time, reports repeats with
-    ``duplicate = true`` instead of dropping them, and readmits an id after exactly the horizon.
+    ``duplicate = true`` instead of dropping them, and readmits an id after exactly the horizon. It
+    keeps planning batches to expire state, so a run over what is there (``availableNow``) only ends
+    with ``spark.sql.streaming.noDataMicroBatches.enabled=false``.
     """
     if exact:
         return _flag_repeats(updates, horizon)
@@ -50,7 +52,7 @@ class _FirstSeen(StatefulProcessor):
         if not repeat:
             self.state.update((True,))
         for batch in rows:
-            out = batch.drop(columns=[_KEY])
+            out = batch.drop(columns=[_KEY], errors="ignore")
             out["duplicate"] = True
             if not repeat and len(out):
                 out.iloc[0, out.columns.get_loc("duplicate")] = False
