@@ -20,3 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder, so that later work never repeats ``df``."""
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send whole texts to Python in Arrow batches of few rows.
+
+    Spark's 10,000 rows of long texts at once would take more memory than two workers beside a
+    small heap have.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

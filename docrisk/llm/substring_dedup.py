@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docrisk.llm import words as W
-from docrisk.llm.scratch import cut
+from docrisk.llm.scratch import cut, small_batches
 
 #: Words of a window that counts as repeated (the contract's unit).
 SPAN = 20
@@ -244,6 +244,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Repeated rows of one ``doc_id`` are one document: each keeps what the other keeps. An empty
     table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     document = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),

@@ -67,8 +67,16 @@ class Words:
         return spans_hash(self.codes, self.starts, self.ends)
 
 
-def words(texts: list[str | None]) -> Words:
+def folding() -> np.ndarray:
+    """For each code point below 2^16: its lower case if it is a letter or digit, else a space."""
+    return np.array([ord(c.lower()) if c.isalnum() and len(c.lower()) == 1 else 32 for c in map(chr, range(1 << 16))], np.uint32)
+
+
+def words(texts: list[str | None], fold: np.ndarray | None = None) -> Words:
+    """Words as above; with ``fold``, runs of lower-cased letters and digits instead."""
     codes, begins = code_points(texts)
+    if fold is not None:
+        codes = np.where(codes < len(fold), fold[np.minimum(codes, len(fold) - 1)], codes)
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(codes) and not space[0]:
