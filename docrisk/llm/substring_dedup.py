@@ -10,7 +10,8 @@ factor) are checked by hashes of their whole word sequence, on the same rule: th
 occurrence stays.
 
 Nothing is kept per key: anchors and windows are reduced by partial aggregation before each shuffle,
-so a passage shared by a third of all documents costs one row per document.
+so a passage shared by a third of all documents costs one row per document. Texts are shuffled once;
+both passes over them read that shuffle.
 """
 
 from __future__ import annotations
@@ -24,15 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docrisk.llm import words as W
-from docrisk.llm.scratch import cut, small_batches
+from docrisk.llm.scratch import small_batches
 
 #: Words of a window that counts as repeated (the contract's unit).
 SPAN = 20
 #: Words of an anchor; a window has SPAN - K + 1 of them to choose from, fewer than K, so that
 #: neighbouring anchors always touch.
 K = 11
-#: Documents without an id come after all others.
-LAST = (1 << 63) - 1
 
 
 class Parsed:
@@ -92,7 +91,8 @@ def _lists(row: np.ndarray, n: int, names: list[str], fields: list[pa.Array]) ->
 
 
 def _factor(texts: list[str | None], ids: np.ndarray, row: np.ndarray, refs: list[np.ndarray]):
-    """Factors (document, begin, end) and boundary windows (document, hash) of some documents."""
+    """Ranges of words in factors, and of the windows left to check: place, hash, and whether an
+    earlier document has their anchor (only then can they be repeats)."""
     p = Parsed(texts)
     a, w = p.anchors, p.w
     doc = w.doc[a]
@@ -129,8 +129,8 @@ def _factor(texts: list[str | None], ids: np.ndarray, row: np.ndarray, refs: lis
     np.add.at(inside, left, 1)
     np.add.at(inside, right - SPAN + 1, -1)
     inside = np.cumsum(inside)
-    is_shared = np.zeros(len(p.h) + 1, bool)
-    is_shared[a[shared]] = True
+    is_shared, is_later = np.zeros((2, len(p.h) + 1), bool)
+    is_shared[a[shared]], is_later[a[earlier]] = True, True
     open_ = (inside[p.windows] == 0) & is_shared[p.chosen]
     at = p.windows[open_]
     whole, _ = W.grams(p.h, w.doc, SPAN)
@@ -140,63 +140,42 @@ def _factor(texts: list[str | None], ids: np.ndarray, row: np.ndarray, refs: lis
     again = np.ones(len(at), bool)
     again[once] = False
     left, right = np.concatenate([left, at[again]]), np.concatenate([right, at[again] + SPAN])
-    return p, left, right, at[np.sort(once)], whole[np.sort(once)]
+    once = np.sort(once)
+    return p, left, right, at[once], whole[once], is_later[p.chosen[open_]][once]
 
 
-def _merge(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping ranges as one."""
-    if not len(left):
-        return left, right
-    order = np.argsort(left, kind="stable")
-    left, right = left[order], np.maximum.accumulate(right[order])
-    new = np.ones(len(left), bool)
-    new[1:] = left[1:] >= right[:-1]
-    return left[new], right[np.append(np.flatnonzero(new)[1:] - 1, len(right) - 1)]
+def _parsed(batch: pa.RecordBatch):
+    """Pieces of a batch of documents, parsed."""
+    document, refs = batch.column("document"), batch.column("refs")
+    texts = document.field("text").to_pylist()
+    ids = document.field("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    for i, j in W.chunks(texts):
+        yield i, j, texts[i:j], ids[i:j], _factor(texts[i:j], ids[i:j], *_flat(refs.slice(i, j - i)))
 
 
-def _factor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("ord").to_numpy(zero_copy_only=False)
-        keys, texts = batch.column("key"), batch.column("text").to_pylist()
-        for i, j in W.chunks(texts):
-            row, refs = _flat(batch.column("refs").slice(i, j - i))
-            p, left, right, at, whole = _factor(texts[i:j], ids[i:j], row, refs)
-            doc = p.w.doc
-            # ranges are merged in the order of words, so documents stay apart
-            left, right = _merge(left, right)
-            span_doc = doc[left]
-            zero = p.w.first[span_doc]
+        for _, _, _, ids, (p, _, _, at, whole, later) in _parsed(batch):
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[i:j]), keys.slice(i, j - i),
-                    _lists(span_doc, j - i, ["begin", "end"], [pa.array((left - zero).astype(np.int32)), pa.array((right - zero).astype(np.int32))]),
-                    _lists(doc[at], j - i, [], [pa.array(whole.view(np.int64))]),
-                ],
-                names=["ord", "key", "spans", "open"],
+                [pa.array(whole.view(np.int64)), pa.array(ids[p.w.doc[at]]), pa.array(later)], names=["window", "ord", "later"]
             )
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, j in W.chunks(texts):
-            w = W.words(texts[i:j])
+        for i, j, texts, _, (p, left, right, at, whole, _) in _parsed(batch):
+            w = p.w
             first, total = w.first, len(w.starts)
-            mark = np.zeros(total + 1, np.int32)
-            row, spans = _flat(batch.column("spans").slice(i, j - i))
-            if len(row):
-                np.add.at(mark, first[row] + spans[0], 1)
-                np.add.at(mark, first[row] + spans[1], -1)
             row, (late,) = _flat(batch.column("late").slice(i, j - i))
-            if len(row):
-                whole, one = W.grams(w.hashes(), w.doc, SPAN)
-                at = np.flatnonzero(one)
-                wanted = np.unique(W.mix(late.view(np.uint64) ^ W.mix(row.astype(np.uint64))))
-                mine = W.mix(whole[at] ^ W.mix(w.doc[at].astype(np.uint64)))
-                there = np.searchsorted(wanted, mine)
-                at = at[(there < len(wanted)) & (wanted[np.minimum(there, len(wanted) - 1)] == mine)]
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + SPAN, -1)
+            wanted = np.unique(W.mix(late.view(np.uint64) ^ W.mix(row.astype(np.uint64))))
+            if len(wanted):
+                mine = W.mix(whole ^ W.mix(w.doc[at].astype(np.uint64)))
+                there = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+                at = at[wanted[there] == mine]
+                left, right = np.concatenate([left, at]), np.concatenate([right, at + SPAN])
+            mark = np.zeros(total + 1, np.int32)
+            np.add.at(mark, left, 1)
+            np.add.at(mark, right, -1)
             gone = np.cumsum(mark[:total]) > 0
             gone_before = np.concatenate([[0], np.cumsum(gone)])
             n_words, n_removed = np.diff(first), gone_before[first[1:]] - gone_before[first[:-1]]
@@ -208,10 +187,10 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end_doc = np.append(new_doc[1:], True)
             right = np.flatnonzero(gone & (np.append(~gone[1:], True) | end_doc)) + 1
             span_doc = w.doc[left]
-            kept = list(texts[i:j])
+            kept = list(texts)
             bounds = np.searchsorted(span_doc, np.arange(j - i + 1))
             for d in np.unique(span_doc):
-                text, zero, parts, done = texts[i + d], w.begins[d], [], 0
+                text, zero, parts, done = texts[d], w.begins[d], [], 0
                 for s in range(bounds[d], bounds[d + 1]):
                     parts.append(text[done : w.starts[left[s]] - zero])
                     done = w.starts[right[s]] - zero if right[s] < first[d + 1] else len(text)
@@ -240,20 +219,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text without the removed words; the white space after them goes too).
 
     Null text: no words, ``kept`` null. Empty and white-space texts: no words, kept as they are.
-    Documents without ``doc_id`` count as later than all others and remove nothing from one another.
-    Repeated rows of one ``doc_id`` are one document: each keeps what the other keeps. An empty
-    table gives an empty result.
+    Documents without ``doc_id`` have no place in the order: they lose only what repeats within them,
+    and remove nothing from others. Repeated rows of one ``doc_id`` are one document: each keeps what the other
+    keeps. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    document = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
-        F.col("text").cast("string").alias("text"),
-        document.alias("document"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("ord"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
+    )
+    anchors = (
+        docs.where("doc_id is not null and text is not null")
+        .select(F.col("doc_id").cast("long").alias("ord"), "text")
+        .mapInArrow(_anchor_rows, "anchor long, ord long, pos int")
     )
-    texts = rows.select("ord", "text")
-
-    anchors = texts.where("text is not null").mapInArrow(_anchor_rows, "anchor long, ord long, pos int")
     index = (
         anchors.groupBy("anchor")
         .agg(F.min("ord").alias("ref"), F.min_by("pos", "ord").alias("ref_pos"), F.count("*").alias("n"))
@@ -265,39 +244,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .groupBy("ord")
         .agg(F.collect_list(F.struct("anchor", "ref", "ref_pos")).alias("refs"))
     )
-    parsed = cut(
-        texts.where("text is not null")
-        .withColumn("key", F.xxhash64("text"))
-        .join(refs, "ord", "left")
-        .select("ord", "key", "text", "refs")
-        .mapInArrow(_factor_rows, f"ord long, key long, spans {_SPANS}, open array<long>")
-        .where("size(spans) > 0 or size(open) > 0")
-    )
-    windows = parsed.select("ord", F.explode("open").alias("window"))
+    parsed = rows.join(refs, "ord", "left")
+    windows = parsed.where("document.doc_id is not null").mapInArrow(_window_rows, "window long, ord long, later boolean")
     firsts = (
-        windows.groupBy("window").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-        .where("first < last")
+        windows.groupBy("window").agg(F.min("ord").alias("first"), F.max("later").alias("checked"))
+        .where("checked")
         .select("window", "first")
     )
     late = (
-        windows.join(firsts, "window").where("ord > first")
+        windows.where("later").join(firsts, "window").where("ord > first")
         .groupBy("ord")
         .agg(F.collect_set("window").alias("late"))
     )
-    found = (
-        parsed.groupBy("ord", "key").agg(F.first("spans").alias("spans"))
-        .join(late, "ord", "left")
-        .where("size(spans) > 0 or late is not null")
-    )
+    span = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([
-        T.StructField("document", rows.schema["document"].dataType),
+        rows.schema["document"],
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
-        T.StructField("removed", T._parse_datatype_string(_SPANS)), T.StructField("kept", T.StringType()),
+        T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.StringType()),
     ])
+    here = F.col("document.doc_id").isNotNull()
     return (
-        rows.withColumn("key", F.xxhash64("text"))
-        .join(found, ["ord", "key"], "left")
-        .select("document", "text", "spans", "late")
+        parsed.join(late, "ord", "left")
+        .select("document", F.when(here, F.col("refs")).alias("refs"), F.when(here, F.col("late")).alias("late"))
         .mapInArrow(_kept_rows, schema)
     )
 
