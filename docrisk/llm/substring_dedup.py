@@ -155,7 +155,10 @@ def _parsed(batch: pa.RecordBatch):
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, _, ids, (p, _, _, at, whole, later) in _parsed(batch):
+        placed = np.asarray(batch.column("document").field("doc_id").is_valid())
+        for i, j, _, ids, (p, _, _, at, whole, later) in _parsed(batch):
+            has = placed[i:j][p.w.doc[at]]
+            at, whole, later = at[has], whole[has], later[has]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(whole.view(np.int64)), pa.array(ids[p.w.doc[at]]), pa.array(later)], names=["window", "ord", "later"]
             )
@@ -245,7 +248,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("anchor", "ref", "ref_pos")).alias("refs"))
     )
     parsed = rows.join(refs, "ord", "left")
-    windows = parsed.where("document.doc_id is not null").mapInArrow(_window_rows, "window long, ord long, later boolean")
+    windows = parsed.mapInArrow(_window_rows, "window long, ord long, later boolean")
     firsts = (
         windows.groupBy("window").agg(F.min("ord").alias("first"), F.max("later").alias("checked"))
         .where("checked")
