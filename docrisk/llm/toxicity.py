@@ -4,7 +4,8 @@ Only confirmed toxic documents carry a label; everything else is a draw from the
 and clean mixed. With the class prior ``pi``, the risk of calling a text clean is estimated as
 ``R_u(-) - pi R_p(-)`` and kept from falling below zero: a step that finds it negative takes the
 opposite direction, which is what stops a flexible model from fitting the unlabelled sample
-(Kiryo and others, 2017). The model is linear in hashed words, present or absent.
+(Kiryo and others, 2017). The model is linear in how often hashed words and beginnings of
+words occur, per words of the text.
 """
 
 from __future__ import annotations
@@ -20,26 +21,47 @@ from pyspark.sql import types as T
 
 from docrisk.llm import words as W
 from docrisk.llm.labelled import remainder, sampled_ids, texts_of
+from docrisk.llm.scratch import small_batches
 
 #: Bits of a word's bucket.
 BITS = 20
+#: Code points of a word's beginnings that are features beside the word itself.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+
+
+#: Words added to every text's number, so that one word of a short text doesn't decide.
+MORE = 30
+#: Number of words, buckets and their counts of one text.
+Example = tuple[int, np.ndarray, np.ndarray]
 
 
 @dataclass
 class Model:
-    """Buckets that count, their weights, and the bias."""
+    """Buckets that count, their weights (for one in a hundred words), and the bias."""
 
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
 
 
-def buckets(texts: list[str | None], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of the different lower-cased words of each text, in order."""
+def features(texts: list[str | None], fold: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Text number, bucket and count of the lower-cased words, and beginnings of longer words, of each
+    text, in order (only the ``wanted`` buckets if given), and each text's number of words."""
     w = W.words(texts, fold)
-    both = (w.doc.astype(np.int64) << BITS) | (w.hashes() >> np.uint64(64 - BITS)).astype(np.int64)
-    both = np.unique(both)
-    return both >> BITS, both & ((1 << BITS) - 1)
+    total = W.running(w.codes)
+    found = []
+    for n in (0, *BEGINNINGS):
+        at = np.flatnonzero(w.ends - w.starts > n) if n else np.arange(len(w.starts))
+        starts = w.starts[at]
+        hashed = W.span_of(total, starts, starts + n if n else w.ends) + np.uint64(n)
+        bucket = (W.mix(hashed) >> np.uint64(64 - BITS)).astype(np.int64)
+        doc = w.doc[at].astype(np.int64)
+        if wanted is not None:
+            hit = wanted[bucket]
+            bucket, doc = bucket[hit], doc[hit]
+        found.append((doc << BITS) | bucket)
+    both, count = np.unique(np.concatenate(found), return_counts=True)
+    return both >> BITS, both & ((1 << BITS) - 1), count, np.diff(w.first)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,41 +69,47 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for i, j in W.chunks(texts):
-            doc, bucket = buckets(texts[i:j], fold)
+            doc, bucket, count, n_words = features(texts[i:j], fold)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("positive").slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32)))],
-                names=["positive", "buckets"],
+                [
+                    batch.column("positive").slice(i, j - i), pa.array(n_words.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(count.astype(np.int32))),
+                ],
+                names=["positive", "n_words", "buckets", "counts"],
             )
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, least: float = 0.004, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(positive: list[Example], unlabelled: list[Example], prior: float, *, least: float = 0.02, purity: float = 0.6, epochs: int = 300, rate: float = 0.5, decay: float = 1e-5, seed: int = 7) -> Model:
     """Minimise the non-negative risk with logistic loss by AdaGrad steps over mini-batches.
 
-    ``least``: a bucket counts if at least this share of the positives (and three) has it.
+    A bucket counts if at least the share ``least`` of the positives (and three of them) has it, and
+    by the two samples at least the share ``purity`` of the documents that have it is toxic.
     """
     empty = Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
     if not positive or not unlabelled or not 0 < prior < 1:
         return empty
-    seen = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS)
-    kept = np.flatnonzero(seen >= max(3, least * len(positive)))
+    seen = np.bincount(np.concatenate([x[1] for x in positive]).astype(np.int64), minlength=1 << BITS)
+    usual = np.bincount(np.concatenate([x[1] for x in unlabelled]).astype(np.int64), minlength=1 << BITS)
+    kept = np.flatnonzero((seen >= max(3, least * len(positive))) & (prior * seen * len(unlabelled) >= purity * usual * len(positive)))
     if not len(kept):
         return empty
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
 
-    def dense(rows: list[np.ndarray]) -> np.ndarray:
+    def dense(rows: list[Example]) -> np.ndarray:
         x = np.zeros((len(rows), len(kept)), np.float32)
-        for i, row in enumerate(rows):
-            at = place[row]
-            x[i, at[at >= 0]] = 1
+        for i, (n_words, bucket, count) in enumerate(rows):
+            at = place[bucket]
+            x[i, at[at >= 0]] = 100 * count[at >= 0] / (n_words + MORE)
         return x
 
     xp, xu = dense(positive), dense(unlabelled)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
     gw, gb = np.full(len(kept), 1e-3), 1e-3
-    size = 128
+    size = 256
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(epochs):
         order = rng.permutation(len(xu))
@@ -103,7 +131,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             gb += gb_**2
             w -= rate * grad / np.sqrt(gw)
             b -= rate * gb_ / np.sqrt(gb)
-    return Model(kept, w, b)
+    # the same risk with the 0-1 loss puts the decision: the lowest of the least risky places
+    fp, fu = np.sort(xp @ w + b), np.sort(xu @ w + b)
+    places = np.unique(np.concatenate([fp, fu]))
+    places = (places[1:] + places[:-1]) / 2
+    missed = np.searchsorted(fp, places) / len(fp)
+    risk = prior * missed + np.maximum(0, 1 - np.searchsorted(fu, places) / len(fu) - prior * (1 - missed))
+    return Model(kept, w, b - float(places[risk.argmin()]) if len(places) else b)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, n_positive: int = 2000, n_unlabelled: int = 4000, seed: int = 7) -> Model:
@@ -113,6 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, n_positive: int = 2000, n_unlab
     The class prior is the toxic share of the labelled learning rows. Where documents share an id,
     each row counts; null ids and null labels are left out of learning.
     """
+    small_batches(docs.sparkSession)
     learning = remainder(F.col("doc_id"), 5) != 0
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learning & F.col("toxic").isNotNull())
     prior = rows.agg(F.avg("toxic")).first()[0]
@@ -123,12 +158,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, n_positive: int = 2000, n_unlab
         (sampled_ids(rows.where("toxic = 1").select("doc_id"), n_positive, seed), True),
         (sampled_ids(texts.where(learning).select("doc_id"), n_unlabelled, seed + 1), False),
     )
-    found: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    found: dict[bool, list[Example]] = {True: [], False: []}
     for ids, positive in kinds:
         part = texts_of(texts, ids).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(positive).alias("positive"))
-        for row in part.mapInArrow(_features, "positive boolean, buckets array<int>").toLocalIterator():
-            found[positive].append(np.asarray(row.buckets, np.int64))
-    order = lambda x: (len(x), x.tobytes())  # noqa: E731  the order in which Spark delivers rows must not matter
+        for row in part.mapInArrow(_features, "positive boolean, n_words int, buckets array<int>, counts array<int>").toLocalIterator():
+            found[positive].append((row.n_words, np.asarray(row.buckets, np.int64), np.asarray(row.counts, np.int64)))
+    order = lambda x: (x[0], len(x[1]), x[1].tobytes())  # noqa: E731  the order in which Spark delivers rows must not matter
     return fit(sorted(found[True], key=order), sorted(found[False], key=order), float(prior), seed=seed)
 
 
@@ -136,28 +171,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Every document with its probability of being toxic.
 
     One row per given row: ``document`` (a struct of all given columns) and ``score`` (0 to 1). The
-    whole text counts. Null, empty and wordless texts get the model's bias. Without any toxic
+    whole text counts. Null, empty and wordless texts get what the bias gives. Without any toxic
     example every score is near 0. An empty table gives an empty result.
     """
-    weights, bias, bits = np.zeros(1 << BITS), model.bias, BITS
-    weights[model.buckets] = model.weights
+    kept, values, bias = model.buckets, model.weights, model.bias
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = W.folding()
+        fold, weights, wanted = W.folding(), np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
+        weights[kept], wanted[kept] = values, True
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("document").field("text").to_pylist()
             for i, j in W.chunks(texts):
-                w = W.words(texts[i:j], fold)
-                bucket = (w.hashes() >> np.uint64(64 - bits)).astype(np.int64)
-                hit = np.flatnonzero(weights[bucket])
-                both = np.unique((w.doc[hit].astype(np.int64) << bits) | bucket[hit])
-                logit = bias + np.bincount(both >> bits, weights[both & ((1 << bits) - 1)], j - i)
+                doc, bucket, count, n_words = features(texts[i:j], fold, wanted)
+                logit = bias + np.bincount(doc, weights[bucket] * count, j - i) * 100 / (n_words + MORE)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("document").slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))],
                     names=["document", "score"],
                 )
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
     return rows.mapInArrow(scored, T.StructType([rows.schema["document"], T.StructField("score", T.DoubleType())]))
 
 

@@ -105,10 +105,18 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 def spans_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the code points of each span [start, end), by differences of one running sum."""
-    n = len(codes)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(codes.astype(np.uint64) + STEP) * powers(STEP, n), out=total[1:])
-    value = (total[ends] - total[starts]) * powers(UNSTEP, n + 1)[starts]
+    return span_of(running(codes), starts, ends)
+
+
+def running(codes: np.ndarray) -> np.ndarray:
+    """The running sum whose differences are the hashes of spans."""
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + STEP) * powers(STEP, len(codes)), out=total[1:])
+    return total
+
+
+def span_of(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    value = (total[ends] - total[starts]) * powers(UNSTEP, len(total))[starts]
     return mix(value + (ends - starts).astype(np.uint64))
 
 
