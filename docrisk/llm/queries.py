@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docrisk.llm import language, quality, substring_dedup, toxicity
+from docrisk.llm import language, mixing, quality, substring_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.score(docs, quality.learn(docs, read(spark, sf_dir, "labels"))))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(read(spark, sf_dir, "documents")))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language.digest(language.predict(docs, language.learn(docs)))
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_quality,
+        op5_mixing,
         op6_language,
         op7_toxicity,
         op9_substring_dedup,
