@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docrisk.llm import language, mixing, quality, substring_dedup, toxicity
+from docrisk.llm import language, mixing, quality, substring_dedup, tool_calls, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels"))))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns(read(spark, sf_dir, "conversations"))
+    linked = tool_calls.link(calls, results, tool_calls.TURN_TOOLS)
+    return linked.withColumn("violations", F.array_join("violations", "; "))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(read(spark, sf_dir, "documents")))
 
@@ -43,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_mixing,
         op6_language,
         op7_toxicity,
+        op8_tool_calls,
         op9_substring_dedup,
     )
 }
