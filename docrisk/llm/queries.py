@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk.llm import language, mixing, quality, substring_dedup, tool_calls, toxicity
+from docrisk.llm import html_blocks, language, mixing, quality, substring_dedup, tool_calls, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.score(docs, quality.learn(docs, read(spark, sf_dir, "labels"))))
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_blocks.digest(html_blocks.extract(pages, html_blocks.learn(pages)))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(read(spark, sf_dir, "documents")))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_quality,
+        op4_html_blocks,
         op5_mixing,
         op6_language,
         op7_toxicity,
