@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk.llm import html_blocks, language, mixing, quality, substring_dedup, tool_calls, toxicity
+from docrisk.llm import forest, html_blocks, language, mixing, quality, substring_dedup, tool_calls, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(read(spark, sf_dir, "documents")))
 
 
+def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_toxicity,
         op8_tool_calls,
         op9_substring_dedup,
+        op10_forest,
     )
 }
 ORACLES: dict[str, str] = {}
