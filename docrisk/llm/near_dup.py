@@ -307,7 +307,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The given rows, all columns as they are, one for each group: the one with the smallest
     ``doc_id`` (of its repeated rows, one). Rows without ``doc_id`` all stay."""
-    kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    mark = "kept"
+    while mark in docs.columns:
+        mark += "_"
+    kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias(mark)).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(mark), "left_semi")
     repeat = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return named.withColumn("_repeat", repeat).where("_repeat = 1").drop("_repeat").unionByName(docs.where("doc_id is null"))
+    return named.withColumn(mark, repeat).where(F.col(mark) == 1).drop(mark).unionByName(docs.where("doc_id is null"))
