@@ -9,7 +9,7 @@ of their words finds the edit distance, and texts are near duplicates if it is a
 of the longer text's words. Groups are the connected components of these links.
 
 Texts that share a value are not paired with one another but with the value's leader, the smallest
-id. Those that are no duplicates of it choose the next leader among themselves, until none is left.
+id. Those that are no duplicates of it choose the next leaders among themselves, until none is left.
 Duplicates of a leader are compared with a later one only where the edit distances, by the triangle
 inequality, leave it possible that they are linked.
 """
@@ -37,6 +37,8 @@ SHORT_SKETCHES, SHORT_PICKED, SHORT_LEAST, SHORT_MOST = 16, 2, 10, 16
 #: Distances are worked out up to this many times the greatest of duplicates; beyond 2.5 times, no
 #: duplicate of one text can be one of the other.
 FAR = 3.0
+#: Leaders of a value that are compared with its texts at once, after the first.
+LEADERS = 16
 #: Hashes handled at once.
 CELLS = 1 << 20
 
@@ -64,7 +66,7 @@ def values(kmers: np.ndarray, n: int, picked: int, salt: int) -> np.ndarray:
     by = multipliers(n + salt)[salt:]
     step = max(1, CELLS // len(kmers))
     for s in range(0, n, step):
-        hashed = by[s : s + step, None] * kmers
+        hashed = (by[s : s + step, None] * kmers >> np.uint64(32)).astype(np.uint32)
         at = np.argpartition(hashed, picked - 1, axis=1)[:, :picked] if len(kmers) > picked else np.tile(np.arange(picked), (len(hashed), 1))
         at.sort(axis=1)
         value = by[s : s + step] + np.uint64(salt)
@@ -137,135 +139,161 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _banded(a: list[np.ndarray], b: list[np.ndarray], half: np.ndarray) -> np.ndarray:
-    """Edit distances of pairs, by alignments that leave the diagonal by at most ``half`` each.
+def _bag_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that one text has more often than the other, in any order: no fewer edits will do."""
+    both, sign = np.concatenate([a, b]), np.repeat([1, -1], [len(a), len(b)])
+    order = np.argsort(both, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+    surplus = np.add.reduceat(sign[order], edge) if len(both) else both
+    return int(max(surplus[surplus > 0].sum(), -surplus[surplus < 0].sum()))
 
-    One table row for each word of the first text, one column for each diagonal, all pairs at once.
-    A distance of at most ``half`` is exact; a greater one only says that it is greater.
+
+class _Runs:
+    """Lengths of equal runs of words between places of two sequences, by hashes of ranges."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(W.mix(x.astype(np.uint64) + W.STEP) * W.powers(W.STEP, len(x)))]) for x in (a, b)]
+        self.unpower = W.powers(W.UNSTEP, max(len(a), len(b)) + 1)
+
+    def __call__(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many words from ``i`` of the first and ``j`` of the second on are equal, ``most`` at most."""
+        run = np.zeros(len(i), np.int64)
+        bit = 1 << int(most.max(initial=0)).bit_length()
+        one, two, ui, uj = self.sums[0][i], self.sums[1][j], self.unpower[i], self.unpower[j]
+        while bit:
+            some = np.flatnonzero(run + bit <= most)
+            more = run[some] + bit
+            same = (self.sums[0][i[some] + more] - one[some]) * ui[some] == (self.sums[1][j[some] + more] - two[some]) * uj[some]
+            run[some[same]] += bit
+            bit >>= 1
+        return run
+
+
+def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """Edit distances of some pairs of word sequences, or -1 if more than ``most``.
+
+    The band holds the diagonals that d edits can reach, one more on either side for each edit. On
+    each diagonal stands the furthest word of the first text that d edits reach; equal words behind
+    it cost nothing. All pairs are aligned at once, d by d.
     """
-    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    width, top = 2 * int(half.max()) + 1, int(half.max())
-    first, second = np.zeros((len(a), n.max()), np.int32), np.zeros((len(a), m.max() + 1), np.int32)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        first[i, : len(x)], second[i, : len(y)] = x, y
-    never = np.int32(1 << 29)
-    diagonal = np.arange(-top, top + 1)
-    step = np.arange(width, dtype=np.int32)
-    outside = np.abs(diagonal) > half[:, None]
-    cost = np.where(outside | (diagonal < 0) | (diagonal > m[:, None]), never, np.abs(diagonal).astype(np.int32))
-    result = np.where(n == 0, m, never).astype(np.int64)
-    rows = np.arange(len(a))
-    for i in range(int(n.max())):
-        at = i + 1 + diagonal  # words of the second text used so far
-        inside = ~outside & (at >= 0) & (at <= m[:, None])
-        same = second[:, np.clip(at - 1, 0, second.shape[1] - 1)] == first[:, i : i + 1]
-        new = cost + np.where(same & (at >= 1), 0, 1).astype(np.int32)
-        new[:, at < 1] = never
-        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
-        new = np.minimum.accumulate(np.where(inside, new, never) - step, axis=1) + step
-        cost = np.where(inside, np.minimum(new, never), never)
-        done = np.flatnonzero(n == i + 1)
-        if len(done):
-            result[done] = cost[rows[done], (m - n)[done] + top]
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    runs = _Runs(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+    at_a, at_b = (np.concatenate([[0], np.cumsum(x)[:-1]]) for x in (n, m))
+    last_a, last_b = len(runs.a) - 1, len(runs.b) - 1
+    never = -(1 << 40)
+    result = np.full(len(pairs), -1, np.int64)
+    row = np.arange(len(pairs))
+    reach = np.full((len(pairs), 1), -1, np.int64)
+    for d in range(int(most.max(initial=-1)) + 1):
+        k = np.arange(-d, d + 1)
+        if d:
+            wide = np.pad(reach, ((0, 0), (2, 2)), constant_values=never)
+            # a word replaced, dropped from the first text, or added to it
+            reach = np.maximum(np.maximum(wide[:, 1:-1], wide[:, 2:]) + 1, wide[:, :-2])
+        else:
+            reach = np.zeros((len(row), 1), np.int64)
+        end = np.minimum(n[row][:, None], m[row][:, None] - k)
+        reach = np.minimum(reach, end)
+        reach[(reach < 0) | (reach + k < 0)] = never
+        # words that follow on the diagonal and are equal
+        i, j = at_a[row][:, None] + reach, at_b[row][:, None] + reach + k
+        open_ = (reach >= 0) & (reach < end)
+        if last_a >= 0 and last_b >= 0:
+            open_ &= runs.a[np.clip(i, 0, last_a)] == runs.b[np.clip(j, 0, last_b)]
+            r, c = np.nonzero(open_)
+            reach[r, c] += runs(i[r, c], j[r, c], (end - reach)[r, c])
+        at_end = (m - n)[row] + d
+        done = (at_end >= 0) & (at_end <= 2 * d)
+        done[done] = reach[np.flatnonzero(done), at_end[done]] >= n[row[done]]
+        result[row[done]] = d
+        stay = ~done & (most[row] > d)
+        row, reach = row[stay], reach[stay]
+        if not len(row):
+            break
     return result
 
 
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
     """Edit distance of each pair of word sequences, or -1 if it is more than ``most``.
 
-    Equal beginnings and ends are cut off. Pairs whose words, in any order, differ too much are
-    settled; the others are aligned in bands that widen fourfold until the distance fits the band.
+    Pairs whose lengths, or whose words in any order, differ by more are settled; the others are
+    aligned, as many at a time as fill tables of bounded size.
     """
     result = np.full(len(pairs), -1, np.int64)
-    left: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for i, (a, b) in enumerate(pairs):
-        short = min(len(a), len(b))
-        if abs(len(a) - len(b)) > most[i]:
-            continue
-        differs = np.flatnonzero(a[:short] != b[:short])
-        begin = differs[0] if len(differs) else short
-        a, b = a[begin:], b[begin:]
-        short = min(len(a), len(b))
-        differs = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
-        end = differs[0] if len(differs) else short
-        a, b = a[: len(a) - end], b[: len(b) - end]
-        if not len(a) or not len(b):
-            result[i] = max(len(a), len(b))
-            continue
-        both, sign = np.concatenate([a, b]), np.repeat([1, -1], [len(a), len(b)])
-        order = np.argsort(both, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
-        surplus = np.add.reduceat(sign[order], edge)
-        if max(surplus[surplus > 0].sum(), -surplus[surplus < 0].sum()) <= most[i]:
-            left.append((i, a, b))
-    half = {i: max(8, 2 * abs(len(a) - len(b))) for i, a, b in left}
-    while left:
-        left.sort(key=lambda x: (half[x[0]], len(x[1])))
-        again = []
-        at = 0
-        while at < len(left):
-            # as many pairs as fill a table of bounded size
-            n = 1
-            while at + n < len(left) and n < 256 and (n + 1) * (2 * half[left[at + n][0]] + 1) <= CELLS // 16 and half[left[at + n][0]] <= 2 * half[left[at][0]]:
-                n += 1
-            part = left[at : at + n]
-            at += n
-            bands = np.array([min(half[i], most[i]) for i, _, _ in part])
-            found = _banded([a for _, a, _ in part], [b for _, _, b in part], bands)
-            for (i, a, b), d, band in zip(part, found.tolist(), bands.tolist(), strict=True):
-                if d <= band:
-                    result[i] = d
-                elif band < most[i]:
-                    half[i] = 4 * half[i]
-                    again.append((i, a, b))
-        left = again
+    left = [i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= most[i] and _bag_apart(a, b) <= most[i]]
+    left.sort(key=lambda i: len(pairs[i][0]))
+    at = 0
+    while at < len(left):
+        n, total = 0, 0
+        while at + n < len(left) and n < 256 and (not n or total + len(pairs[left[at + n]][0]) <= CELLS // 8):
+            total += len(pairs[left[at + n]][0])
+            n += 1
+        part = left[at : at + n]
+        result[part] = _aligned([pairs[i] for i in part], most[part])
+        at += n
     return result
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``near`` (duplicates) and ``within`` (no further than ``FAR`` times that) of pairs."""
     for batch in batches:
-        a, b = batch.column("lead_words"), batch.column("words")
-        flat = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (a, b)]
+        flat = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column("words"), batch.column("other"))]
         pairs = [tuple(v[o[i] : o[i + 1]] for o, v in flat) for i in range(len(batch))]
         greatest = np.array([(1 - LEAST) * max(len(x), len(y)) + 1e-9 for x, y in pairs])
         d = distances(pairs, np.floor(FAR * greatest).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("lead"), batch.column("id"), pa.array((d >= 0) & (d <= greatest)), pa.array(d >= 0)], names=["lead", "id", "near", "within"]
+            [batch.column("a"), batch.column("b"), pa.array((d >= 0) & (d <= greatest)), pa.array(d >= 0)], names=["a", "b", "near", "within"]
         )
 
 
 def links(members: DataFrame, words: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` between near duplicates that share a value (``members``: ``value``, ``id``),
-    enough to connect all of them; ``words`` has the texts by ``id``."""
+    enough to connect all of them; ``words`` has the texts by ``id``.
+
+    In each round the texts of a value are compared with its leaders alone, the smallest ids: one at
+    first, then ``LEADERS``. Two texts need no comparison of their own if both are duplicates of one
+    leader, or one is and the other is far from it. So a text goes on to the next round if it is no
+    duplicate of any leader, or fails one closely, or is a duplicate of a leader that another failed
+    closely; the first two kinds lead in later rounds. Leaders have met all texts of their value and
+    leave. Rounds end when no value has both a leader and another text.
+    """
     spark = members.sparkSession
     found = []
     members = members.withColumn("leads", F.lit(True))
-    done = None
+    done, leaders = None, 1
     while True:
-        leader = members.where("leads").groupBy("value").agg(F.min("id").alias("lead"))
-        led = cut(members.join(leader, "value").where("id != lead"))
+        place = F.row_number().over(Window.partitionBy("value").orderBy("id"))
+        leading = members.where("leads").withColumn("place", place).where(F.col("place") <= leaders).select("value", F.col("id").alias("lead"))
+        led = cut(members.join(leading, "value").where("id != lead"))
         if led.isEmpty():
             break
-        pairs = led.select("lead", "id").distinct()
+        low, high = F.least("lead", "id"), F.greatest("lead", "id")
+        led = led.withColumns({"a": low, "b": high})
+        pairs = led.select("a", "b").distinct()
         if done is not None:
-            pairs = pairs.join(done, ["lead", "id"], "left_anti")
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         checked = cut(
-            pairs.join(words, "id").join(words.select(F.col("id").alias("lead"), F.col("words").alias("lead_words")), "lead")
-            .select("lead", "id", "lead_words", "words")
-            .mapInArrow(_verified, "lead long, id long, near boolean, within boolean")
-            .groupBy("lead", "id").agg(F.max("near").alias("near"), F.max("within").alias("within"))
+            pairs.join(words.select(F.col("id").alias("b"), "words"), "b")
+            .join(words.select(F.col("id").alias("a"), F.col("words").alias("other")), "a")
+            .select("a", "b", "words", "other")
+            .mapInArrow(_verified, "a long, b long, near boolean, within boolean")
+            .groupBy("a", "b").agg(F.max("near").alias("near"), F.max("within").alias("within"))
         )
-        found.append(checked.where("near").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-        done = checked if done is None else done.unionByName(checked)
-        judged = led.join(done, ["lead", "id"])
-        # values in which some text is no duplicate of the leader, and whether one is not far from it
-        open_ = judged.where("leads and not near").groupBy("value").agg(F.max("within").alias("close"))
+        found.append(checked.where("near").select("a", "b"))
+        done = checked if done is None else cut(done.unionByName(checked))
+        judged = led.join(done, ["a", "b"]).withColumn("close", F.col("within") & ~F.col("near"))
+        missed = judged.groupBy("value", "lead").agg(F.max("close").alias("missed"))
+        gone = leading.withColumnRenamed("lead", "id")
         members = cut(
-            judged.join(open_, "value")
-            .where("not near or close")
-            .select("value", "id", (F.col("leads") & ~F.col("near")).alias("leads"))
+            judged.join(missed, ["value", "lead"])
+            .groupBy("value", "id")
+            .agg(F.max("leads").alias("leads"), F.max("near").alias("near"), F.max("close").alias("close"), F.max(F.col("near") & F.col("missed")).alias("wanted"))
+            .where("not near or close or wanted or not leads")
+            .select("value", "id", (F.col("close") | (F.col("leads") & ~F.col("near"))).alias("leads"))
+            .join(gone, ["value", "id"], "left_anti")
         )
+        leaders = LEADERS
     result = spark.createDataFrame([], "a long, b long")
     for part in found:
         result = result.unionByName(part)
