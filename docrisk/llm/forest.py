@@ -117,7 +117,7 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def fit(vectors: DataFrame, *, n_sample: int = 8192, n_trees: int = 40, leaf: int = 24, seed: int = 13) -> Forest:
     """Trees over at most ``n_sample`` different vectors, chosen by a seeded hash of their ids."""
     rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n_sample).select("v").collect()
-    x = np.array([r.v for r in rows], float).reshape(len(rows), -1)
+    x = np.array([r.v for r in rows], float).reshape(len(rows), len(rows[0].v) if rows else 0)
     rng = np.random.default_rng(seed)
     trees = [grow(x, leaf, rng) for _ in range(n_trees)] if len(x) else []
     members = []

@@ -372,10 +372,10 @@ def layouts(texts: list[list[str]], n: int, seed: int) -> list[list[tuple[Block,
     for _ in range(n):
         outer = ("html", "body") + (box("div", ["page", "wrapper", "container", "site", "root", "app"], False) if rng.random() < 0.6 else ())
 
-        def other(kind: str, above: tuple[str, ...]) -> list[tuple[Block, int]]:
+        def other(kind: str, above: tuple[str, ...], inside_main: bool = False) -> list[tuple[Block, int]]:
             tag = pick(OTHER_TAGS[kind])
             named = tag in ("nav", "header", "footer", "aside", "form")
-            path = above + box(tag, OTHER_NAMES[kind], not named)
+            path = above + box(tag, OTHER_NAMES[kind], inside_main or not named)
             made = []
             for _ in range(int(rng.integers(2, 8)) if kind == "menu" else int(rng.integers(1, 4))):
                 text = sentence(pick(texts))
@@ -401,16 +401,17 @@ def layouts(texts: list[list[str]], n: int, seed: int) -> list[list[tuple[Block,
         for i, text in enumerate(body):
             inside = ("h1",) if i == 0 else pick([("p",)] * 8 + [("p", "b"), ("h2",), ("ul", "li"), ("blockquote", "p"), ("pre",), ("div",), ("ol", "li"), ("h3",), ("table", "tr", "td"), ("figure", "figcaption"), ()])
             page.append((Block(text if rng.random() < 0.8 else sentence(body), main + inside, 0), 1))
-            if rng.random() < 0.03:
-                page += other(pick(["advert", "sidebar", "form", "menu"]), main)
+            # parts that stand inside the article are named
+            if rng.random() < 0.08:
+                page += other(pick(list(OTHER_NAMES)), main, True)
         if rng.random() < 0.15:
-            page += other("comments", main)
+            page += other("comments", main, True)
         page += [b for k in after for b in other(k, outer)]
         pages.append(page)
     return pages
 
 
-def learn(pages: DataFrame, *, n_pages: int = 200, n_layouts: int = 900, max_blocks: int = 40, max_chars: int = 2000, seed: int = 2) -> Model:
+def learn(pages: DataFrame, *, n_pages: int = 200, n_layouts: int = 1200, max_blocks: int = 40, max_chars: int = 2000, seed: int = 2) -> Model:
     """Train on ``n_layouts`` layouts filled with blocks of at most ``n_pages`` pages, chosen by a
     seeded hash of the id; of each, at most ``max_blocks`` blocks, cut to ``max_chars``, which bounds the
     sample. No page's labels are known or needed.

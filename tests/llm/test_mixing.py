@@ -56,7 +56,8 @@ def test_query(spark, sf_dir):
         assert r.size == size[r.doc_id] and r.source_size == total[source] and abs(r.target - want[source]) < 1e-6
         assert 0 <= r.taken <= 2 * r.size
         taken[source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 5 for s in taken)
+    # ten documents a source: not every number of words can be made of them
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in taken)
     again = op5_mixing(spark, sf_dir).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
