@@ -1,13 +1,10 @@
 """Running sums and previous-row values inside groups of any size.
 
-A plain window puts a whole group into one task. Here groups above ``hot_rows`` are cut into
-blocks of the order column: each block is scanned on its own and the totals of the blocks before
-it are added. A block spans ``span`` order values, which are unique within a group, so it holds
-at most ``span`` rows (twice that around zero); only one row per block meets in the second,
-small window. All other groups stay one block.
-
-The rows are shuffled once, as a plain window would: the scan of the blocks and their totals read
-the same exchange.
+A plain window puts a whole group into one task. Here every group is cut into blocks of the order
+column: each block is scanned on its own, and what came before it is added. The blocks' totals are
+scanned in the same way, by blocks of blocks, ``LEVELS`` times; the last level's window holds a
+handful of rows. Order values are unique within a group, so no window ever holds more than ``SPAN``
+rows (twice that around zero), whatever the group's size, NULL keys included.
 """
 
 from __future__ import annotations
@@ -15,13 +12,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-BLOCK_SPAN = 1_000_000
+#: Order values of a block. Blocks and two levels of blocks of blocks divide 64-bit order values by 2^60.
+SPAN = 1 << 20
+LEVELS = 2
 
 
-def group_sizes(df: DataFrame, key: str) -> DataFrame:
-    """key, rows: partial counts per group."""
-    return df.groupBy(key).agg(F.count("*").alias("rows"))
+def _plus(a: Column, b: Column) -> Column:
+    """The sum of what is there."""
+    return F.coalesce(a + b, a, b)
+
+
+def _same(left: DataFrame, right: DataFrame, key: str, block: str) -> Column:
+    return left[key].eqNullSafe(right["_key"]) & left[block].eqNullSafe(right["_at"])
+
+
+def _before(totals: DataFrame, key: str, sums: list[str], span: int, level: int) -> DataFrame:
+    """``_key``, ``_at``: every block of ``totals`` (key, ``_block``, ``_t_*``, ``_last``) with the sums of
+    all blocks before it (``_cs_*``) and the last row before it (``_before``)."""
+    outer = F.expr(f"_block div {span}") if level else F.lit(0).cast("bigint")
+    rows = totals.withColumn("_outer", outer)
+    inside = Window.partitionBy(key, "_outer").orderBy("_block")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    scanned = rows.withColumns(
+        {f"_cs_{n}": F.sum(f"_t_{n}").over(earlier) for n in sums}
+        | {"_before": F.lag("_last").over(inside), "_first": F.lag(F.lit(1)).over(inside).isNull()}
+    )
+    if not level:
+        return scanned.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), *[f"_cs_{n}" for n in sums], "_before")
+    wider = rows.groupBy(key, F.col("_outer").alias("_block")).agg(
+        F.max_by("_last", F.struct("_block")).alias("_last"), *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in sums]
+    )
+    carry = _before(wider.select(key, "_block", "_last", *[f"_t_{n}" for n in sums]), key, sums, span, level - 1)
+    outside = carry.select(
+        "_key", "_at", *[F.col(f"_cs_{n}").alias(f"_os_{n}") for n in sums], F.col("_before").alias("_outside")
+    )
+    return scanned.join(outside, _same(scanned, outside, key, "_outer"), "left").select(
+        F.col(key).alias("_key"), F.col("_block").alias("_at"),
+        *[_plus(F.col(f"_cs_{n}"), F.col(f"_os_{n}")).alias(f"_cs_{n}") for n in sums],
+        F.when(F.col("_first"), F.col("_outside")).otherwise(F.col("_before")).alias("_before"),
+    )
 
 
 def ordered_scan(
@@ -30,67 +59,37 @@ def ordered_scan(
     order: str,
     sums: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
-    sizes: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    span: int = BLOCK_SPAN,
+    span: int = SPAN,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Add running sums (current row included) and previous-row values per group.
 
-    ``order`` is an integer column, unique within each ``key``. ``previous`` values are NULL on
-    the first row of a group. ``sizes`` (key, rows) saves counting where ``df`` is expensive; it
-    may be approximate, since it only decides which groups are cut. NULL keys are never cut.
+    ``order`` is an integer column, unique within each ``key``; NULL is a key like any other.
+    ``previous`` values are NULL on the first row of a group. The rows are shuffled once, by key and
+    block; the scan of the blocks and their totals read the same exchange.
     """
     sums, previous = sums or {}, previous or {}
-    # At most rows / hot_rows keys, by construction: that bound is what allows the broadcast.
-    hot = (
-        (group_sizes(df, key) if sizes is None else sizes)
-        .filter(F.col(key).isNotNull() & (F.col("rows") > hot_rows))
-        .select(F.col(key).alias("_hot_key"))
-    )
-    # NULL where the group stays whole
-    block = F.when(F.col("_hot_key").isNotNull(), F.expr(f"`{order}` div {span}"))
-    rows = (
-        df.join(F.broadcast(hot), df[key] == hot["_hot_key"], "left")
-        .withColumn("_block", block)
-        .drop("_hot_key")
-        .repartition(key, "_block")
-    )
+    rows = df.withColumn("_block", F.expr(f"`{order}` div {span}")).repartition(key, "_block")
 
     in_block = Window.partitionBy(key, "_block").orderBy(order)
     to_here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {f"_s_{n}": F.sum(c).over(to_here) for n, c in sums.items()}
     local |= {f"_p_{n}": F.lag(c).over(in_block) for n, c in previous.items()}
-    if previous:
-        local["_first"] = F.lag(F.lit(1)).over(in_block).isNull()
+    local["_first"] = F.lag(F.lit(1)).over(in_block).isNull()
     scanned = rows.withColumns(local)
 
-    # Totals per block and the last row of each, with all its columns: needing the same columns as
-    # the scan is what lets both read one exchange. Groups that were not cut drop out here.
+    # The last row of a block is taken with all its columns: needing the same columns as the scan is
+    # what lets both read one exchange. Only the values asked for go on.
     last = F.struct(*[c.alias(f"_v_{n}") for n, c in previous.items()], *df.columns)
-    totals = (
-        rows.groupBy(F.col(key), F.col("_block"))
-        .agg(
-            F.max(F.col("_block").isNotNull()).alias("_cut"),
-            F.max_by(last, F.col(order)).alias("_last"),
-            *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
-        )
-        .filter("_cut")
-    )
-    blocks = Window.partitionBy(key).orderBy("_block")
-    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        # not the bare key: a null test on it would reach down into the shared exchange and split it
-        F.when(F.col("_cut"), F.col(key)).alias("_key"),
-        F.col("_block").alias("_at"),
-        *[F.sum(f"_t_{n}").over(before).alias(f"_cs_{n}") for n in sums],
-        *[F.lag("_last").over(blocks)[f"_v_{n}"].alias(f"_cp_{n}") for n in previous],
+    totals = rows.groupBy(key, "_block").agg(
+        F.max_by(last, F.col(order)).alias("_row"), *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
     )
-    joined = scanned.join(carry, (scanned[key] == carry["_key"]) & (scanned["_block"] == carry["_at"]), "left")
+    values = F.struct(F.lit(True).alias("_there"), *[F.col("_row")[f"_v_{n}"].alias(n) for n in previous])
+    totals = totals.select(key, "_block", values.alias("_last"), *[f"_t_{n}" for n in sums])
+    carry = _before(totals, key, list(sums), span, levels)
+    joined = scanned.join(carry, _same(scanned, carry, key, "_block"), "left")
 
     out = [F.col(c) for c in df.columns]
-    for n in sums:
-        seen = F.col(f"_s_{n}").isNotNull() | F.col(f"_cs_{n}").isNotNull()
-        total = F.coalesce(F.col(f"_cs_{n}"), F.lit(0)) + F.coalesce(F.col(f"_s_{n}"), F.lit(0))
-        out.append(F.when(seen, total).alias(n))
-    out += [F.when(F.col("_first"), F.col(f"_cp_{n}")).otherwise(F.col(f"_p_{n}")).alias(n) for n in previous]
+    out += [_plus(F.col(f"_cs_{n}"), F.col(f"_s_{n}")).alias(n) for n in sums]
+    out += [F.when(F.col("_first"), F.col("_before")[n]).otherwise(F.col(f"_p_{n}")).alias(n) for n in previous]
     return joined.select(*out)

@@ -209,13 +209,22 @@ def recent_transfers(df: DataFrame, key: str = "address", n: int = dims.MAX_TRAN
 
 
 def classify_addresses(addresses: DataFrame, tokens: DataFrame, key: str = "address") -> DataFrame:
-    """Add ``token`` (first record or NULL) and ``address_type``."""
-    found = tokens.select(F.col("address").alias(key), first_token(F.col("trc20_tokens")).alias("token"))
+    """Add ``token`` (first record or NULL) and ``address_type``; one lookup counts for each address."""
+    found = (
+        tokens.select(F.col("address").alias(key), first_token(F.col("trc20_tokens")).alias("token"))
+        .groupBy(key)
+        .agg(F.min("token").alias("token"))
+    )
     return addresses.join(found, key, "left").withColumn(
         "address_type", F.when(F.col("token").isNotNull(), "TOKEN_CONTRACT").otherwise("WALLET")
     )
 
 
+def _one_record(records: DataFrame, name: str) -> DataFrame:
+    """One record (a variant ``v``) per address: of several, the first by its text."""
+    return records.groupBy("address").agg(F.min_by("v", F.to_json("v")).alias(name))
+
+
 def score_addresses(
     addresses: DataFrame,
     tokens: DataFrame,
@@ -227,50 +236,48 @@ def score_addresses(
     """One result per distinct requested address.
 
     ``addresses`` has a column address; ``tokens`` address and trc20_tokens; ``security`` and
-    ``accounts`` address and v (a variant), one record per address; ``transfers`` raw transfers.
-    Requests are made distinct first, so a request repeated a million times is scored once.
-    Invalid addresses and wallets without an account record come out as success = false.
+    ``accounts`` address and v (a variant); ``transfers`` raw transfers, or fetched responses that
+    hold lists of them. Of several records for one address one counts. Requests are made distinct
+    first, so a request repeated a million times is scored once. Everything is joined once on the
+    address, and only transfers of requested wallets are counted and ranked. Invalid addresses and
+    wallets without an account record come out as success = false.
     """
     wanted = addresses.select(clean_address(F.col("address")).alias("address")).distinct()
-    invalid = wanted.filter(~valid_address(F.col("address"))).select(
-        "address", F.lit(dims.INVALID_ADDRESS).alias("error")
+    typed = classify_addresses(wanted, tokens).withColumn("_valid", is_true(valid_address(F.col("address"))))
+    known = (
+        typed.join(_one_record(security, "security"), "address", "left")
+        .join(_one_record(accounts, "account"), "address", "left")
     )
-    typed = classify_addresses(wanted.filter(valid_address(F.col("address"))), tokens)
-
-    token_rows = typed.filter(F.col("address_type") == "TOKEN_CONTRACT").join(
-        security.select("address", F.col("v").alias("security")), "address", "left"
-    )
-    token_rows = token_risk(token_rows).select(
-        "address",
-        F.col("address_type"),
-        F.lit("TRC20").alias("token_type"),
-        "score", "label", "codes", "warnings",
-        token_fields(F.col("token"), F.col("address")).alias("token"),
-        security_fields(F.col("security")).alias("security"),
+    if "token_transfers" in transfers.columns or "data" in transfers.columns:
+        transfers = transfer_list(transfers)
+    asked = transfer_fields(transfers).join(wanted, "address", "left_semi")
+    counts = asked.groupBy("address").agg(F.count("*").alias("n_transfers"))
+    latest = recent_transfers(asked).groupBy("address").agg(
+        # bounded: the ranking left at most twenty rows per address
+        F.array_sort(F.collect_list(F.struct("rank", "transactionHash", "from", "to", "token", "amount", "timestamp"))).alias("recent_transfers")
     )
+    rows = known.join(counts, "address", "left").join(latest, "address", "left")
 
-    latest = (
-        recent_transfers(transfer_fields(transfers))
-        .groupBy("address")
-        .agg(
-            # bounded: the ranking left at most twenty rows per address
-            F.array_sort(F.collect_list(F.struct("rank", "transactionHash", "from", "to", "token", "amount", "timestamp"))).alias("recent_transfers"),
-            F.count("*").alias("n_transfers"),
-        )
+    is_token = F.col("address_type") == "TOKEN_CONTRACT"
+    scores = ["score", "label", "codes", "warnings"]
+    both = wallet_risk(
+        token_risk(rows).withColumns({f"_token_{c}": F.col(c) for c in scores}).drop(*scores), as_of
     )
-    wallets = (
-        typed.filter(F.col("address_type") == "WALLET")
-        .select("address", "address_type")
-        .join(accounts.select("address", F.col("v").alias("account")), "address", "left")
+    error = (
+        F.when(~F.col("_valid"), dims.INVALID_ADDRESS)
+        .when(~is_token & F.col("account").isNull(), dims.NO_ACCOUNT)
     )
-    missing = wallets.filter(F.col("account").isNull()).select("address", F.lit(dims.NO_ACCOUNT).alias("error"))
-    wallet_rows = wallet_risk(
-        wallets.filter(F.col("account").isNotNull()).join(latest, "address", "left"), as_of
-    ).select(
-        "address", "address_type", "score", "label", "codes", "warnings",
-        wallet_fields(F.col("account")).alias("wallet"),
-        "recent_transfers",
+    ok, wallet = F.col("error").isNull(), F.col("error").isNull() & ~is_token
+    return both.withColumn("error", error).select(
+        "address",
+        F.when(ok, F.col("address_type")).alias("address_type"),
+        F.when(ok & is_token, "TRC20").alias("token_type"),
+        *[F.when(ok, F.when(is_token, F.col(f"_token_{c}")).otherwise(F.col(c))).alias(c) for c in scores],
+        F.when(ok & is_token, token_fields(F.col("token"), F.col("address"))).alias("token"),
+        F.when(ok & is_token, security_fields(F.col("security"))).alias("security"),
+        F.when(wallet, wallet_fields(F.col("account"))).alias("wallet"),
+        F.when(wallet, F.col("recent_transfers")).alias("recent_transfers"),
+        F.when(wallet, F.coalesce("n_transfers", F.lit(0))).alias("n_transfers"),
+        ok.alias("success"), "error", F.lit("TRON").alias("network"),
+        F.when(ok, dims.CHAIN_DISCLAIMER).alias("disclaimer"),
     )
-    results = token_rows.unionByName(wallet_rows, allowMissingColumns=True).withColumn("success", F.lit(True))
-    rejects = invalid.unionByName(missing).withColumn("success", F.lit(False))
-    return results.unionByName(rejects, allowMissingColumns=True).withColumn("network", F.lit("TRON"))

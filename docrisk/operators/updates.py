@@ -138,19 +138,30 @@ def error_messages(failed: DataFrame) -> DataFrame:
     )
 
 
-def first_updates(df: DataFrame) -> DataFrame:
-    """Batch deduplication: the earliest copy of every update id, with the number of copies.
+def first_updates(df: DataFrame, horizon: str = dims.DEDUP_HORIZON) -> DataFrame:
+    """Batch deduplication: every delivery that no kept one of the same id precedes by ``horizon`` or
+    less, with the number of copies it stands for.
 
-    Updates without an id are never duplicates. The earliest copy is found by partial
-    aggregation, so an id replayed a million times leaves one row per input task.
+    Updates without an id are never duplicates. Deliveries of one id at one time are one by partial
+    aggregation; the different times of an id are read in order, each either kept or counted for the
+    one kept before it.
     """
     rest = [c for c in df.columns if c != "event_time"]
     keyed = df.withColumn("_k", F.coalesce(F.col("update_id").cast("string"), F.uuid()))
-    return (
-        keyed.groupBy("_k")
-        .agg(
-            F.min_by(F.struct("event_time", *rest), F.col("event_time")).alias("_u"),
-            F.count("*").alias("n_copies"),
-        )
-        .select("_u.*", "n_copies")
+    moments = keyed.groupBy("_k", "event_time").agg(
+        F.min(F.struct(*rest)).alias("u"), F.count("*").alias("n_copies")
     )
+    delivery = F.struct("event_time", "u", "n_copies")
+    kind = f"array<struct<event_time: timestamp, u: {df.select(F.struct(*rest).alias('u')).schema['u'].dataType.simpleString()}, n_copies: bigint>>"
+
+    def step(kept: Column, x: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        repeat = (F.size(kept) > 0) & (x["event_time"] <= last["event_time"] + F.expr(f"interval {horizon}"))
+        counted = F.struct(last["event_time"].alias("event_time"), last["u"].alias("u"), (last["n_copies"] + x["n_copies"]).alias("n_copies"))
+        return F.when(repeat, F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(counted))).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate(F.array_sort(F.collect_list(delivery)), F.array().cast(kind), step)
+    # a delivery without a time has nothing to be compared by: it is kept
+    timed = moments.where("event_time is not null").groupBy("_k").agg(kept.alias("_kept")).select(F.explode("_kept").alias("_x")).select("_x.*")
+    untimed = moments.where("event_time is null").select("event_time", "u", "n_copies")
+    return timed.unionByName(untimed).select("event_time", "u.*", "n_copies")

@@ -11,22 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrisk import dims, schemas
-from docrisk.functions.ordered import group_sizes, ordered_scan
+from docrisk.functions.ordered import ordered_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal out the rows of a table that comes in fewer partitions than there are cores.
-
-    A large table has more splits than cores and is left as it is: no exchange is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def pick(key: str, values: list[str | None], shift: int = 0) -> str:
     """SQL: one of ``values`` by key; runs in Spark and in the checking engine."""
     arms = " ".join(
@@ -65,7 +56,7 @@ def _checks() -> Column:
 
 def checked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, checks: one document per order with up to 25 check results."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return orders.select(F.col("o_orderkey").alias("k"), _checks().alias("checks"))
 
 
@@ -74,7 +65,7 @@ def checked_orders_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = F.explode(F.sequence(F.lit(0), F.lit(len(dims.CHECK_NAMES) - 1))).alias("i")
     names = F.array(*[F.lit(n) for n in dims.CHECK_NAMES])
     statuses = F.array(*[F.lit(s) for s in dims.CHECK_STATUSES])
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
     rows = orders.select("o_orderkey", index).filter("(o_orderkey + 3 * i) % 11 <> 0")
     return rows.select(
         F.col("o_orderkey").alias("k"),
@@ -130,7 +121,7 @@ def answered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 10, F.concat(F.lit("```\n"), answer, F.lit("```")))
         .otherwise(answer)
     )
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return orders.withColumn("_a", _answer()).select(
         F.col("o_orderkey").cast("string").alias("doc_id"),
         F.expr(DOC_TYPE).alias("type"),
@@ -171,7 +162,7 @@ def contract_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"difference":0,"calculationConsistent":'), F.when(broken == 11, "null").otherwise(F.lit("true")),
         F.lit(',"evidence":"e"}}'),
     )
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return orders.select(k.alias("k"), text.alias("output_text"))
 
 
@@ -246,12 +237,6 @@ BALANCE_ERROR = "CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END"
 BALANCE_UNREADABLE = "event_id % 211 = 0"
 
 
-def statement_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stmt_id, rows: how long each statement is, without deriving its rows."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stmt_id"))
-    return group_sizes(events, "stmt_id")
-
-
 def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one statement per user in event order, 25 per page, with a shown balance."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
@@ -592,7 +577,7 @@ CAPTION = (
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
     return customers.select(F.col("c_custkey").alias("k"), F.expr(CAPTION).alias("text"))
 
 
@@ -656,7 +641,7 @@ CHAT = {
     "chat_id": "CASE WHEN u % 23 = 2 THEN 0 ELSE u + 1 END",
     "has_original": "u % 19 <> 3",
     "data": pick("u", ["bank:akbank", "mode:statement", "bank:", "other", None, "mode:statement", "bank:foo"]),
-    "text": "CASE u % 11 WHEN 0 THEN '/start x' WHEN 1 THEN '/help' WHEN 2 THEN '' ELSE substring(body, 1, 40) END",
+    "text": "CASE u % 11 WHEN 0 THEN '/start x' WHEN 1 THEN '/help' WHEN 2 THEN '' ELSE body END",
     "caption": "CASE WHEN u % 5 = 0 THEN 'Tutar: 12 TL' END",
     "file_kind": pick("u", ["photo", "video", "pdf", "zip", "none", "empty_photo", "document", "photos"]),
 }
@@ -668,7 +653,7 @@ def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         (F.lit(1000000000) + F.col("event_id")).alias("u"), F.col("props").alias("body")
     )
-    both = spread(turns.unionByName(events), "u")
+    both = turns.unionByName(events)
     return both.select("u", *[F.expr(sql).alias(name) for name, sql in CHAT.items()])
 
 
@@ -715,8 +700,8 @@ REPLAYED = "event_id % 10 = 0"
 
 
 def replayed_events(events: DataFrame) -> DataFrame:
-    """update_id, event_time, copy: every tenth update is delivered three times within minutes."""
-    delays = F.when(F.expr(REPLAYED), F.array(F.lit(0), F.lit(90), F.lit(300))).otherwise(F.array(F.lit(0)))
+    """update_id, event_time, copy: every tenth update is delivered again after 1.5, 5, 11 and 25 minutes."""
+    delays = F.when(F.expr(REPLAYED), F.array(*[F.lit(s) for s in (0, 90, 300, 660, 1500)])).otherwise(F.array(F.lit(0)))
     return events.select(
         F.col("event_id").alias("update_id"),
         F.col("ts").cast("timestamp").alias("_ts"),

@@ -339,7 +339,7 @@ _wallet_rules = [
     ("NEW", 5, f"c_custkey % 7 <> 0 AND {_age} >= 7 AND {_age} < 30"),
 ]
 WALLETS = """wallets AS (
-  SELECT c.*, least(20, coalesce(n, 0)) AS n
+  SELECT c.*, coalesce(n, 0) AS n
   FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t ON t.o_custkey = c.c_custkey)"""
 
 
@@ -407,7 +407,8 @@ SELECT address, error IS NULL AS success, error,
   CASE WHEN error IS NULL THEN CASE WHEN is_token THEN 'TOKEN_CONTRACT' ELSE 'WALLET' END END AS address_type,
   CASE WHEN error IS NULL THEN score END AS score, CASE WHEN error IS NULL THEN {_label('score')} END AS label,
   CASE WHEN error IS NULL THEN codes END AS codes,
-  CASE WHEN error IS NULL AND NOT is_token AND n > 0 THEN CAST(n AS INTEGER) END AS n_transfers
+  CASE WHEN error IS NULL AND NOT is_token THEN CAST(n AS BIGINT) END AS n_transfers,
+  CASE WHEN error IS NULL AND NOT is_token AND n > 0 THEN CAST(least(n, 20) AS INTEGER) END AS n_listed
 FROM scored"""
 
 # --- files ----------------------------------------------------------------------------------------------------------
@@ -611,7 +612,8 @@ SELECT CAST(u AS BIGINT) AS update_id, chat_id,
 FROM routed WHERE route <> 'drop'"""
 
 ORACLES["update_dedup_batch"] = f"""
-SELECT event_id AS update_id, 0 AS copy, CAST(CASE WHEN {a.REPLAYED} THEN 3 ELSE 1 END AS BIGINT) AS n_copies FROM events"""
+SELECT event_id AS update_id, 0 AS copy, CAST(CASE WHEN {a.REPLAYED} THEN 3 ELSE 1 END AS BIGINT) AS n_copies FROM events
+UNION ALL SELECT event_id, c.copy, CAST(1 AS BIGINT) FROM events, (SELECT 3 AS copy UNION ALL SELECT 4 AS copy) c WHERE {a.REPLAYED}"""
 ORACLES["update_dedup_stream"] = "SELECT event_id AS update_id FROM events"
 
 # --- reports -------------------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docrisk import dims
 
-_KEY = "_k"
+_KEY, _ARRIVED = "_k", "_arrived"
 
 
 def _keyed(updates: DataFrame) -> DataFrame:
@@ -24,17 +24,19 @@ def _keyed(updates: DataFrame) -> DataFrame:
 def dedup_updates(updates: DataFrame, horizon: str = dims.DEDUP_HORIZON, exact: bool = False) -> DataFrame:
     """Drop updates whose id was seen within ``horizon`` of its first processing.
 
-    The default works on event time inside the JVM and forgets an id once the watermark has
-    passed it by ``horizon``. ``exact`` measures processing time, reports repeats with
-    ``duplicate = true`` instead of dropping them, and readmits an id after exactly the horizon. It
-    keeps planning batches to expire state, so a run over what is there (``availableNow``) only ends
-    with ``spark.sql.streaming.noDataMicroBatches.enabled=false``.
+    The default works inside the JVM on the time at which an update arrives, so a first delivery
+    always comes out, however old its own time is. An id is forgotten once the stream is ``horizon``
+    past its first arrival: Spark keeps it for the watermark's delay, and the watermark is that delay
+    behind, so the delay is half the horizon. ``exact`` reports repeats with ``duplicate = true``
+    instead of dropping them; it calls Python once for every id, so it is for small streams. It keeps
+    planning batches to expire state, so a run over what is there (``availableNow``) only ends with
+    ``spark.sql.streaming.noDataMicroBatches.enabled=false``.
     """
     if exact:
         return _flag_repeats(updates, horizon)
-    return (
-        _keyed(updates.withWatermark("event_time", horizon)).dropDuplicatesWithinWatermark([_KEY]).drop(_KEY)
-    )
+    half = f"{int(pd.Timedelta(horizon).total_seconds() * 500)} milliseconds"
+    arrived = _keyed(updates).withColumn(_ARRIVED, F.current_timestamp())
+    return arrived.withWatermark(_ARRIVED, half).dropDuplicatesWithinWatermark([_KEY]).drop(_KEY, _ARRIVED)
 
 
 class _FirstSeen(StatefulProcessor):

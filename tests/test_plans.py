@@ -72,7 +72,7 @@ def final_plan(df) -> str:
     return plan(df).split("== Initial Plan")[0]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 10, "span": 16}])
+@pytest.mark.parametrize("options", [{}, {"span": 16}])
 def test_ordered_scan_shuffles_rows_once(spark, sf_dir, options):
     events = a.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     scanned = ordered_scan(

@@ -10,7 +10,7 @@ from docrisk.functions.ordered import ordered_scan
 from docrisk.operators import frames, statement
 from docrisk.plans import adapters as a
 
-SPLIT = {"hot_rows": 20, "span": 16}
+SPLIT = {"span": 16}
 
 
 def brute_force(rows):
@@ -24,7 +24,7 @@ def brute_force(rows):
     return {r[:5] for r in out}
 
 
-@pytest.mark.parametrize("options", [{}, SPLIT, {"hot_rows": 0, "span": 3}])
+@pytest.mark.parametrize("options", [{}, SPLIT, {"span": 3}])
 def test_scan_equals_brute_force_under_skew(spark, options):
     rng = random.Random(11)
     rows = [("hot", s, rng.choice([None, 1, 5, -2])) for s in rng.sample(range(-1, 400), 200)]
@@ -52,7 +52,7 @@ def header_of(spark, **values):
     return df.select("stmt_id", *[F.col(c).cast(MONEY).alias(c) for c in df.columns[1:]])
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 0, "span": 1}])
+@pytest.mark.parametrize("options", [{}, {"span": 1}])
 def test_running_balance(spark, options):
     rows = [("s", 1, 2000.0, None, 12000.0), ("s", 2, None, 500.0, 11400.0), ("s", 3, 1.0, None, 11401.0), ("s", 4, None, None, None),
             ("other", 1, 5.0, None, 5.0)]
@@ -84,7 +84,7 @@ def test_totals(spark):
     assert (off.closing_matches, off.in_matches, off.out_matches) == (False, True, False)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 0, "span": 2}])
+@pytest.mark.parametrize("options", [{}, {"span": 2}])
 def test_pages(spark, options):
     pages = spark.createDataFrame(
         [("s", 1, 0.0, 10.0), ("s", 2, 10.0, 20.0), ("s", 3, 21.0, 30.0), ("s", 5, 99.0, 1.0), ("s", 6, 1.0, 2.0)],
@@ -108,7 +108,7 @@ def test_dates(spark):
     texts = ["2024-01-05", "04.01.2024", "2024-02-31", "06/01/2024", "2023-12-31", "yarın", None, "29.02.2024"]
     rows = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "stmt_id string, seq bigint, tx_date_text string")
     header = spark.sql("select 's' stmt_id, date '2024-01-01' period_start, date '2024-01-31' period_end")
-    for options in ({}, {"hot_rows": 0, "span": 2}):
+    for options in ({}, {"span": 2}):
         r = statement.date_findings(rows, header, **options).first()
         assert (r.n_backwards, r.n_impossible, r.n_out_of_period, r.n_formats) == (2, 2, 2, 4)
 
@@ -139,5 +139,5 @@ def test_adapter_order_survives_splitting(spark, sf_dir):
     events = a.table(spark, sf_dir, "events").select("event_id", "value", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("u"))
     args = dict(sums={"n": F.lit(1), "s": F.col("value").cast("decimal(18,2)")}, previous={"p": F.col("value")})
     whole = ordered_scan(events, "u", "event_id", **args)
-    cut = ordered_scan(events, "u", "event_id", **args, hot_rows=100, span=64)
+    cut = ordered_scan(events, "u", "event_id", **args, span=64)
     assert whole.exceptAll(cut).count() == cut.exceptAll(whole).count() == 0

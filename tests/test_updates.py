@@ -100,6 +100,15 @@ def test_first_updates(spark):
     assert [(r.event_time.minute, r.n_copies) for r in got if r.update_id == 1] == [(0, 2)]
 
 
+def test_first_updates_readmits_after_the_horizon(spark):
+    minutes = {1: [0, 5, 10, 11, 12, 21, 22], 2: [30, 30, 41, 41]}
+    df = spark.createDataFrame([(i, 60 * m) for i, ms in minutes.items() for m in ms], "update_id bigint, s bigint")
+    df = df.select("update_id", F.timestamp_seconds("s").alias("event_time"))
+    got = sorted((r.update_id, r.event_time.minute, r.n_copies) for r in updates.first_updates(df).collect())
+    assert got == [(1, 0, 3), (1, 11, 3), (1, 22, 1), (2, 30, 2), (2, 41, 2)]
+    assert updates.first_updates(df.limit(0)).collect() == []
+
+
 def at(i, minute):
     return json.dumps({"update_id": i, "event_time": f"2024-01-01T00:{minute:02d}:00Z", "message": message(text="a")})
 
@@ -123,6 +132,10 @@ def test_watermark_dedup(spark, tmp_path):
     # the state outlives the query: a repeat in a later run is still a duplicate
     write_updates(tmp_path / "u", [at(1, 8), at(3, 9)], "1.json")
     assert run() == [0, 0, 1, 2, 3]
+    # a first delivery comes out, however old it is
+    write_updates(tmp_path / "u", [at(5, 0), at(4, 59)], "2.json")
+    write_updates(tmp_path / "u", [at(6, 1), at(5, 0)], "3.json")
+    assert run() == [0, 0, 1, 2, 3, 4, 5, 6]
 
 
 @pytest.fixture
