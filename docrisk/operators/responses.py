@@ -57,7 +57,7 @@ def receipt_fields(df: DataFrame, response: str = "response", shared: str | None
         "model_label": text_of(every, "riskLabel"),
         "confidence": F.coalesce(at["confidence"], F.lit(0.0)),
         "summary": text_of(every, "summary"),
-        "model_categories": F.struct(*[at[f"categories.{c}"].cast("int").alias(c) for c in dims.CATEGORY_WEIGHTS]),
+        "model_categories": F.struct(*[at[f"categories.{c}"].alias(c) for c in dims.CATEGORY_WEIGHTS]),
         "limitations": _texts(every, "limitations"),
         "checks": F.expr(f"struct({checks})"),
         "amount": F.struct(
@@ -72,6 +72,18 @@ def receipt_fields(df: DataFrame, response: str = "response", shared: str | None
     return staged.withColumns(columns).drop("_raw", "_numbers")
 
 
+def amount_analysis(response: Column) -> Column:
+    """The model's amounts as it gave them; a field of another kind is NULL, and so is the whole
+    where there is none."""
+    numbers = ["amount", "subtotal", "taxAmount", "totalAmount", "calculatedTotal", "difference"]
+    fields = F.struct(
+        *[F.try_variant_get(response, f"$.amountAnalysis.{n}", "double").alias(n) for n in numbers],
+        F.try_variant_get(response, "$.amountAnalysis.calculationConsistent", "boolean").alias("calculationConsistent"),
+        text_of(response, "amountAnalysis.evidence").alias("evidence"),
+    )
+    return F.when(F.try_variant_get(response, "$.amountAnalysis", "variant").isNotNull(), fields)
+
+
 def statement_fields(df: DataFrame, response: str = "response") -> DataFrame:
     """Typed columns only statement responses have; ``evidence_list`` is empty where it has none."""
     v = F.col(response)

@@ -92,21 +92,24 @@ def weights_table(spark) -> DataFrame:
 def category_risks_long(checks: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:
     """Category risks from long check rows (key, check, status, score) and a weight table.
 
-    Weights are whole tenths and scores whole numbers, so the sums are exact in any order.
-    ``weights`` has one row per category and check; the fixed table has 39.
+    Weights are whole tenths and scores are taken to six decimals, so the sums are exact in any
+    order. ``weights`` has one row per category and check. Every document has all five categories: one
+    without a usable check has risk 0.
     """
-    usable = F.when(~is_true(F.col("status") == "unknown"), F.greatest(F.lit(0), F.least(F.lit(100), F.col("score"))))
-    usable = F.when(F.col("score").isNotNull(), usable.cast("bigint"))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.col("score").cast("double")))
+    usable = F.when(F.col("score").isNotNull() & ~is_true(F.col("status") == "unknown"), F.round(score * 1000000).cast("bigint"))
+    scored = checks.withColumn("_s", usable).join(weights, "check").select(
+        key, "category", (F.col("_s") * F.col("tenths")).alias("_n"), F.when(F.col("_s").isNotNull(), F.col("tenths")).alias("_d")
+    )
+    categories = F.explode(F.array(*[F.lit(c) for c in dims.CATEGORY_WEIGHTS])).alias("category")
+    nothing = [F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_d")]
+    every = checks.select(key).distinct().select(key, categories, *nothing)
     sums = (
-        checks.withColumn("_s", usable)
-        .join(F.broadcast(weights), "check")
+        scored.unionByName(every)
         .groupBy(key, "category")
-        .agg(
-            F.coalesce(F.sum(F.col("_s") * F.col("tenths")), F.lit(0)).alias("_n"),
-            F.coalesce(F.sum(F.when(F.col("_s").isNotNull(), F.col("tenths"))), F.lit(0)).alias("_d"),
-        )
+        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("_d"), F.lit(0)).alias("_d"))
     )
-    mean = F.when(F.col("_d") == 0, F.lit(0)).otherwise(F.expr("(2 * _n + _d) div (2 * _d)"))
+    mean = F.when(F.col("_d") == 0, F.lit(0)).otherwise(F.expr("(2 * _n + 1000000 * _d) div (2000000 * _d)"))
     return sums.select(key, "category", mean.cast("int").alias("risk"))
 
 

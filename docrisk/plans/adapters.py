@@ -60,18 +60,23 @@ def checked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("k"), _checks().alias("checks"))
 
 
+LONG_SCORE = "(o_orderkey % 5) * 20 + (o_orderkey * 7 + i * 13) % 41 - 10 + (o_orderkey % 4) * 0.25"
+# every 23rd order has one check alone, so that some categories have none
+LONG_DROPPED = "o_orderkey % 23 = 0 AND i <> 4"
+
+
 def checked_orders_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, check, status, score: the same as one row per check."""
     index = F.explode(F.sequence(F.lit(0), F.lit(len(dims.CHECK_NAMES) - 1))).alias("i")
     names = F.array(*[F.lit(n) for n in dims.CHECK_NAMES])
     statuses = F.array(*[F.lit(s) for s in dims.CHECK_STATUSES])
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    rows = orders.select("o_orderkey", index).filter("(o_orderkey + 3 * i) % 11 <> 0")
+    rows = orders.select("o_orderkey", index).filter(f"(o_orderkey + 3 * i) % 11 <> 0 and not ({LONG_DROPPED})")
     return rows.select(
         F.col("o_orderkey").alias("k"),
         F.get(names, F.col("i")).alias("check"),
         F.get(statuses, F.expr("cast((o_orderkey + i) % 4 as int)")).alias("status"),
-        F.expr("(o_orderkey % 5) * 20 + (o_orderkey * 7 + i * 13) % 41 - 10").alias("score"),
+        F.expr(LONG_SCORE).cast("double").alias("score"),
     )
 
 
@@ -84,14 +89,18 @@ ANSWER_EVIDENCE = "CASE WHEN o_orderkey % 4 = 0 THEN 'tutar' ELSE '' END"
 ANSWER_DIFFERENCE_CENTS = "o_orderkey % 5 - 2"
 ANSWER_INCONSISTENT = "o_orderkey % 2 = 1"
 ANSWER_NO_TOTAL = "o_orderkey % 9 = 0"
-ANSWER_RISK = "o_orderkey % 101"
+# the model's own risk: mostly whole, some with a fraction, too large for an integer, text or null
+ANSWER_RISK = (
+    "CASE o_orderkey % 13 WHEN 1 THEN '45.9' WHEN 2 THEN '99999999999' WHEN 3 THEN '\"yok\"' WHEN 4 THEN 'null' "
+    "ELSE cast(o_orderkey % 101 AS string) END"
+)
 ANSWER_KIND = "o_orderkey % 24"  # 7: two objects, 6: null, 11: empty, 3 and 19: prose, 2, 10: fences
 
 
 def _answer() -> Column:
     checks = F.to_json(_checks())
     return F.concat(
-        F.lit('{"overallRisk":'), F.expr(f"cast({ANSWER_RISK} as string)"),
+        F.lit('{"overallRisk":'), F.expr(ANSWER_RISK),
         F.lit(',"riskLabel":"HIGH RISK","confidence":'), F.expr("cast(50 + o_orderkey % 50 as string)"),
         F.lit(',"summary":"'), F.expr(ANSWER_SUMMARY),
         F.lit('","categories":{"visualRisk":1,"textRisk":2,"layoutRisk":3,"financialDataRisk":4,"editingRisk":5}'),

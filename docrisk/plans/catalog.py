@@ -86,6 +86,8 @@ def screen_answers(spark, sf_dir):
         "doc_id", "type", "success", "error", "bank", "reference", "overall_risk", "risk_label", "score", "suspicious",
         *[F.col("categories")[c].alias(c) for c in dims.CATEGORY_WEIGHTS],
         "confidence", F.array_join("evidence", "|").alias("evidence"),
+        F.col("amount_analysis.totalAmount").alias("total"), F.col("amount_analysis.difference").alias("difference"),
+        F.col("amount_analysis.calculationConsistent").alias("adds_up"),
     )
 
 

@@ -91,13 +91,19 @@ long AS (
   SELECT o_orderkey AS k, i, {_statuses}[CAST((o_orderkey + i) % 4 AS INTEGER) + 1] AS status,
     (o_orderkey % 5) * 20 + (o_orderkey * 7 + i * 13) % 41 - 10 AS score
   FROM orders, (SELECT unnest(range({len(dims.CHECK_NAMES)})) AS i) WHERE (o_orderkey + 3 * i) % 11 <> 0)"""
+_all = "(VALUES " + ", ".join(f"('{c}')" for c in dims.CATEGORY_WEIGHTS) + ")"
 ORACLES["risk_long"] = f"""
-WITH {LONG}, w(category, i, tenths) AS (VALUES {_weights}),
+WITH long AS (
+  SELECT o_orderkey AS k, i, {_statuses}[CAST((o_orderkey + i) % 4 AS INTEGER) + 1] AS status, CAST({a.LONG_SCORE} AS DECIMAL(18,2)) AS score
+  FROM orders, (SELECT unnest(range({len(dims.CHECK_NAMES)})) AS i) WHERE (o_orderkey + 3 * i) % 11 <> 0 AND NOT ({a.LONG_DROPPED})),
+w(category, i, tenths) AS (VALUES {_weights}),
 sums AS (
-  SELECT k, category, sum(CASE WHEN status <> 'unknown' THEN least(100, greatest(0, score)) * tenths ELSE 0 END) AS n,
+  SELECT k, category, sum(CASE WHEN status <> 'unknown' THEN CAST(least(100, greatest(0, score)) * 100 AS BIGINT) * tenths ELSE 0 END) AS n,
     sum(CASE WHEN status <> 'unknown' THEN tenths ELSE 0 END) AS d
-  FROM long JOIN w USING (i) GROUP BY k, category)
-SELECT k, category, CAST(CASE WHEN d = 0 THEN 0 ELSE (2 * n + d) // (2 * d) END AS INTEGER) AS risk FROM sums"""
+  FROM long JOIN w USING (i) GROUP BY k, category),
+docs AS (SELECT DISTINCT k FROM long), categories(category) AS {_all}
+SELECT k, category, CAST(CASE WHEN coalesce(d, 0) = 0 THEN 0 ELSE (2 * n + 100 * d) // (200 * d) END AS INTEGER) AS risk
+FROM docs CROSS JOIN categories LEFT JOIN sums USING (k, category)"""
 
 ORACLES["check_statuses"] = f"""
 WITH {LONG} SELECT {_names}[CAST(i AS INTEGER) + 1] AS "check", status, count(*) AS n, CAST(sum(score) AS BIGINT) AS total
@@ -151,7 +157,7 @@ ORACLES["screen_answers"] = f"""
 WITH {RISK},
 typed AS (
   SELECT *, {a.DOC_TYPE} AS type, {a.DOC_BANK} AS name, {a.ANSWER_KIND} AS kind, {a.ANSWER_SUMMARY} AS summary,
-    {a.ANSWER_EVIDENCE} AS note, {a.ANSWER_RISK} AS model FROM risks),
+    {a.ANSWER_EVIDENCE} AS note, coalesce(TRY_CAST({a.ANSWER_RISK.replace('string', 'VARCHAR')} AS DOUBLE), 0) AS model FROM risks),
 engine AS (
   SELECT *, {_bank('name')} AS b, type IN ('image', 'pdf') AS scored,
     CAST(round(least(100e0, greatest(0e0, {_engine}
@@ -161,7 +167,7 @@ engine AS (
       WHEN kind IN (6, 7) THEN CASE type WHEN 'statement' THEN '{dims.INVALID_ANSWER['statement']}'
         WHEN 'video' THEN '{dims.INVALID_ANSWER['video']}' ELSE '{dims.INVALID_ANSWER['receipt']}' END END AS error
   FROM typed),
-final AS (SELECT *, CASE WHEN scored THEN total ELSE CAST(model AS INTEGER) END AS risk FROM engine)
+final AS (SELECT *, CAST(CASE WHEN scored THEN total ELSE model END AS DOUBLE) AS risk FROM engine)
 SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, type, error IS NULL AS success, error,
   CASE WHEN error IS NULL THEN b END AS bank,
   CASE WHEN error IS NULL AND scored THEN CASE b {_templates} END END AS reference,
@@ -169,11 +175,14 @@ SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, type, error IS NULL AS success, er
   CASE WHEN error IS NULL THEN CASE WHEN scored THEN {_label('risk')} ELSE 'HIGH RISK' END END AS risk_label,
   CASE WHEN error IS NULL THEN CAST(risk AS DOUBLE) END AS score,
   CASE WHEN error IS NULL THEN risk >= 46 END AS suspicious,
-  {', '.join(f"CASE WHEN error IS NULL THEN CASE WHEN scored THEN {c} ELSE {v} END END AS {c}" for c, v in _seeded.items())},
+  {', '.join(f"CASE WHEN error IS NULL THEN CAST(CASE WHEN scored THEN {c} ELSE {v} END AS DOUBLE) END AS {c}" for c, v in _seeded.items())},
   CASE WHEN error IS NULL THEN CAST(50 + o_orderkey % 50 AS DOUBLE) END AS confidence,
   CASE WHEN error IS NULL THEN CASE WHEN type = 'statement' THEN 'satir' WHEN note <> '' THEN note
     WHEN summary <> '' THEN summary WHEN type = 'video' THEN '{dims.EVIDENCE_DEFAULT['video']}'
-    ELSE '{dims.EVIDENCE_DEFAULT['receipt']}' END END AS evidence
+    ELSE '{dims.EVIDENCE_DEFAULT['receipt']}' END END AS evidence,
+  CASE WHEN error IS NULL AND type <> 'statement' THEN CAST(10 AS DOUBLE) END AS total,
+  CASE WHEN error IS NULL AND type <> 'statement' THEN {_cents} / 100e0 END AS difference,
+  CASE WHEN error IS NULL AND type <> 'statement' THEN NOT ({a.ANSWER_INCONSISTENT}) END AS adds_up
 FROM final"""
 
 _breaks = {

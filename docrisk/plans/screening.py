@@ -9,13 +9,14 @@ from docrisk import dims
 from docrisk.functions.scoring import suspicious
 from docrisk.functions.values import first_text, non_empty
 from docrisk.operators.intake import attach_template
-from docrisk.operators.responses import parse_responses, receipt_fields, statement_fields
+from docrisk.operators.responses import amount_analysis, parse_responses, receipt_fields, statement_fields
 from docrisk.operators.risk import score_documents
 
 RESULT = [
     "overall_risk", "risk_label", "confidence", "summary", "categories", "checks", "balance_analysis",
-    "transaction_analysis", "limitations", "score", "suspicious", "evidence",
+    "transaction_analysis", "amount_analysis", "limitations", "score", "suspicious", "evidence",
 ]
+_CATEGORIES = "struct<" + ", ".join(f"{c}: double" for c in dims.CATEGORY_WEIGHTS) + ">"
 
 
 def _is_statement() -> Column:
@@ -42,8 +43,9 @@ def screen_documents(documents: DataFrame, templates: DataFrame | None = None) -
 
     ``documents`` has doc_id, type, file_name, bank, error (see ``resolve_manifest``) and
     output_text, the model's answer. Error rows have success = false and an error; everything
-    else has score, label, categories and evidence. All types go through one pass: the answer is
-    parsed once and nothing is exchanged.
+    else has score, label, categories and evidence. Scores and categories that the model gave stay as
+    it gave them. Where ``documents`` has the sampled ``frames`` of videos, they come out as
+    ``video_frames``. All types go through one pass: the answer is parsed once and nothing is exchanged.
     """
     if templates is not None:
         documents = attach_template(documents, templates.select("bank", "reference"))
@@ -67,12 +69,13 @@ def screen_documents(documents: DataFrame, templates: DataFrame | None = None) -
     columns = {
         "score": score,
         "suspicious": suspicious(score),
-        "overall_risk": F.when(engine, F.col("overall_risk")).otherwise(F.col("model_risk").cast("int")),
+        "overall_risk": F.when(engine, F.col("overall_risk").cast("double")).otherwise(F.col("model_risk")),
         "risk_label": F.when(engine, F.col("risk_label")).otherwise(F.col("model_label")),
-        "categories": F.when(engine, F.col("categories")).otherwise(F.col("model_categories")),
+        "categories": F.when(engine, F.col("categories").cast(_CATEGORIES)).otherwise(F.col("model_categories")),
         "checks": F.when(~_is_statement(), F.col("checks")),
         "balance_analysis": F.when(_is_statement(), F.col("balance_analysis")),
         "transaction_analysis": F.when(_is_statement(), F.col("transaction_analysis")),
+        "amount_analysis": F.when(~_is_statement(), amount_analysis(F.col("response"))),
         "evidence": F.when(_is_statement(), F.col("evidence_list")).otherwise(F.array(note)),
     }
     merged = scored.withColumns(columns)
@@ -80,6 +83,7 @@ def screen_documents(documents: DataFrame, templates: DataFrame | None = None) -
     return merged.select(
         "doc_id", "type", "file_name",
         *[F.when(ok, F.col(c)).alias(c) for c in ("bank", "reference", *RESULT)],
+        *([F.when(ok & (F.col("type") == "video"), F.col("frames")).alias("video_frames")] if "frames" in documents.columns else []),
         ok.alias("success"), F.col("_error").alias("error"),
     )
 

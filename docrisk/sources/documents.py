@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrisk import dims, schemas
@@ -20,14 +20,29 @@ def read_documents(spark: SparkSession, path: str, max_bytes: int = dims.MAX_UPL
     return _files(spark, path).filter((F.col("length") > 0) & (F.col("length") <= max_bytes))
 
 
-def rejected_documents(spark: SparkSession, path: str, max_bytes: int = dims.MAX_UPLOAD_BYTES) -> DataFrame:
-    """The files ``read_documents`` leaves out, with the reason; their content is not read."""
-    error = F.when(F.col("length") == 0, dims.EMPTY_FILE).otherwise(dims.TOO_LARGE)
-    return (
-        _files(spark, path)
-        .filter((F.col("length") == 0) | (F.col("length") > max_bytes))
-        .select("path", "length", F.lit(False).alias("success"), error.alias("error"))
-    )
+def _plain(path: Column) -> Column:
+    """A file's URI with one slash behind the scheme and nothing escaped."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(decoded, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def rejected_documents(
+    spark: SparkSession, path: str, max_bytes: int = dims.MAX_UPLOAD_BYTES, requested: DataFrame | None = None
+) -> DataFrame:
+    """The files ``read_documents`` leaves out, with the reason; their content is not read.
+
+    Spark's file sources never show empty files, so those, and missing ones, are what was requested
+    and is not there: ``requested`` has the URIs in ``path`` (see the manifest). Without it, all files
+    that Spark lists under ``path`` count as requested.
+    """
+    there = _files(spark, path).select("path", "length")
+    if requested is None:
+        requested = spark.createDataFrame([(p,) for p in there.inputFiles()], "path string")
+    asked = requested.select(_plain(F.col("path")).alias("path")).distinct()
+    found = there.withColumn("path", _plain(F.col("path")))
+    absent = asked.join(found, "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("length"), F.lit(dims.EMPTY_FILE).alias("error"))
+    large = found.filter(F.col("length") > max_bytes).select("path", "length", F.lit(dims.TOO_LARGE).alias("error"))
+    return large.unionByName(absent).select("path", "length", F.lit(False).alias("success"), "error")
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
