@@ -9,9 +9,9 @@ of their words finds the edit distance, and texts are near duplicates if it is a
 of the longer text's words. Groups are the connected components of these links.
 
 Texts that share a value are not paired with one another but with the value's leader, the smallest
-id. Those that are no duplicates of it choose the next leaders among themselves, until none is left.
-Duplicates of a leader are compared with a later one only where the edit distances, by the triangle
-inequality, leave it possible that they are linked.
+id. Those that are no duplicates of it choose the next leaders among themselves, until all that are
+left are in one group anyway. Duplicates of a leader are compared with a later one only where the
+edit distances, by the triangle inequality, leave it possible that they are linked.
 """
 
 from __future__ import annotations
@@ -247,29 +247,33 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def links(members: DataFrame, words: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between near duplicates that share a value (``members``: ``value``, ``id``),
-    enough to connect all of them; ``words`` has the texts by ``id``.
+def groups(members: DataFrame, words: DataFrame) -> DataFrame:
+    """``id`` and ``class_id`` (smallest id of its group) of all texts that are duplicates of others
+    with which they share a value (``members``: ``value``, ``id``); ``words`` has the texts by ``id``.
 
-    In each round the texts of a value are compared with its leaders alone, the smallest ids: one at
-    first, then ``LEADERS``. Two texts need no comparison of their own if both are duplicates of one
-    leader, or one is and the other is far from it. So a text goes on to the next round if it is no
-    duplicate of any leader, or fails one closely, or is a duplicate of a leader that another failed
-    closely; the first two kinds lead in later rounds. Leaders have met all texts of their value and
-    leave. Rounds end when no value has both a leader and another text.
+    In each round the texts of a value are compared with its leaders alone: the smallest id at first,
+    then up to ``LEADERS`` texts, those of the groups with fewest texts there first. Texts of one group
+    need no comparison, so values that are left with one group are settled. Nor do two texts of which
+    one is a duplicate of a leader and the other is far from it. So a text goes on to the next round
+    if it is no duplicate of any leader, or fails one closely, or is a duplicate of a leader that
+    another failed closely; the first two kinds may lead later. Leaders have met all texts of their
+    value that they need to and leave. Rounds end when no value is left.
     """
-    spark = members.sparkSession
-    found = []
-    members = members.withColumn("leads", F.lit(True))
+    labels = members.sparkSession.createDataFrame([], "id long, class_id long")
+    members = members.withColumn("leads", F.lit(True)).withColumn("class_id", F.col("id"))
     done, leaders = None, 1
     while True:
-        place = F.row_number().over(Window.partitionBy("value").orderBy("id"))
-        leading = members.where("leads").withColumn("place", place).where(F.col("place") <= leaders).select("value", F.col("id").alias("lead"))
-        led = cut(members.join(leading, "value").where("id != lead"))
+        alike = Window.partitionBy("value", "class_id")
+        place = F.row_number().over(Window.partitionBy("value").orderBy("size", "id"))
+        sized = members.withColumn("size", F.count("*").over(alike) if done is not None else F.lit(1))
+        leading = (
+            sized.where("leads").withColumn("place", place).where(F.col("place") <= leaders)
+            .select("value", F.col("id").alias("lead"), F.col("class_id").alias("lead_class"))
+        )
+        met = members.join(leading.withColumnRenamed("value", "of"), (F.col("value") == F.col("of")) & (F.col("class_id") != F.col("lead_class")))
+        led = cut(met.select("value", "id", "leads", "lead", F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
         if led.isEmpty():
-            break
-        low, high = F.least("lead", "id"), F.greatest("lead", "id")
-        led = led.withColumns({"a": low, "b": high})
+            return labels
         pairs = led.select("a", "b").distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -280,24 +284,39 @@ def links(members: DataFrame, words: DataFrame) -> DataFrame:
             .mapInArrow(_verified, "a long, b long, near boolean, within boolean")
             .groupBy("a", "b").agg(F.max("near").alias("near"), F.max("within").alias("within"))
         )
-        found.append(checked.where("near").select("a", "b"))
         done = checked if done is None else cut(done.unionByName(checked))
+        labels = _merged(labels, checked.where("near").select("a", "b"))
         judged = led.join(done, ["a", "b"]).withColumn("close", F.col("within") & ~F.col("near"))
         missed = judged.groupBy("value", "lead").agg(F.max("close").alias("missed"))
-        gone = leading.withColumnRenamed("lead", "id")
-        members = cut(
+        going = (
             judged.join(missed, ["value", "lead"])
             .groupBy("value", "id")
             .agg(F.max("leads").alias("leads"), F.max("near").alias("near"), F.max("close").alias("close"), F.max(F.col("near") & F.col("missed")).alias("wanted"))
             .where("not near or close or wanted or not leads")
             .select("value", "id", (F.col("close") | (F.col("leads") & ~F.col("near"))).alias("leads"))
-            .join(gone, ["value", "id"], "left_anti")
         )
+        # texts of a leader's own group were not compared with it and go on as they are
+        same = members.join(led.select("value", "id").distinct(), ["value", "id"], "left_anti").select("value", "id", "leads")
+        settled = leading.select("value", F.col("lead").alias("id"))
+        named = (
+            going.unionByName(same).join(settled, ["value", "id"], "left_anti")
+            .join(labels, "id", "left")
+            .select("value", "id", "leads", F.coalesce("class_id", "id").alias("class_id"))
+        )
+        several = named.groupBy("value").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("leads").alias("any"))
+        members = cut(named.join(several.where("low < high and any").select("value"), "value"))
         leaders = LEADERS
-    result = spark.createDataFrame([], "a long, b long")
-    for part in found:
-        result = result.unionByName(part)
-    return result
+
+
+def _merged(labels: DataFrame, near: DataFrame) -> DataFrame:
+    """Groups with further links: the links between groups are followed, then all are renamed."""
+    a = labels.select(F.col("id").alias("a"), F.col("class_id").alias("ca"))
+    b = labels.select(F.col("id").alias("b"), F.col("class_id").alias("cb"))
+    between = near.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    renamed = components(between).select(F.col("id").alias("old"), F.col("class_id").alias("new"))
+    kept = labels.join(renamed, F.col("class_id") == F.col("old"), "left").select("id", F.coalesce("new", "class_id").alias("class_id"))
+    fresh = renamed.join(labels.select(F.col("id").alias("old")), "old", "left_anti").select(F.col("old").alias("id"), F.col("new").alias("class_id"))
+    return cut(kept.unionByName(fresh))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -320,7 +339,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = shown.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("value")
     members = cut(shown.join(shared, "value").select("value", "id").distinct())
     words = cut(texts.join(members.select("id").distinct(), "id").mapInArrow(_word_rows, "id long, words array<int>").distinct())
-    linked = components(links(members, words))
+    linked = groups(members, words)
     first = texts.mapInArrow(_key_rows, "id long, one long, two long")
     copies = first.groupBy("one", "two").agg(F.min("id").alias("copy_of"))
     known = (

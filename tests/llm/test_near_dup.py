@@ -77,13 +77,31 @@ def test_residual_leaders_lose_no_link(spark):
     words = {i: (W.words([" ".join(t)]).hashes() >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist() for i, t in texts.items()}
     members = spark.createDataFrame([(7, i) for i in texts], "value long, id long")
     table = spark.createDataFrame(list(words.items()), "id long, words array<int>")
-    got = {tuple(sorted((r.a, r.b))) for r in N.links(members, table).collect()}
     near = {(i, j) for i in texts for j in texts if i < j and edits(texts[i], texts[j]) <= 20}
-    assert got <= near
-    parts = components(spark.createDataFrame(sorted(got), "a long, b long"))
-    label = {r.id: r.class_id for r in parts.collect()}
-    assert all(label.get(i, i) == label.get(j, j) for i, j in near)
-    assert label == {2: 2, 3: 2, 4: 4, 5: 4}
+    assert near == {(2, 3), (4, 5)}
+    assert {r.id: r.class_id for r in N.groups(members, table).collect()} == {2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_groups_are_the_components_of_all_links_of_a_value(spark):
+    """One value shared by texts at all distances, so that many fail a leader closely."""
+    rng = random.Random(8)
+    base = [_share(rng, 40) for _ in range(3)]
+    texts = {}
+    for i in range(1, 60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 16)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+        texts[i] = w
+    words = {i: (W.words([" ".join(t)]).hashes() >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist() for i, t in texts.items()}
+    label = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and edits(texts[i], texts[j]) <= 8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    members = spark.createDataFrame([(v, i) for i in texts for v in (7, 8 + i % 2)], "value long, id long")
+    got = {r.id: r.class_id for r in N.groups(members, spark.createDataFrame(list(words.items()), "id long, words array<int>")).collect()}
+    assert {i: got.get(i, i) for i in texts} == label
 
 
 def test_components_of_chain_star_and_ring(spark):
