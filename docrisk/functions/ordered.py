@@ -22,32 +22,28 @@ def _plus(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
 
-def _same(left: DataFrame, right: DataFrame, key: str, block: str) -> Column:
-    return left[key].eqNullSafe(right["_key"]) & left[block].eqNullSafe(right["_at"])
-
-
-def _before(totals: DataFrame, key: str, sums: list[str], span: int, level: int) -> DataFrame:
-    """``_key``, ``_at``: every block of ``totals`` (key, ``_block``, ``_t_*``, ``_last``) with the sums of
+def _before(totals: DataFrame, sums: list[str], span: int, level: int) -> DataFrame:
+    """``_key``, ``_at``: every block of ``totals`` (``_k``, ``_block``, ``_t_*``, ``_last``) with the sums of
     all blocks before it (``_cs_*``) and the last row before it (``_before``)."""
     outer = F.expr(f"_block div {span}") if level else F.lit(0).cast("bigint")
     rows = totals.withColumn("_outer", outer)
-    inside = Window.partitionBy(key, "_outer").orderBy("_block")
+    inside = Window.partitionBy("_k", "_outer").orderBy("_block")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     scanned = rows.withColumns(
         {f"_cs_{n}": F.sum(f"_t_{n}").over(earlier) for n in sums}
         | {"_before": F.lag("_last").over(inside), "_first": F.lag(F.lit(1)).over(inside).isNull()}
     )
     if not level:
-        return scanned.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), *[f"_cs_{n}" for n in sums], "_before")
-    wider = rows.groupBy(key, F.col("_outer").alias("_block")).agg(
+        return scanned.select(F.col("_k").alias("_key"), F.col("_block").alias("_at"), *[f"_cs_{n}" for n in sums], "_before")
+    wider = rows.groupBy("_k", F.col("_outer").alias("_block")).agg(
         F.max_by("_last", F.struct("_block")).alias("_last"), *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in sums]
     )
-    carry = _before(wider.select(key, "_block", "_last", *[f"_t_{n}" for n in sums]), key, sums, span, level - 1)
+    carry = _before(wider.select("_k", "_block", "_last", *[f"_t_{n}" for n in sums]), sums, span, level - 1)
     outside = carry.select(
-        "_key", "_at", *[F.col(f"_cs_{n}").alias(f"_os_{n}") for n in sums], F.col("_before").alias("_outside")
+        F.col("_key").alias("_k"), F.col("_at").alias("_outer"), *[F.col(f"_cs_{n}").alias(f"_os_{n}") for n in sums], F.col("_before").alias("_outside")
     )
-    return scanned.join(outside, _same(scanned, outside, key, "_outer"), "left").select(
-        F.col(key).alias("_key"), F.col("_block").alias("_at"),
+    return scanned.join(outside, ["_k", "_outer"], "left").select(
+        F.col("_k").alias("_key"), F.col("_block").alias("_at"),
         *[_plus(F.col(f"_cs_{n}"), F.col(f"_os_{n}")).alias(f"_cs_{n}") for n in sums],
         F.when(F.col("_first"), F.col("_outside")).otherwise(F.col("_before")).alias("_before"),
     )
@@ -69,25 +65,29 @@ def ordered_scan(
     block; the scan of the blocks and their totals read the same exchange.
     """
     sums, previous = sums or {}, previous or {}
-    rows = df.withColumn("_block", F.expr(f"`{order}` div {span}")).repartition(key, "_block")
+    # neither is ever NULL, so that joins on them need no other exchange than the rows' own
+    part = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    block = F.coalesce(F.expr(f"`{order}` div {span}"), F.lit(0).cast("bigint"))
+    rows = df.withColumns({"_k": part, "_block": block}).repartition("_k", "_block")
 
-    in_block = Window.partitionBy(key, "_block").orderBy(order)
+    in_block = Window.partitionBy("_k", "_block").orderBy(order)
     to_here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {f"_s_{n}": F.sum(c).over(to_here) for n, c in sums.items()}
     local |= {f"_p_{n}": F.lag(c).over(in_block) for n, c in previous.items()}
     local["_first"] = F.lag(F.lit(1)).over(in_block).isNull()
     scanned = rows.withColumns(local)
 
-    # The last row of a block is taken with all its columns: needing the same columns as the scan is
-    # what lets both read one exchange. Only the values asked for go on.
+    # The last row of a block is taken with all its columns, and asked for even where only sums are:
+    # needing the same columns as the scan is what lets both read one exchange.
     last = F.struct(*[c.alias(f"_v_{n}") for n, c in previous.items()], *df.columns)
-    totals = rows.groupBy(key, "_block").agg(
+    totals = rows.groupBy("_k", "_block").agg(
         F.max_by(last, F.col(order)).alias("_row"), *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
     )
     values = F.struct(F.lit(True).alias("_there"), *[F.col("_row")[f"_v_{n}"].alias(n) for n in previous])
-    totals = totals.select(key, "_block", values.alias("_last"), *[f"_t_{n}" for n in sums])
-    carry = _before(totals, key, list(sums), span, levels)
-    joined = scanned.join(carry, _same(scanned, carry, key, "_block"), "left")
+    there = F.col("_row").isNotNull()
+    totals = totals.select("_k", "_block", values.alias("_last"), *[F.when(there, F.col(f"_t_{n}")).alias(f"_t_{n}") for n in sums])
+    carry = _before(totals, list(sums), span, levels).withColumnsRenamed({"_key": "_k", "_at": "_block"})
+    joined = scanned.join(carry, ["_k", "_block"], "left")
 
     out = [F.col(c) for c in df.columns]
     out += [_plus(F.col(f"_cs_{n}"), F.col(f"_s_{n}")).alias(n) for n in sums]

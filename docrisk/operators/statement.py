@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from docrisk import dims
 from docrisk.functions.ordered import ordered_scan
-from docrisk.functions.values import is_true, strip
+from docrisk.functions.values import is_true, squeeze, strip
+from docrisk.operators.claims import comparable
 
 # sorts before every row of a statement
 HEADER_SEQ = -1
@@ -25,17 +26,27 @@ DATE_FORMATS = {
 }
 
 
+def _unreadable() -> Column:
+    """A row of which neither amount was read."""
+    return F.col("amount_in").isNull() & F.col("amount_out").isNull()
+
+
 def _movement() -> Column:
+    """What a row adds to the balance; NULL where that was not read."""
     zero = F.lit(0).cast("decimal(18,2)")
-    return F.coalesce(F.col("amount_in"), zero) - F.coalesce(F.col("amount_out"), zero)
+    return F.when(~_unreadable(), F.coalesce(F.col("amount_in"), zero) - F.coalesce(F.col("amount_out"), zero))
 
 
 def statement_totals(rows: DataFrame, header: DataFrame) -> DataFrame:
-    """Totals of the rows against the printed totals and the printed closing balance."""
+    """Totals of the rows against the printed totals and the printed closing balance.
+
+    A statement with an unreadable amount has no totals, and nothing is concluded from them.
+    """
     zero = F.lit(0).cast("decimal(18,2)")
+    whole = F.count(F.when(_unreadable(), 1)) == 0
     sums = rows.groupBy("stmt_id").agg(
-        F.coalesce(F.sum("amount_in"), zero).alias("total_in"),
-        F.coalesce(F.sum("amount_out"), zero).alias("total_out"),
+        F.when(whole, F.coalesce(F.sum("amount_in"), zero)).alias("total_in"),
+        F.when(whole, F.coalesce(F.sum("amount_out"), zero)).alias("total_out"),
         F.count("*").alias("n"),
     )
     printed = header.select("stmt_id", "opening", "closing", "printed_in", "printed_out")
@@ -53,9 +64,12 @@ def running_balance(rows: DataFrame, header: DataFrame, **scan) -> DataFrame:
     """Expected balance after each row: opening plus all movements so far, against the shown one.
 
     The header enters the scan as the row before the first one, so opening balances need no join.
+    From the first row with an unreadable amount on, nothing is expected; row-to-row continuity
+    (``balance_breaks``) starts again from every shown balance.
     """
     moves = rows.select(
-        "stmt_id", "seq", F.col("balance").alias("shown"), _movement().alias("_move"), F.lit(0).alias("_head")
+        "stmt_id", "seq", F.col("balance").alias("shown"), _movement().alias("_move"), F.lit(0).alias("_head"),
+        _unreadable().cast("int").alias("_gap"),
     )
     heads = header.select(
         "stmt_id",
@@ -63,12 +77,13 @@ def running_balance(rows: DataFrame, header: DataFrame, **scan) -> DataFrame:
         F.lit(None).cast("decimal(18,2)").alias("shown"),
         F.col("opening").alias("_move"),
         F.col("opening").isNotNull().cast("int").alias("_head"),
+        F.lit(0).alias("_gap"),
     )
     scanned = ordered_scan(
         moves.unionByName(heads), "stmt_id", "seq",
-        sums={"_balance": F.col("_move"), "_opened": F.col("_head")}, **scan,
+        sums={"_balance": F.col("_move"), "_opened": F.col("_head"), "_gaps": F.col("_gap")}, **scan,
     )
-    expected = F.when(F.col("_opened") > 0, F.col("_balance"))
+    expected = F.when((F.col("_opened") > 0) & (F.col("_gaps") == 0), F.col("_balance"))
     return (
         scanned.filter(F.col("seq") != HEADER_SEQ)
         .withColumn("expected", expected)
@@ -109,9 +124,18 @@ def page_breaks(pages: DataFrame, **scan) -> DataFrame:
 
 
 def duplicate_transactions(rows: DataFrame) -> DataFrame:
-    """Transactions that occur more than once with same date, amount, text and counterparty."""
+    """Transactions that occur more than once with same date, amount, text and counterparty.
+
+    ``tx_date`` is the date as ISO text, in whichever notation it is printed, or the text itself where
+    it is no date. Blanks do not make texts differ.
+    """
+    day = F.coalesce(read_date(F.col("tx_date_text")).cast("string"), squeeze(F.col("tx_date_text")))
     return (
-        rows.groupBy("stmt_id", "tx_date_text", "amount_in", "amount_out", "description", "counterparty")
+        rows.select(
+            "stmt_id", day.alias("tx_date"), "amount_in", "amount_out",
+            squeeze(F.col("description")).alias("description"), squeeze(F.col("counterparty")).alias("counterparty"),
+        )
+        .groupBy("stmt_id", "tx_date", "amount_in", "amount_out", "description", "counterparty")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > 1)
     )
@@ -136,8 +160,9 @@ def read_date(text: Column) -> Column:
 
 
 def date_findings(rows: DataFrame, header: DataFrame, **scan) -> DataFrame:
-    """Per statement: dates going backwards, impossible, out of period, and formats in use.
+    """Per statement: dates going backwards, impossible, unreadable, out of period, and formats in use.
 
+    Impossible is a text in a known notation that names no day, unreadable one in no known notation.
     Mixed formats and single findings are signals, not proof. The period travels with the header
     row through the scan, as the running balance's opening does.
     """
@@ -169,7 +194,8 @@ def date_findings(rows: DataFrame, header: DataFrame, **scan) -> DataFrame:
     outside = (F.col("_period") > 0) & ~day.between(F.col("_start"), F.col("_end"))
     return scanned.groupBy("stmt_id").agg(
         count_if(F.col("_before") > F.col("_date")).alias("n_backwards"),
-        count_if(F.col("tx_date_text").isNotNull() & F.col("_date").isNull()).alias("n_impossible"),
+        count_if((fmt != "other") & F.col("_date").isNull()).alias("n_impossible"),
+        count_if(fmt == "other").alias("n_unreadable"),
         count_if(outside).alias("n_out_of_period"),
         sum(used[1:], used[0]).alias("n_formats"),
     )
@@ -178,18 +204,27 @@ def date_findings(rows: DataFrame, header: DataFrame, **scan) -> DataFrame:
 def field_conflicts(readings: DataFrame, key: str) -> DataFrame:
     """Fields read with more than one value within one key; unreadable (NULL) readings never count.
 
-    ``readings`` is long: key, field, value. Equal values collapse map-side before the shuffle.
+    ``readings`` is long: key, field, value. Equal values collapse map-side before the shuffle. The
+    smallest and the largest value are shown.
     """
     return (
         readings.filter(F.col("value").isNotNull())
         .groupBy(key, "field")
-        .agg(F.count_distinct("value").alias("n_values"))
+        .agg(F.count_distinct("value").alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"))
         .filter(F.col("n_values") > 1)
     )
 
 
+#: The claim field in whose form each page field is compared.
+_COMPARED_AS = {"holder": "senderName", "currency": "currency"}
+
+
 def page_conflicts(pages: DataFrame) -> DataFrame:
-    """Holder, IBAN, account, period or currency differing between the pages of a statement."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in dims.PAGE_FIELDS])
+    """Holder, IBAN, account, period or currency differing between the pages of a statement.
+
+    Values are compared as claims are: blanks, case and spellings of one currency do not count.
+    """
+    form = {f: comparable(_COMPARED_AS.get(f, "iban"), F.col(f)) for f in dims.PAGE_FIELDS}
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in form.items()])
     long = pages.select("stmt_id", F.explode(fields).alias("r")).select("stmt_id", "r.*")
     return field_conflicts(long, "stmt_id")

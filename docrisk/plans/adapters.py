@@ -238,8 +238,9 @@ def amount_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- statements, from events -------------------------------------------------------------------------
 
-AMOUNT_IN = "CASE WHEN event_type <> 'purchase' THEN cast(value AS decimal(18,2)) END"
-AMOUNT_OUT = "CASE WHEN event_type = 'purchase' THEN cast(value AS decimal(18,2)) END"
+AMOUNT_UNREADABLE = "event_id % 401 = 0"
+AMOUNT_IN = f"CASE WHEN event_type <> 'purchase' AND NOT ({AMOUNT_UNREADABLE}) THEN cast(value AS decimal(18,2)) END"
+AMOUNT_OUT = f"CASE WHEN event_type = 'purchase' AND NOT ({AMOUNT_UNREADABLE}) THEN cast(value AS decimal(18,2)) END"
 MOVE = "CASE WHEN event_type = 'purchase' THEN -cast(value AS decimal(18,2)) ELSE cast(value AS decimal(18,2)) END"
 OPENING = "cast(1000 + user_id AS decimal(18,2))"
 BALANCE_ERROR = "CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END"
@@ -295,12 +296,12 @@ def dated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with day, type and amounts in steps of 50, so that some repeat."""
+    """Rows with day, type and amounts in steps of 50, so that some repeat, partly spelt differently."""
     step = "cast(floor(value / 50) * 50 AS decimal(18,2))"
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("stmt_id"),
-        F.expr("date_format(ts, 'yyyy-MM-dd')").alias("tx_date_text"),
-        F.col("event_type").alias("description"),
+        F.expr("case when event_id % 3 = 0 then date_format(ts, ' dd.MM.yyyy') else date_format(ts, 'yyyy-MM-dd') end").alias("tx_date_text"),
+        F.expr("case when event_id % 5 = 0 then concat(' ', event_type, '  x') else concat(event_type, ' x') end").alias("description"),
         F.expr(f"case when event_type <> 'purchase' then {step} end").alias("amount_in"),
         F.expr(f"case when event_type = 'purchase' then {step} end").alias("amount_out"),
         F.expr("case when event_id % 2 = 0 then 'A' else 'B' end").alias("counterparty"),
@@ -365,7 +366,8 @@ def page_field(i: int) -> str:
     prime = (101, 89, 113, 97, 127)[i]
     return (
         f"CASE WHEN event_id % 7 = {i} THEN NULL WHEN event_id % {prime} = 0 "
-        f"THEN concat('x', cast(event_id % 3 AS string)) ELSE concat('u', cast(user_id AS string)) END"
+        f"THEN concat('x', cast(event_id % 3 AS string)) WHEN event_id % 4 = 1 THEN concat(' U', cast(user_id AS string), ' ') "
+        f"ELSE concat('u', cast(user_id AS string)) END"
     )
 
 

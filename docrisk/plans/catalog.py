@@ -172,7 +172,7 @@ def statement_page_breaks(spark, sf_dir):
 def statement_duplicates(spark, sf_dir):
     rows = statement.duplicate_transactions(a.repeated_rows(spark, sf_dir))
     return rows.select(
-        "stmt_id", "tx_date_text", _money("amount_in"), _money("amount_out"), "description", "counterparty", "n"
+        "stmt_id", "tx_date", _money("amount_in"), _money("amount_out"), "description", "counterparty", "n"
     )
 
 

@@ -214,26 +214,30 @@ SELECT k, CAST(count(DISTINCT style) AS INTEGER) AS n_styles, count(DISTINCT sty
 
 HEADER = f"""header AS (
   SELECT user_id, {a.OPENING} AS opening,
-    coalesce(sum({a.AMOUNT_IN}), 0) AS total_in, coalesce(sum({a.AMOUNT_OUT}), 0) AS total_out, count(*) AS n
+    coalesce(sum({a.AMOUNT_IN}), 0) AS total_in, coalesce(sum({a.AMOUNT_OUT}), 0) AS total_out, count(*) AS n,
+    count(*) FILTER (WHERE {a.AMOUNT_UNREADABLE}) = 0 AS whole
   FROM events GROUP BY user_id)"""
 ORACLES["statement_totals"] = f"""
 WITH {HEADER}
-SELECT CAST(user_id AS VARCHAR) AS stmt_id, CAST(total_in AS DOUBLE) AS total_in, CAST(total_out AS DOUBLE) AS total_out,
-  CAST(opening + total_in - total_out AS DOUBLE) AS calculated_closing, n,
-  user_id % 5 <> 0 AS closing_matches, user_id % 7 <> 0 AS in_matches, true AS out_matches
+SELECT CAST(user_id AS VARCHAR) AS stmt_id, CASE WHEN whole THEN CAST(total_in AS DOUBLE) END AS total_in,
+  CASE WHEN whole THEN CAST(total_out AS DOUBLE) END AS total_out,
+  CASE WHEN whole THEN CAST(opening + total_in - total_out AS DOUBLE) END AS calculated_closing, n,
+  CASE WHEN whole THEN user_id % 5 <> 0 END AS closing_matches, CASE WHEN whole THEN user_id % 7 <> 0 END AS in_matches,
+  CASE WHEN whole THEN true END AS out_matches
 FROM header"""
 
 ROWS = f"""rows AS (
   SELECT user_id, event_id, {a.MOVE} AS move, {a.OPENING} AS opening,
-    row_number() OVER w AS seq, sum({a.MOVE}) OVER w AS total,
+    row_number() OVER w AS seq, sum({a.MOVE}) OVER w AS total, {a.AMOUNT_UNREADABLE} AS unread,
+    count(*) FILTER (WHERE {a.AMOUNT_UNREADABLE}) OVER w = 0 AS clear,
     CASE WHEN NOT ({a.BALANCE_UNREADABLE}) THEN {a.OPENING} + sum({a.MOVE}) OVER w + {a.BALANCE_ERROR} END AS shown
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))"""
 ORACLES["statement_running_balance"] = f"""
 WITH {ROWS}
-SELECT CAST(user_id AS VARCHAR) AS stmt_id, seq, CAST(opening + total AS DOUBLE) AS expected,
-  CAST(shown AS DOUBLE) AS shown, opening + total <> shown AS is_break FROM rows"""
+SELECT CAST(user_id AS VARCHAR) AS stmt_id, seq, CASE WHEN clear THEN CAST(opening + total AS DOUBLE) END AS expected,
+  CAST(shown AS DOUBLE) AS shown, CASE WHEN clear THEN opening + total <> shown END AS is_break FROM rows"""
 ORACLES["statement_balance_breaks"] = f"""
-WITH {ROWS}, lagged AS (SELECT *, lag(shown) OVER (PARTITION BY user_id ORDER BY seq) + move AS expected FROM rows)
+WITH {ROWS}, lagged AS (SELECT *, CASE WHEN NOT unread THEN lag(shown) OVER (PARTITION BY user_id ORDER BY seq) + move END AS expected FROM rows)
 SELECT CAST(user_id AS VARCHAR) AS stmt_id, seq, CAST(expected AS DOUBLE) AS expected, CAST(shown AS DOUBLE) AS shown,
   coalesce(expected <> shown, false) AS is_break FROM lagged"""
 ORACLES["statement_page_breaks"] = f"""
@@ -254,10 +258,10 @@ SELECT CAST(user_id AS VARCHAR) AS stmt_id, CAST(page_no AS BIGINT) AS page_no,
 
 _step = "CAST(floor(value / 50) * 50 AS DOUBLE)"
 ORACLES["statement_duplicates"] = f"""
-SELECT CAST(user_id AS VARCHAR) AS stmt_id, strftime(ts, '%Y-%m-%d') AS tx_date_text,
+SELECT CAST(user_id AS VARCHAR) AS stmt_id, strftime(ts, '%Y-%m-%d') AS tx_date,
   CASE WHEN event_type <> 'purchase' THEN {_step} END AS amount_in,
   CASE WHEN event_type = 'purchase' THEN {_step} END AS amount_out,
-  event_type AS description, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS counterparty, count(*) AS n
+  concat(event_type, ' x') AS description, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS counterparty, count(*) AS n
 FROM events GROUP BY ALL HAVING count(*) > 1"""
 
 _tx_text = a.tx_date_text("strftime(d, '%Y-%m-%d')", "strftime(d, '%d.%m.%Y')", "strftime(d, '%d/%m/%Y')")
@@ -270,7 +274,8 @@ days AS (
   FROM texts),
 lagged AS (SELECT *, lag(day) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM days)
 SELECT CAST(user_id AS VARCHAR) AS stmt_id, count(*) FILTER (WHERE before > day) AS n_backwards,
-  count(*) FILTER (WHERE day IS NULL) AS n_impossible,
+  count(*) FILTER (WHERE day IS NULL AND style <> 'other') AS n_impossible,
+  count(*) FILTER (WHERE style = 'other') AS n_unreadable,
   count(*) FILTER (WHERE day < DATE '2024-01-03' OR day > DATE '2024-01-28') AS n_out_of_period,
   CAST(count(DISTINCT style) AS INTEGER) AS n_formats
 FROM lagged GROUP BY user_id"""
@@ -279,7 +284,8 @@ _fields = " UNION ALL ".join(
     f"SELECT user_id, '{name}' AS field, {a.page_field(i)} AS value FROM events" for i, name in enumerate(dims.PAGE_FIELDS)
 )
 ORACLES["page_conflicts"] = f"""
-SELECT CAST(user_id AS VARCHAR) AS stmt_id, field, count(DISTINCT value) AS n_values FROM ({_fields})
+SELECT CAST(user_id AS VARCHAR) AS stmt_id, field, count(DISTINCT value) AS n_values, min(value) AS low, max(value) AS high
+FROM (SELECT user_id, field, CASE WHEN field = 'holder' THEN lower(trim(value)) ELSE upper(trim(value)) END AS value FROM ({_fields}))
 GROUP BY user_id, field HAVING count(DISTINCT value) > 1"""
 
 # --- frames ----------------------------------------------------------------------------------------------------
@@ -293,7 +299,7 @@ SELECT doc_id, frame, ts, CAST(r AS INTEGER) AS rank FROM ranked WHERE r <= 8"""
 ORACLES["frame_conflicts"] = f"""
 WITH r AS (SELECT user_id AS doc_id, {pick('event_id', [*dims.FRAME_FIELDS, 'wallpaper'])} AS field,
   trim(regexp_replace({a.FRAME_VALUE}, ' +', ' ', 'g')) AS value FROM events)
-SELECT doc_id, field, count(DISTINCT value) AS n_values FROM r WHERE field <> 'wallpaper'
+SELECT doc_id, field, count(DISTINCT value) AS n_values, min(value) AS low, max(value) AS high FROM r WHERE field <> 'wallpaper'
 GROUP BY doc_id, field HAVING count(DISTINCT value) > 1"""
 
 # --- chain -------------------------------------------------------------------------------------------------------
