@@ -38,7 +38,7 @@ SHORT_SKETCHES, SHORT_PICKED, SHORT_LEAST, SHORT_MOST = 16, 2, 10, 16
 #: duplicate of one text can be one of the other.
 FAR = 3.0
 #: Leaders of a value that are compared with its texts at once, after the first.
-LEADERS = 16
+LEADERS = 64
 #: Hashes handled at once.
 CELLS = 1 << 20
 
@@ -260,20 +260,21 @@ def groups(members: DataFrame, words: DataFrame) -> DataFrame:
     value that they need to and leave. Rounds end when no value is left.
     """
     labels = members.sparkSession.createDataFrame([], "id long, class_id long")
-    members = members.withColumn("leads", F.lit(True)).withColumn("class_id", F.col("id"))
-    done, leaders = None, 1
+    members = members.withColumn("may_lead", F.lit(True)).withColumn("class_id", F.col("id"))
+    done = None
     while True:
-        alike = Window.partitionBy("value", "class_id")
-        place = F.row_number().over(Window.partitionBy("value").orderBy("size", "id"))
-        sized = members.withColumn("size", F.count("*").over(alike) if done is not None else F.lit(1))
-        leading = (
-            sized.where("leads").withColumn("place", place).where(F.col("place") <= leaders)
-            .select("value", F.col("id").alias("lead"), F.col("class_id").alias("lead_class"))
-        )
-        met = members.join(leading.withColumnRenamed("value", "of"), (F.col("value") == F.col("of")) & (F.col("class_id") != F.col("lead_class")))
-        led = cut(met.select("value", "id", "leads", "lead", F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
-        if led.isEmpty():
-            return labels
+        if done is None:
+            leading = members.groupBy(F.col("value").alias("of")).agg(F.min("id").alias("lead")).withColumn("lead_class", F.col("lead"))
+        else:
+            sizes = members.groupBy("value", "class_id").agg(F.count("*").alias("size"))
+            place = F.row_number().over(Window.partitionBy("value").orderBy("size", "id"))
+            leading = (
+                members.where("may_lead").join(sizes, ["value", "class_id"])
+                .withColumn("place", place).where(F.col("place") <= LEADERS)
+                .select(F.col("value").alias("of"), F.col("id").alias("lead"), F.col("class_id").alias("lead_class"))
+            )
+        met = members.join(leading, (F.col("value") == F.col("of")) & (F.col("class_id") != F.col("lead_class")))
+        led = cut(met.select("value", "id", "may_lead", "lead", F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
         pairs = led.select("a", "b").distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -284,28 +285,30 @@ def groups(members: DataFrame, words: DataFrame) -> DataFrame:
             .mapInArrow(_verified, "a long, b long, near boolean, within boolean")
             .groupBy("a", "b").agg(F.max("near").alias("near"), F.max("within").alias("within"))
         )
-        done = checked if done is None else cut(done.unionByName(checked))
-        labels = _merged(labels, checked.where("near").select("a", "b"))
+        done = checked if done is None else done.unionByName(checked)
+        near = checked.where("near").select("a", "b")
+        if not near.isEmpty():
+            labels = _merged(labels, near)
         judged = led.join(done, ["a", "b"]).withColumn("close", F.col("within") & ~F.col("near"))
         missed = judged.groupBy("value", "lead").agg(F.max("close").alias("missed"))
-        going = (
+        seen = (
             judged.join(missed, ["value", "lead"])
             .groupBy("value", "id")
-            .agg(F.max("leads").alias("leads"), F.max("near").alias("near"), F.max("close").alias("close"), F.max(F.col("near") & F.col("missed")).alias("wanted"))
-            .where("not near or close or wanted or not leads")
-            .select("value", "id", (F.col("close") | (F.col("leads") & ~F.col("near"))).alias("leads"))
+            .agg(F.max("near").alias("near"), F.max("close").alias("close"), F.max(F.col("near") & F.col("missed")).alias("wanted"))
         )
-        # texts of a leader's own group were not compared with it and go on as they are
-        same = members.join(led.select("value", "id").distinct(), ["value", "id"], "left_anti").select("value", "id", "leads")
-        settled = leading.select("value", F.col("lead").alias("id"))
-        named = (
-            going.unionByName(same).join(settled, ["value", "id"], "left_anti")
-            .join(labels, "id", "left")
-            .select("value", "id", "leads", F.coalesce("class_id", "id").alias("class_id"))
+        # texts that met no leader, for they are of its group, go on as they are
+        going = (
+            members.join(leading.select(F.col("of").alias("value"), F.col("lead").alias("id")), ["value", "id"], "left_anti")
+            .join(seen, ["value", "id"], "left")
+            .where("near is null or not near or close or wanted or not may_lead")
+            .withColumn("may_lead", F.coalesce(F.col("close") | (F.col("may_lead") & ~F.col("near")), F.col("may_lead")))
+            .join(labels.withColumnRenamed("class_id", "now"), "id", "left")
+            .select("value", "id", "may_lead", F.coalesce("now", "id").alias("class_id"))
         )
-        several = named.groupBy("value").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("leads").alias("any"))
-        members = cut(named.join(several.where("low < high and any").select("value"), "value"))
-        leaders = LEADERS
+        several = going.groupBy("value").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("may_lead").alias("any"))
+        members = cut(going.join(several.where("low < high and any").select("value"), "value"))
+        if members.isEmpty():
+            return labels
 
 
 def _merged(labels: DataFrame, near: DataFrame) -> DataFrame:
