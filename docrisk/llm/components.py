@@ -14,10 +14,11 @@ def components(links: DataFrame) -> DataFrame:
     Every id takes the smallest label among itself and its neighbours, then the label of that label,
     until nothing changes. Jumping to the label's label halves the way to the smallest id each time,
     so a chain of n takes about log n rounds and a star two. Each round is written to the shared
-    folder. Labels are reduced by partial aggregation, so a hub costs no more than its links.
+    folder; ``links`` is read in each, so it should be written already. Labels are reduced by partial
+    aggregation, so a hub costs no more than its links.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("class_id")))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("class_id"))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("class_id").alias("m"))
         lower = labels.join(near, labels["id"] == near["a"]).select("id", "class_id", F.least("class_id", "m").alias("l"))

@@ -259,9 +259,9 @@ def groups(members: DataFrame, words: DataFrame) -> DataFrame:
     another failed closely; the first two kinds may lead later. Leaders have met all texts of their
     value that they need to and leave. Rounds end when no value is left.
     """
-    labels = members.sparkSession.createDataFrame([], "id long, class_id long")
+    nothing = members.sparkSession.createDataFrame([], "id long, class_id long")
     members = members.withColumn("may_lead", F.lit(True)).withColumn("class_id", F.col("id"))
-    done = None
+    done = labels = None
     while True:
         if done is None:
             leading = members.groupBy(F.col("value").alias("of")).agg(F.min("id").alias("lead")).withColumn("lead_class", F.col("lead"))
@@ -302,20 +302,22 @@ def groups(members: DataFrame, words: DataFrame) -> DataFrame:
             .join(seen, ["value", "id"], "left")
             .where("near is null or not near or close or wanted or not may_lead")
             .withColumn("may_lead", F.coalesce(F.col("close") | (F.col("may_lead") & ~F.col("near")), F.col("may_lead")))
-            .join(labels.withColumnRenamed("class_id", "now"), "id", "left")
+            .join((nothing if labels is None else labels).withColumnRenamed("class_id", "now"), "id", "left")
             .select("value", "id", "may_lead", F.coalesce("now", "id").alias("class_id"))
         )
         several = going.groupBy("value").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("may_lead").alias("any"))
         members = cut(going.join(several.where("low < high and any").select("value"), "value"))
         if members.isEmpty():
-            return labels
+            return nothing if labels is None else labels
 
 
-def _merged(labels: DataFrame, near: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame | None, near: DataFrame) -> DataFrame:
     """Groups with further links: the links between groups are followed, then all are renamed."""
+    if labels is None:
+        return components(near)
     a = labels.select(F.col("id").alias("a"), F.col("class_id").alias("ca"))
     b = labels.select(F.col("id").alias("b"), F.col("class_id").alias("cb"))
-    between = near.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    between = cut(near.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
     renamed = components(between).select(F.col("id").alias("old"), F.col("class_id").alias("new"))
     kept = labels.join(renamed, F.col("class_id") == F.col("old"), "left").select("id", F.coalesce("new", "class_id").alias("class_id"))
     fresh = renamed.join(labels.select(F.col("id").alias("old")), "old", "left_anti").select(F.col("old").alias("id"), F.col("new").alias("class_id"))
