@@ -261,24 +261,16 @@ CLAIM_NOTE = "Bu kontrol risk skoruna dahil edilmemiştir."
 FIELD_MISMATCH = "Uyuşmuyor."
 
 ROUTE_MESSAGES = {
-    "no_original": "Orijinal belge mesajı bulunamadı.\n\nLütfen belgeyi tekrar gönder.",
-    "no_file": "Belge dosyası okunamadı.\n\nLütfen belgeyi tekrar gönder.",
-    "invalid_choice": "Geçersiz analiz seçimi.",
-    "statement_video": (
-        "Hesap özeti analizi için video desteklenmiyor.\n\n"
-        "Lütfen hesap özetini PDF veya fotoğraf olarak gönder."
-    ),
-    "ask_file": "Lütfen analiz etmek istediğin belgeyi gönder.",
-    "unsupported_file": "Bu dosya türü desteklenmiyor.\n\nLütfen PDF, fotoğraf veya video gönder.",
-    "menu": "Belge alındı.\n\nŞimdi hangi analiz yapılacağını seç:",
-    "welcome": "Dekont, hesap özeti veya belge gönder.",
-    "help": "Önce analiz etmek istediğin belgeyi gönder.",
-}
-DIGIT_STATES = {
-    "no_text": "Analiz edilecek metin bulunamadı.",
-    "too_few": "Karşılaştırma için yeterli rakam bulunamadı.",
-    "no_repeats": "Aynı rakamın yeterli tekrarı bulunamadı.",
-    "ready": "Rakam karakterleri mikro tutarlılık analizi için hazır.",
+    "no_original": "Seçimin ait olduğu belge artık yok. Belgeyi yeniden yollayın.",
+    "no_file": "Belgenin dosyasına ulaşılamadı. Belgeyi yeniden yollayın.",
+    "invalid_choice": "Böyle bir seçenek yok.",
+    "statement_video": "Videodan hesap özeti okunamaz. PDF ya da görsel yollayın.",
+    "ask_file": "İncelenecek bir belge yollayın.",
+    "unsupported_file": "Bu türde dosya incelenmiyor. PDF, görsel ya da video yollayın.",
+    "menu": "Belge ulaştı. Bir inceleme seçin:",
+    "welcome": "Bir dekont ya da hesap özeti yollayın.",
+    "help": "Önce incelenecek belgeyi yollayın.",
 }
+DIGIT_STATES = ("no_text", "too_few", "no_repeats", "ready")
 PROCESS_ERROR = "işlem hatası."
 UNKNOWN_ERROR = "Bilinmeyen hata"

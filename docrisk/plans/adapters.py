@@ -576,8 +576,8 @@ CAPTION_LINES = [
     ("c_custkey", ["Gönderen: Ad Soyad", "Ali  Veli", "GÖNDEREN - Can Er", None, "12.45", "sender Ann Lee"]),
     ("c_custkey", ["Akbank", "iş bankası", "garanti bbva", None, "Vakıfbank"]),
     ("c_custkey", ["1000 TL", "1.250,50 TL", "Tutar: 99,90 EURO", "750", None, "12.45", "TL bekliyorum", "Amount 5 $", "3,5 usd"]),
-    ("c_custkey", ["TR83 0013 4000 0266 0590 7001 01", "tr830013400002660590700101", None, "iban yok 123456"]),
-    ("c_custkey", ["Alıcı: Mehmet Uşak", "Ayşe Can", "ALICI: X Y", "recipient- Bob", None, "1234567", "alici Zed",
+    ("c_custkey", ["TR40 0001 5000 1112 2233 3444 45", "tr400001500011122233344445", None, "iban yok 123456"]),
+    ("c_custkey", ["Alıcı: Murat Koçak", "Ayşe Can", "ALICI: X Y", "recipient- Bob", None, "1234567", "alici Zed",
                    "  Boşluk   Var  ", "Alıcı:", "son\u00a0satır", "12 345 678"]),
 ]
 CAPTION = (
@@ -594,17 +594,17 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLAIMED = {
     "senderName": pick("c_custkey", ["Işık Çelik", "ali  veli", None]),
-    "recipientName": pick("c_custkey", ["Mehmet Uşak", "", "İnci Öz", None]),
+    "recipientName": pick("c_custkey", ["Murat Koçak", "", "İnci Öz", None]),
     "amount": pick("c_custkey", ["1.250,50", "1000", "12,345.5", None, "1.000"]),
     "currency": pick("c_custkey", ["TL", "EURO", None, "usd"]),
-    "iban": pick("c_custkey", ["TR83 0013 4000 0266 0590 7001 01", None]),
+    "iban": pick("c_custkey", ["TR40 0001 5000 1112 2233 3444 45", None]),
 }
 READ = {
     "senderName": pick("c_custkey", ["IŞIK  ÇELİK", "Ali Veli", "Baska Biri", None]),
-    "recipientName": pick("c_custkey", ["MEHMET UŞAK", "x", "inci öz"]),
+    "recipientName": pick("c_custkey", ["MURAT KOÇAK", "x", "inci öz"]),
     "amount": pick("c_custkey", ["1250.50", "1.000", "12345,50", "7"]),
     "currency": pick("c_custkey", ["TRY", "EUR", None, "$", "₺"]),
-    "iban": pick("c_custkey", ["TR830013400002660590700101", "tr83 0013 4000 0266 0590 7001 02", None]),
+    "iban": pick("c_custkey", ["TR400001500011122233344445", "tr40 0001 5000 1112 2233 3444 46", None]),
 }
 
 

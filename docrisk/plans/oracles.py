@@ -519,7 +519,7 @@ SELECT k,
   upper(coalesce(c2, c1, CASE WHEN {_is('t', '(?i)TL|TRY|₺')} THEN 'TRY' END)) AS currency, iban
 FROM guess"""
 ORACLES["claim_ibans_fixed"] = f"""
-SELECT c_custkey AS k, CASE WHEN c_custkey % 4 < 2 THEN 'TR830013400002660590700101' END AS iban FROM customer"""
+SELECT c_custkey AS k, CASE WHEN c_custkey % 4 < 2 THEN 'TR400001500011122233344445' END AS iban FROM customer"""
 
 
 def _name(x: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings; safe to apply to a session somebody else created.
@@ -13,9 +11,6 @@ SQL_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The JVM does not compile methods above 8000 bytes of bytecode. The scoring folds exceed
-    # that as one whole-stage method and run several times faster as split projections.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -30,13 +25,10 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares between driver and executors.
 
-    Named by ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+    Named by ``spark.checkpoint.dir``; where that is unset (tests), beside the warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="docrisk-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
 
 
 def local_session(cores: str = "8", app: str = "docrisk") -> SparkSession:
@@ -47,6 +39,9 @@ def local_session(cores: str = "8", app: str = "docrisk") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # The JVM does not compile methods above 8000 bytes of bytecode. The scoring folds exceed
+        # that as one whole-stage method and run several times faster as split projections.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )

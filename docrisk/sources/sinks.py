@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,15 +35,27 @@ def write_rejects(rejects: DataFrame, path: str, mode: str = "overwrite") -> Non
     rejects.write.mode(mode).parquet(f"{path}/rejects")
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """One micro-batch into its own folder: repeating a batch after a failure replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def write_batch(df: DataFrame, path: str, batch_id: int, run: str) -> None:
+    """One micro-batch into its own folder: repeating a batch after a failure replaces it.
+
+    ``run`` tells streams apart, whose batches all begin at 0.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint for as long as that exists."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def write_outbox(messages: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Stream outgoing messages (update_id, chat_id, text, reply_to_message_id) into the outbox."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, path, batch_id, run_id(batch.sparkSession, checkpoint))
+
     return (
-        messages.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id))
+        messages.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docrisk import dims
 from docrisk.operators.report import render_report
 from docrisk.operators.updates import outgoing_messages, route_updates, screening_requests
-from docrisk.sources.sinks import write_batch
+from docrisk.sources.sinks import run_id, write_batch
 from docrisk.streaming.dedup import dedup_updates
 
 
@@ -24,10 +24,13 @@ def run_chat(
     routed = route_updates(dedup_updates(updates, horizon))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        run = run_id(batch.sparkSession, checkpoint)
         batch.persist()
-        write_batch(screening_requests(batch), f"{path}/requests", batch_id)
-        write_batch(outgoing_messages(batch), f"{path}/outbox", batch_id)
-        batch.unpersist()
+        try:
+            write_batch(screening_requests(batch), f"{path}/requests", batch_id, run)
+            write_batch(outgoing_messages(batch), f"{path}/outbox", batch_id, run)
+        finally:
+            batch.unpersist()
 
     return (
         routed.writeStream.foreachBatch(write)

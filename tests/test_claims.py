@@ -10,9 +10,9 @@ from docrisk.operators import claims, report
 
 # text -> sender, recipient, amount, currency, iban
 CAPTIONS = {
-    "Gönderen: Atıf Kale\n1000 TL\nTR83 0013 4000 0266 0590 7001 01\nAlıcı: Mehmet Uşak":
-        ("Atıf Kale", "Mehmet Uşak", "1000", "TL", "TR8300134000026605907001"),
-    "TR830013400002660590700101": (None, None, None, None, None),
+    "Gönderen: Asya Tan\n1000 TL\nTR40 0001 5000 1112 2233 3444 45\nAlıcı: Murat Koçak":
+        ("Asya Tan", "Murat Koçak", "1000", "TL", "TR4000015000111222333444"),
+    "TR400001500011122233344445": (None, None, None, None, None),
     "12.45\n500 TL": (None, None, "500", "TL", None),
     "Ali Veli\nAkbank\n1.000 TL\nAyşe Can": ("Ali Veli", "Ayşe Can", "1.000", "TL", None),
     "Ali Veli\n1000 TL": ("Ali Veli", "1000 TL", "1000", "TL", None),
@@ -29,8 +29,8 @@ CAPTIONS = {
     "Ali\n12345\ngaranti bankası\n2,5 usd\nIBAN TR12\nVeli": ("Ali", "Veli", "2,5", "USD", None),
 }
 FIXED = {
-    "TR830013400002660590700101": (None, None, None, None, "TR830013400002660590700101"),
-    "TR83 0013 4000 0266 0590 7001 01": (None, None, None, None, "TR830013400002660590700101"),
+    "TR400001500011122233344445": (None, None, None, None, "TR400001500011122233344445"),
+    "TR40 0001 5000 1112 2233 3444 45": (None, None, None, None, "TR400001500011122233344445"),
     "Ali\niş bankası\n1000 TL\nVeli": ("Ali", "Veli", "1000", "TL", None),
     "Ali\nVAKIFBANK\n1000 TL\nVeli": ("Ali", "Veli", "1000", "TL", None),
 }
@@ -85,7 +85,7 @@ def test_summary(spark, comparison, state, mismatches, unknowns):
 
 def test_reconciliation(spark):
     said = spark.createDataFrame(
-        [("d", ("Işık Çelik", None, "1.250,50", "TL", "TR83 0013 4000 0266 0590 7001 01", ""))],
+        [("d", ("Işık Çelik", None, "1.250,50", "TL", "TR40 0001 5000 1112 2233 3444 45", ""))],
         "doc_id string, claim struct<senderName:string,recipientName:string,amount:string,currency:string,iban:string,rawText:string>",
     )
     read = spark.createDataFrame(

@@ -194,8 +194,11 @@ def test_outbox_batches_are_replaced_not_repeated(spark, tmp_path):
 
     df = spark.createDataFrame([(1,)], "update_id bigint")
     for _ in range(2):
-        write_batch(df, str(tmp_path / "o"), 0)
+        write_batch(df, str(tmp_path / "o"), 0, "a")
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
+    # another stream begins at batch 0 as well and replaces nothing
+    write_batch(df, str(tmp_path / "o"), 0, "b")
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
     source = write_updates(tmp_path / "u", update_rows([{"message": message(text="/start")}]))
     messages = updates.outgoing_messages(updates.route_updates(read_updates(spark, source, stream=True)))
     drain(write_outbox(messages, str(tmp_path / "box"), str(tmp_path / "c")))
