@@ -37,8 +37,9 @@ SHORT_SKETCHES, SHORT_PICKED, SHORT_LEAST, SHORT_MOST = 16, 2, 10, 16
 #: Distances are worked out up to this many times the greatest of duplicates; beyond 2.5 times, no
 #: duplicate of one text can be one of the other.
 FAR = 3.0
-#: Leaders of a value that are compared with its texts at once, after the first.
-LEADERS = 64
+#: Leaders of a value that are compared with its texts at once: one in the first round, FEW in those
+#: up to FEW_ROUNDS, then LEADERS.
+FEW, FEW_ROUNDS, LEADERS = 4, 4, 64
 #: Hashes handled at once.
 CELLS = 1 << 20
 
@@ -252,7 +253,7 @@ def groups(members: DataFrame, words: DataFrame) -> DataFrame:
     with which they share a value (``members``: ``value``, ``id``); ``words`` has the texts by ``id``.
 
     In each round the texts of a value are compared with its leaders alone: the smallest id at first,
-    then up to ``LEADERS`` texts, those of the groups with fewest texts there first. Texts of one group
+    then few texts of the largest groups, in the end up to ``LEADERS`` of the smallest. Texts of one group
     need no comparison, so values that are left with one group are settled. Nor do two texts of which
     one is a duplicate of a leader and the other is far from it. So a text goes on to the next round
     if it is no duplicate of any leader, or fails one closely, or is a duplicate of a leader that
@@ -262,15 +263,20 @@ def groups(members: DataFrame, words: DataFrame) -> DataFrame:
     nothing = members.sparkSession.createDataFrame([], "id long, class_id long")
     members = members.withColumn("may_lead", F.lit(True)).withColumn("class_id", F.col("id"))
     done = labels = None
+    rounds = 0
     while True:
+        rounds += 1
         if done is None:
             leading = members.groupBy(F.col("value").alias("of")).agg(F.min("id").alias("lead")).withColumn("lead_class", F.col("lead"))
         else:
             sizes = members.groupBy("value", "class_id").agg(F.count("*").alias("size"))
-            place = F.row_number().over(Window.partitionBy("value").orderBy("size", "id"))
+            # texts of the largest groups first take up what belongs to them, few at a time; then those
+            # of the smallest meet all that are left
+            few = rounds <= FEW_ROUNDS
+            place = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("size") if few else "size", "id"))
             leading = (
                 members.where("may_lead").join(sizes, ["value", "class_id"])
-                .withColumn("place", place).where(F.col("place") <= LEADERS)
+                .withColumn("place", place).where(F.col("place") <= (FEW if few else LEADERS))
                 .select(F.col("value").alias("of"), F.col("id").alias("lead"), F.col("class_id").alias("lead_class"))
             )
         met = members.join(leading, (F.col("value") == F.col("of")) & (F.col("class_id") != F.col("lead_class")))
