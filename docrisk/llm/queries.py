@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrisk.llm import decontaminate, forest, html_blocks, language, mixing, near_dup, quality, substring_dedup, tool_calls, toxicity
+from docrisk.llm.oracles import ORACLES
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +61,8 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
+__all__ = ["ORACLES", "QUERIES", "read"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,4 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_forest,
     )
 }
-ORACLES: dict[str, str] = {}
