@@ -32,13 +32,18 @@ TAG = re.compile(
 )
 NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template title textarea iframe noembed noframes xmp svg math object select".split())
+#: Elements whose content is no text of the page: raw text, which runs to the page's end if it never ends, and
+#: others, which are like any element if they never end or end at once. Some of these hold their own kind.
+RAW = frozenset("script style title textarea xmp".split())
+NESTED = frozenset("svg template select".split())
+SKIPPED = RAW | NESTED | frozenset("noscript iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; all others bound blocks.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr br".split()
+    "time tt u var wbr br "
+    "math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot "
+    "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split()
 )
 #: Start tags that end an open element of their own kind.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -67,12 +72,30 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a kind ends, by where it starts; without those that never end."""
+    found: dict[int, int] = {}
+    opened: list[int] = []
+    either = re.compile(
+        r"<!--(?:.*?-->|.*\Z)|<(?:script|style|textarea|xmp)\b[^>]*(?<!/)>(?:.*?</(?:script|style|textarea|xmp)\b|.*\Z)"
+        rf"|<(/?){tag}(?![^\s/>])((?>[^>\"']+|\"[^\"]*\"|'[^']*')*|[^>]*)>",
+        re.I | re.S,
+    )
+    for m in either.finditer(page):
+        if m[1]:
+            if opened:
+                found[opened.pop()] = m.end()
+        elif m[1] is not None and not m[2].endswith("/"):
+            opened.append(m.start())
+    return found
+
+
 def blocks(page: str | None) -> list[Block]:
     """A page's text blocks in order.
 
     Character references are decoded, white space inside a block becomes one space. Comments,
-    scripts, styles and the like have no blocks. End tags without a start are ignored; elements
-    that stay open end with their parent.
+    scripts, styles and the like have no blocks; formulas and an object's fallback have. End tags
+    without a start are ignored; elements that stay open end with their parent, raw text with the page.
     """
     if not page:
         return []
@@ -81,6 +104,21 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     path: tuple[str, ...] = ()
     links = linked = 0
+    ends: dict[str, dict[int, int]] = {}
+    endless: set[str] = set()
+
+    def end_of(tag: str, start: int, at: int) -> int | None:
+        """Where a skipped element ends, None if it is to be read."""
+        if tag in NESTED:
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            return ends[tag].get(start)
+        if tag not in endless:
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if end:
+                return end.end()
+            endless.add(tag)
+        return size if tag in RAW else None
 
     def close() -> None:
         nonlocal linked
@@ -139,10 +177,12 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] in SCOPE.get(tag, ()) or stack[i][0] not in INLINE and tag not in SCOPE:
                     break
-        if tag in SKIPPED:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif tag not in VOID and not attributes.endswith("/"):
+        if tag not in RAW and (tag in VOID or attributes.endswith("/")):
+            continue
+        end = end_of(tag, m.start(), at) if tag in SKIPPED else None
+        if end is not None:
+            at = end
+        else:
             stack.append((tag, _names(tag, attributes)))
             links += tag == "a"
     close()

@@ -26,6 +26,29 @@ def test_blocks():
     assert block.path == ("html", "body", "div", ".site", ".header", ".main", ".nav", "a") and block.linked == 2
 
 
+def test_blocks_after_elements_without_an_end():
+    for tag in "svg math object select iframe noscript template".split():
+        assert texts(f"<p>a</p><{tag} class='i'/><p>b</p><{tag}></{tag}><p>c</p>") == ["a", "b", "c"], tag
+        assert texts(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"], tag
+    for tag in "script style textarea title xmp".split():
+        assert texts(f"<p>a</p><{tag}><p>b</p>") == ["a"], tag
+    for tag in "svg select iframe noscript template".split():
+        assert texts(f"<p>a</p><{tag} id=x>no</{tag}><p>b</p>") == ["a", "b"], tag
+    assert texts("<svg><svg><path/></svg><svg/><text>no</text></svg><p>a</p>") == ["a"]
+    assert texts("<svg><title/><style/><!-- <svg> --></svg><script>'<svg>'</script><p>a</p><svg><p>b</p><svg>no</svg>") == ["a", "b"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=a><p>told</p></object>") == ["so x=2 holds", "told"]
+
+
+def test_text_beside_icons_and_formulas_is_kept(spark, model):
+    """Pages of each kind through the labeller."""
+    kinds = {"svg": "<svg viewBox='0 0 1 1'/>", "math": "<math/>", "object": "<object data='x'>", "select": "<select>", "iframe": "<iframe src='x'>"}
+    text = [f"This is the long sentence number {k} of the same article about rivers and trade." for k in range(6)]
+    page = "<html><body><nav><a href=x>menu</a></nav><article>" + "".join(f"<p>{t}</p>%s" for t in text) + "</article></body></html>"
+    rows = [(k, "u", page % (v, *[""] * 5)) for k, v in kinds.items()]
+    got = {r.page.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id string, url string, html string"), model).collect()}
+    assert got == dict.fromkeys(kinds, "\n".join(text))
+
+
 def test_all_articles_of_the_pages(spark):
     """The pages mark their articles; the labeller, which never saw that as a label, finds just them."""
     want = {r.page_id: "\n".join(b.text for b in H.blocks(r.html) if "article" in b.path) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
