@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from docrisk import dims
 from docrisk.functions.banks import bank_display
 from docrisk.functions.files import document_type
+from docrisk.functions.ordered import ordered_scan
 from docrisk.functions.values import first_text, is_true
 from docrisk.operators.claims import claim_payload, extract_claims, has_claim
+from docrisk.session import shared_folder
 
 FILE = "struct<file_id: string, file_name: string, mime_type: string, type: string>"
 
@@ -138,30 +140,68 @@ def error_messages(failed: DataFrame) -> DataFrame:
     )
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
+def _kept(moments: DataFrame, horizon: str) -> DataFrame:
+    """``_id``, ``event_time``, ``n_copies`` of the kept deliveries of ``moments`` (the same columns, the two
+    first unique and never NULL).
+
+    Times of an id are numbered from the latest, and each points to the first one beyond its horizon. A time
+    whose predecessor points to it is kept whatever came before; so are an id's first time and, in between,
+    the times reached from these. Pointers are doubled, so a chain of n kept times takes log2(n) rounds.
+    """
+    time = F.unix_micros("event_time")
+    limit = F.unix_micros(F.col("event_time") + F.expr(f"interval {horizon}"))
+    # from the latest to the earliest, a limit stands before the time it equals: that one is no later
+    marks = moments.select("_id", "event_time", "n_copies", (1 - 2 * time).alias("_o"), F.lit(1).alias("_c")).unionByName(
+        moments.select("_id", "event_time", F.lit(None).cast("bigint").alias("n_copies"), (-2 * limit).alias("_o"), F.lit(0).alias("_c"))
+    )
+    at, is_time = F.col("_r"), F.col("_c") == 1
+    numbered = _cut(
+        ordered_scan(marks, "_id", "_o", sums={"_r": F.col("_c")}).groupBy("_id", "event_time").agg(
+            F.max("n_copies").alias("n_copies"), F.max(F.when(is_time, at)).alias("_at"),
+            F.coalesce(F.max(F.when(~is_time, at)), F.lit(0)).alias("_to"),
+        )
+    )
+    apart = (F.col("_to") > 0) & (F.col("_to") == F.col("_at") - 1)
+    heads = numbered.where(apart).select("_id", F.col("_to").alias("_at")).unionByName(numbered.groupBy("_id").agg(F.max("_at").alias("_at")))
+    reached = _cut(heads)
+    onward = numbered.where((F.col("_to") > 0) & ~apart).select("_id", "_at", "_to")
+    onward = _cut(onward.join(reached.withColumnRenamed("_at", "_to"), ["_id", "_to"], "left_anti"))
+    while not onward.isEmpty():
+        reached = _cut(reached.unionByName(reached.join(onward, ["_id", "_at"]).select("_id", F.col("_to").alias("_at"))))
+        further = onward.select("_id", F.col("_at").alias("_to"), F.col("_to").alias("_next"))
+        onward = _cut(onward.join(further, ["_id", "_to"]).select("_id", "_at", F.col("_next").alias("_to")))
+    # copies count for the last kept time up to theirs
+    flagged = numbered.join(reached.withColumn("_f", F.lit(1)), ["_id", "_at"], "left").select(
+        "_id", "event_time", "n_copies", (-F.col("_at")).alias("_o"), F.coalesce("_f", F.lit(0)).alias("_f")
+    )
+    return ordered_scan(flagged, "_id", "_o", sums={"_g": F.col("_f")}).groupBy("_id", "_g").agg(
+        F.min("event_time").alias("event_time"), F.sum("n_copies").alias("n_copies")
+    ).drop("_g")
+
+
 def first_updates(df: DataFrame, horizon: str = dims.DEDUP_HORIZON) -> DataFrame:
     """Batch deduplication: every delivery that no kept one of the same id precedes by ``horizon`` or
     less, with the number of copies it stands for.
 
     Updates without an id are never duplicates. Deliveries of one id at one time are one by partial
-    aggregation; the different times of an id are read in order, each either kept or counted for the
-    one kept before it.
+    aggregation; the different times of an id, however many, are scanned by ordered blocks and
+    followed by doubled pointers, and only the rows that are kept are fetched whole.
     """
     rest = [c for c in df.columns if c != "event_time"]
-    keyed = df.withColumn("_k", F.coalesce(F.col("update_id").cast("string"), F.uuid()))
-    moments = keyed.groupBy("_k", "event_time").agg(
-        F.min(F.struct(*rest)).alias("u"), F.count("*").alias("n_copies")
-    )
-    delivery = F.struct("event_time", "u", "n_copies")
-    kind = f"array<struct<event_time: timestamp, u: {df.select(F.struct(*rest).alias('u')).schema['u'].dataType.simpleString()}, n_copies: bigint>>"
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        repeat = (F.size(kept) > 0) & (x["event_time"] <= last["event_time"] + F.expr(f"interval {horizon}"))
-        counted = F.struct(last["event_time"].alias("event_time"), last["u"].alias("u"), (last["n_copies"] + x["n_copies"]).alias("n_copies"))
-        return F.when(repeat, F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(counted))).otherwise(F.concat(kept, F.array(x)))
-
-    kept = F.aggregate(F.array_sort(F.collect_list(delivery)), F.array().cast(kind), step)
+    alone = df.where("update_id is null").select("event_time", *rest, F.lit(1).cast("bigint").alias("n_copies"))
+    keyed = df.where("update_id is not null").withColumn("_id", F.col("update_id").cast("string"))
+    timed = keyed.where("event_time is not null")
+    row = F.min(F.struct(*rest)).alias("u")
+    kept = _kept(timed.groupBy("_id", "event_time").agg(F.count("*").alias("n_copies")), horizon)
+    first = timed.groupBy("_id", "event_time").agg(row).join(kept, ["_id", "event_time"])
     # a delivery without a time has nothing to be compared by: it is kept
-    timed = moments.where("event_time is not null").groupBy("_k").agg(kept.alias("_kept")).select(F.explode("_kept").alias("_x")).select("_x.*")
-    untimed = moments.where("event_time is null").select("event_time", "u", "n_copies")
-    return timed.unionByName(untimed).select("event_time", "u.*", "n_copies")
+    untimed = keyed.where("event_time is null").groupBy("_id", "event_time").agg(row, F.count("*").alias("n_copies"))
+    return first.unionByName(untimed).select("event_time", "u.*", "n_copies").unionByName(alone)

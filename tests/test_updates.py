@@ -109,6 +109,28 @@ def test_first_updates_readmits_after_the_horizon(spark):
     assert updates.first_updates(df.limit(0)).collect() == []
 
 
+def test_first_updates_follow_long_chains(spark):
+    """Ids of many times without a gap, one of them with a third of all rows, against a plain loop."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(1, 7 * k) for k in range(20_000)] + [(2, rng.randrange(2_000_000)) for _ in range(20_000)]
+    rows += [(i, 300 * rng.randrange(-40, 40)) for i in range(3, 1000) for _ in range(20)] + [(None, 5), (None, 5)]
+    want, last = [], {}
+    for i, s in sorted((r for r in rows if r[0]), key=lambda r: (r[0], r[1])):
+        if i in last and s <= last[i][1] + 600:
+            last[i][2] += 1
+        else:
+            last[i] = [i, s, 1]
+            want.append(last[i])
+    df = spark.createDataFrame(rows, "update_id bigint, s bigint").withColumn("event_time", F.timestamp_seconds("s"))
+    found = updates.first_updates(df)
+    # no id's times are gathered in one array
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = [[r.update_id, r.s, r.n_copies] for r in found.collect()]
+    assert sorted(r for r in got if r[0]) == sorted(want) and [r for r in got if not r[0]] == [[None, 5, 1]] * 2
+
+
 def at(i, minute):
     return json.dumps({"update_id": i, "event_time": f"2024-01-01T00:{minute:02d}:00Z", "message": message(text="a")})
 
