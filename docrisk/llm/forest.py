@@ -162,14 +162,19 @@ def _candidates(vectors: DataFrame, block: list, forest: Forest, n: int) -> Data
                 bits = np.zeros((len(x), sees[0].shape[1]), np.uint8)
                 for tree, by_leaf in zip(trees, sees, strict=True):
                     bits |= by_leaf[tree.leaves(x)]
-                near = (x**2).sum(axis=1)[:, None] + squares - 2 * (x @ q.T)
+                norms = (x**2).sum(axis=1)[:, None] + squares
+                near = norms - 2 * (x @ q.T)
                 near[np.unpackbits(bits, axis=1, count=len(q), bitorder="little") == 0] = np.inf
                 if len(x) > 2 * n:
-                    # all rows as near as the last of the nearest, so that ties stay in
-                    edge = np.partition(near, n, axis=0)[n]
-                    near[near > edge * (1 + 1e-9)] = np.inf
+                    # all rows that can be as near as the last of the nearest, within what rounding leaves open, so that ties stay in
+                    wrong = np.finfo(float).eps * (dimension + 8) * norms
+                    edge = np.partition(near + wrong, n, axis=0)[n]
+                    near[near - wrong > edge * (1 + 1e-9)] = np.inf
                 row, of = np.nonzero(np.isfinite(near))
-                exact = np.sqrt(((x[row] - q[of]) ** 2).sum(axis=1))
+                exact = np.zeros(len(row))
+                for e in range(0, len(row), 50_000):
+                    part = slice(e, e + 50_000)
+                    exact[part] = np.sqrt(((x[row[part]] - q[of[part]]) ** 2).sum(axis=1))
                 query, ids, distance = np.concatenate([query, of]), np.concatenate([ids, x_ids[row]]), np.concatenate([distance, exact])
                 best = _best(query, ids, distance, n)
                 query, ids, distance = query[best], ids[best], distance[best]

@@ -49,6 +49,18 @@ def test_few_vectors_copies_and_ties_are_exact(spark):
             assert got[q] == brute(ids[~zero], x[~zero], q, 10)
 
 
+def test_near_copies_keep_their_exact_order(spark):
+    """Distances far below what |x|^2 + |q|^2 - 2xq can tell: near copies, and a large common offset."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([1e4 + 1e-6 * rng.normal(size=(200, 8)), 1e4 + rng.normal(size=(200, 8))])
+    ids = rng.permutation(400)
+    docs = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in A.nearest(docs, "vec_id % 10 = 0", k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {q: brute(ids, x, q, 10) for q in range(0, 400, 10)}
+
+
 def test_blocks_of_queries_give_the_same(spark):
     rng = np.random.default_rng(1)
     docs = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
