@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk.llm import decontaminate, forest, html_blocks, language, mixing, near_dup, quality, substring_dedup, tool_calls, toxicity
+from docrisk.llm import (
+    decontaminate,
+    fill_in_middle,
+    filter_audit,
+    fingerprint,
+    forest,
+    html_blocks,
+    language,
+    mixing,
+    near_dup,
+    quality,
+    substring_dedup,
+    tool_calls,
+    toxicity,
+)
 from docrisk.llm.oracles import ORACLES
 
 
@@ -61,6 +75,18 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(fingerprint.edited(read(spark, sf_dir, "documents")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.transform(read(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 __all__ = ["ORACLES", "QUERIES", "read"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -76,5 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tool_calls,
         op9_substring_dedup,
         op10_forest,
+        op11_fingerprint,
+        op12_fill_in_middle,
+        op13_filter_audit,
     )
 }

@@ -16,5 +16,5 @@ def test_registration():
     import __spark_entry__ as entry
 
     numbers = [int(name[2:].split("_")[0]) for name in entry.queries() if name.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
