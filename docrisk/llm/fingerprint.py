@@ -138,26 +138,27 @@ def edited(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.
 
     The edited vector is not worked out anew: paragraphs before the edited one stand, those behind are taken
-    off and the new ones added. Texts are shuffled once, by their key; both joins read that exchange. What
-    goes from a document to the one before is a head and a vector.
+    off and the new ones added. Texts are shuffled once, with their vectors, by their key; both joins read
+    that exchange. What goes from a document to the one before is a head and a vector.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("t"))
-    rows = held.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("t").alias("h"), "t")
-    keys = rows.select(*_KEY, F.length("t").alias("n")).groupBy(*_KEY).agg(F.min("n").alias("n"))
+    keyed = held.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("t").alias("h"), "t")
+    rows = keyed.select(*_KEY, "t", vector(F.col("t")).alias("vector"))
+    keys = keyed.select(*_KEY, F.length("t").alias("n")).groupBy(*_KEY).agg(F.min("n").alias("n"))
     followers = _followers(keys)
     wanted = followers.select("next.*", F.struct(*_KEY).alias("of"), F.expr("n div 4").cast("int").alias("most"))
-    heads = rows.join(wanted, [*_KEY]).select("of.*", F.expr("substring(t, 1, most)").alias("head"), vector(F.col("t")).alias("next_vector"))
+    heads = rows.join(wanted, [*_KEY]).select("of.*", F.expr("substring(t, 1, most)").alias("head"), F.col("vector").alias("next_vector"))
     met = rows.join(heads.dropDuplicates([*_KEY]), [*_KEY])
     n = F.length("t")
     kept = F.expr("substring(t, 1, length(t) - length(t) div 4)")
-    begun = met.select("none", "id", "t", "head", "next_vector", n.alias("n"), kept.alias("kept"))
+    begun = met.select("none", "id", "t", "vector", "head", "next_vector", n.alias("n"), kept.alias("kept"))
     # where the paragraph begins in which the text is cut
     at = F.length("kept") - F.length(F.substring_index("kept", "\n", -1))
-    parted = begun.select("none", "id", "t", "n", "next_vector", F.concat("kept", "head").alias("edited_text"), at.alias("at"))
+    parted = begun.select("none", "id", "t", "vector", "n", "next_vector", F.concat("kept", "head").alias("edited_text"), at.alias("at"))
     tail = lambda c: F.substring(c, F.col("at") + 1, F.length(c))
     hashed = parted.select(
-        "none", "id", "n", "edited_text", "next_vector", vector(F.col("t")).alias("vector"),
+        "none", "id", "n", "edited_text", "vector", "next_vector",
         vector(tail(F.col("t"))).alias("gone"), vector(tail(F.col("edited_text"))).alias("come"),
     )
     return hashed.select(
