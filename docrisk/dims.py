@@ -274,3 +274,4 @@ ROUTE_MESSAGES = {
 DIGIT_STATES = ("no_text", "too_few", "no_repeats", "ready")
 PROCESS_ERROR = "işlem hatası."
 UNKNOWN_ERROR = "Bilinmeyen hata"
+UNREADABLE = "Okunamayan kayıt."

@@ -42,6 +42,12 @@ def _is_whole(wrapped: Column) -> Column:
     return F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == _SENTINEL, F.lit(False))
 
 
+def whole_json(text: Column) -> Column:
+    """The variant a text holds; NULL if it holds none, or anything behind it."""
+    wrapped = _wrapped(text)
+    return F.when(_is_whole(wrapped), F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def parse_lenient(df: DataFrame, text: str, out: str, objects_only: bool = False) -> DataFrame:
     """Add ``out``: the variant a text holds, after removing fences; failing that, the variant
     its braced part holds; else NULL.

@@ -707,6 +707,26 @@ def chat_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_rows(spark, sf_dir).select(F.inline(F.array(update)))
 
 
+#: Delivery of updates in three batches: the batch of the first one, whether it comes again in all later
+#: batches, and lines that are torn or hold a wrong type. Minutes at which the batches arrive.
+FIRST_BATCH, AGAIN = "u % 3", "u % 10 = 0"
+TORN, MISTYPED = "u % 41 = 5", "u % 43 = 7"
+TORN_LINE = """concat('{"update_id":', cast(u AS string), ',"message":{"chat":{"id":', cast(chat_id AS string))"""
+MISTYPED_LINE = """concat('{"update_id":', cast(u AS string), ',"message":{"message_id":"x","chat":{"id":', cast(chat_id AS string), '}}}')"""
+MINUTES = (0, 4, 12)
+#: Updates whose file is not there, and three at which processing raises.
+NO_FILE, RAISING = "{u} % 17 = 4", "{u} IN (177, 273, 288)"
+
+
+def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line`` and ``batch`` of every delivery of the updates."""
+    flat = chat_rows(spark, sf_dir).select("u", "chat_id")
+    broken = flat.where(f"{TORN} OR {MISTYPED}").select("u", F.expr(f"CASE WHEN {TORN} THEN {TORN_LINE} ELSE {MISTYPED_LINE} END").alias("line"))
+    whole = chat_updates(spark, sf_dir).select(F.col("update_id").alias("u"), F.to_json(F.struct("*")).alias("line")).where(f"NOT ({TORN} OR {MISTYPED})")
+    last = F.when(F.expr(AGAIN), 2).otherwise(F.expr(FIRST_BATCH))
+    return whole.unionByName(broken).select("line", F.explode(F.sequence(F.expr(FIRST_BATCH), last)).alias("batch"))
+
+
 REPLAYED = "event_id % 10 = 0"
 
 

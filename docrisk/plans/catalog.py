@@ -17,6 +17,8 @@ from docrisk.operators import chain, claims, frames, intake, invoice, report, re
 from docrisk.plans import adapters as a
 from docrisk.plans.screening import screen_documents
 from docrisk.session import configure, shared_folder
+from docrisk.sources.updates import read_update_lines
+from docrisk.streaming.chat import read_chat, run_chat
 from docrisk.streaming.dedup import dedup_updates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,6 +413,47 @@ def update_dedup_stream(spark, sf_dir):
     return spark.read.schema("update_id bigint").parquet(f"{folder}/out")
 
 
+def _without_files(routed: DataFrame) -> DataFrame:
+    """A step of the chat: files that are not there are errors; at some updates it raises."""
+    wanted = F.col("route").isin("receipt", "statement")
+    missing = F.when(wanted & F.expr(a.NO_FILE.format(u="update_id")), F.concat(F.lit("Dosya yok: "), F.col("file.file_id")))
+    raising = F.raise_error(F.concat(F.lit("Belge okunamadı: "), F.col("update_id").cast("string"))).cast("bigint")
+    return routed.withColumns({"error": missing, "chat_id": F.when(F.expr(a.RAISING.format(u="update_id")), raising).otherwise(F.col("chat_id"))})
+
+
+@query
+def chat_flow(spark, sf_dir):
+    """The whole chat: updates as lines in three batches, the stream started anew for each, under a given clock.
+
+    Requests, messages, repeats and the ledger, as they were committed to the shared folder.
+    """
+    folder = f"{shared_folder(spark)}/docrisk-{uuid.uuid4().hex}"
+    lines = a.chat_lines(spark, sf_dir)
+    for batch, minute in enumerate(a.MINUTES):
+        lines.where(F.col("batch") == batch).select("line").write.mode("append").text(f"{folder}/updates")
+        clock = F.lit(f"2024-01-01 00:{minute:02d}:00").cast("timestamp")
+        updates_ = read_update_lines(spark, f"{folder}/updates", stream=True)
+        run_chat(updates_, f"{folder}/chat", f"{folder}/checkpoint", step=_without_files, exact=True, clock=clock).awaitTermination()
+    tables = read_chat(spark, f"{folder}/chat")
+    none = F.lit(None).cast("string")
+
+    def rows(name: str, kind: str, **columns) -> DataFrame:
+        wanted = {c: none for c in ("type", "file_name", "bank", "provided_info", "text", "error", "record")}
+        wanted |= {c: F.lit(None).cast("bigint") for c in ("update_id", "chat_id", "reply_to")} | columns
+        return tables[name].select(F.lit(kind).alias("kind"), "batch", *[v.alias(c) for c, v in wanted.items()])
+
+    def given(*names: str) -> dict:
+        return {n: F.col(n) for n in names}
+
+    unread = F.col("error") == dims.UNREADABLE
+    return (
+        rows("requests", "request", **given("update_id", "chat_id", "reply_to", "type", "file_name", "bank", "provided_info"))
+        .unionByName(rows("outbox", "message", **given("update_id", "chat_id", "text"), reply_to=F.col("reply_to_message_id")))
+        .unionByName(rows("duplicates", "duplicate", **given("update_id")))
+        .unionByName(rows("rejects", "reject", **given("error"), record=F.when(unread, F.col("record"))))
+    )
+
+
 @query
 def report_text(spark, sf_dir):
     return report.render_report(a.report_inputs(spark, sf_dir)).select("k", "text", "severity")

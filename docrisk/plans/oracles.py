@@ -626,6 +626,49 @@ SELECT CAST(u AS BIGINT) AS update_id, chat_id,
   CASE WHEN route IN ('receipt', 'statement', 'statement_video', 'menu') THEN CAST(u AS BIGINT) END AS reply_to_message_id
 FROM routed WHERE route <> 'drop'"""
 
+_started = (
+    f"CASE route {_messages} WHEN 'statement' THEN concat('Hesap özeti seçildi.', chr(10), chr(10), {_file['file_name']}) "
+    f"ELSE concat(CASE substring(data, 6) {_displays} ELSE substring(data, 6) END, ' seçildi.', chr(10), chr(10), {_file['file_name']}) END"
+)
+_said = "coalesce(nullif(caption, ''), nullif(text, ''), '')"
+_claimed = """CASE WHEN caption <> '' THEN '{"senderName":null,"recipientName":null,"amount":"12","currency":"TL","iban":null}'
+    WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN '{"senderName":null,"recipientName":null,"amount":null,"currency":null,"iban":null}' END"""
+_error_head = f"concat({sql_text(dims.PROCESS_ERROR)}, chr(10), chr(10), "
+_none = {"type": "VARCHAR", "file_name": "VARCHAR", "bank": "VARCHAR", "provided_info": "VARCHAR", "text": "VARCHAR", "error": "VARCHAR", "record": "VARCHAR",
+         "update_id": "BIGINT", "chat_id": "BIGINT", "reply_to": "BIGINT"}
+
+
+def _flow_rows(kind: str, source: str, **columns: str) -> str:
+    listed = ", ".join(f"CAST({columns.get(c, 'NULL')} AS {t}) AS {c}" for c, t in _none.items())
+    return f"SELECT '{kind}' AS kind, CAST(batch AS BIGINT) AS batch, {listed} FROM {source}"
+
+
+ORACLES["chat_flow"] = f"""
+WITH {CHAT},
+deliveries AS (
+  SELECT *, unnest(range({a.FIRST_BATCH}, CASE WHEN {a.AGAIN} THEN 3 ELSE {a.FIRST_BATCH} + 1 END)) AS batch, {a.FIRST_BATCH} AS first_batch,
+    {a.TORN} AS torn, {a.MISTYPED} AS mistyped FROM routed),
+unread AS (
+  SELECT batch, CASE WHEN torn THEN {a.TORN_LINE} ELSE {a.MISTYPED_LINE} END AS line, CASE WHEN NOT torn THEN chat_id END AS chat FROM deliveries WHERE torn OR mistyped),
+read AS (
+  SELECT *, batch = first_batch OR (first_batch = 0 AND batch = 2) AS fresh, {a.RAISING.format(u="u")} AND route <> 'drop' AS raising,
+    {a.NO_FILE.format(u="u")} AND route IN ('receipt', 'statement') AS no_file FROM deliveries WHERE NOT torn AND NOT mistyped),
+bad AS (
+  SELECT batch, u, chat_id AS chat,
+    CASE WHEN no_file THEN concat('Dosya yok: ', {_file['file_id']}) ELSE concat('Belge okunamadı: ', u) END AS error
+  FROM read WHERE fresh AND (no_file OR raising)),
+good AS (SELECT * FROM read WHERE fresh AND NOT no_file AND NOT raising)
+{_flow_rows("request", "good WHERE route IN ('receipt', 'statement')", update_id="u", chat_id="chat_id", reply_to="u",
+            type="CASE route WHEN 'statement' THEN 'statement' ELSE kind END", file_name=_file['file_name'],
+            bank="CASE WHEN route = 'receipt' THEN substring(data, 6) END", provided_info=_claimed)}
+UNION ALL {_flow_rows("message", "good WHERE route <> 'drop'", update_id="u", chat_id="chat_id", text=_started,
+                      reply_to="CASE WHEN route IN ('receipt', 'statement', 'statement_video', 'menu') THEN u END")}
+UNION ALL {_flow_rows("message", "bad WHERE chat <> 0", update_id="u", chat_id="chat", text=_error_head + "error)")}
+UNION ALL {_flow_rows("message", "unread WHERE chat <> 0", chat_id="chat", text=_error_head + sql_text(dims.UNREADABLE) + ")")}
+UNION ALL {_flow_rows("duplicate", "read WHERE NOT fresh", update_id="u")}
+UNION ALL {_flow_rows("reject", "bad", error="error")}
+UNION ALL {_flow_rows("reject", "unread", error=sql_text(dims.UNREADABLE), record="line")}"""
+
 ORACLES["update_dedup_batch"] = f"""
 SELECT event_id AS update_id, 0 AS copy, CAST(CASE WHEN {a.REPLAYED} THEN 3 ELSE 1 END AS BIGINT) AS n_copies FROM events
 UNION ALL SELECT event_id, c.copy, CAST(1 AS BIGINT) FROM events, (SELECT 3 AS copy UNION ALL SELECT 4 AS copy) c WHERE {a.REPLAYED}"""

@@ -66,6 +66,16 @@ CALLBACK = struct(
 )
 UPDATES = struct(update_id=L, event_time=T.TimestampType(), message=MESSAGE, callback_query=CALLBACK)
 
+MESSAGES = struct(update_id=L, chat_id=L, text=S, reply_to_message_id=L)
+REQUESTS = struct(
+    doc_id=S, update_id=L, chat_id=L, reply_to=L, type=S, file_id=S, file_name=S, mime=S, bank=S, statement_mode=S,
+    claim=CLAIM, provided_info=S,
+)
+FAILURES = struct(update_id=L, chat_id=L, error=S, record=S)
+DUPLICATES = struct(update_id=L)
+# what could not be read or processed, of all sources
+LEDGER = struct(source=S, record=S, error=S)
+
 # --- chain records ----------------------------------------------------------------------
 
 TOKEN = struct(

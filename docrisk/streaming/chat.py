@@ -2,44 +2,125 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docrisk import dims
+from docrisk import dims, schemas
 from docrisk.operators.report import render_report
-from docrisk.operators.updates import outgoing_messages, route_updates, screening_requests
-from docrisk.sources.sinks import run_id, write_batch
+from docrisk.operators.updates import error_messages, outgoing_messages, route_updates, screening_requests
+from docrisk.sources.commits import commit, committed, is_committed, new_attempt, read_committed, write_part, write_tables
+from docrisk.sources.folders import remove
+from docrisk.sources.ledger import CORRUPT
+from docrisk.sources.sinks import run_id
+from docrisk.sources.updates import chat_of_line
 from docrisk.streaming.dedup import dedup_updates
+from docrisk.streaming.isolate import write_apart
+
+Step = Callable[[DataFrame], DataFrame]
+TABLES = {"requests": schemas.REQUESTS, "outbox": schemas.MESSAGES, "rejects": schemas.LEDGER, "duplicates": schemas.DUPLICATES}
+_DONE = schemas.struct(request=schemas.REQUESTS, message=schemas.MESSAGES, failure=schemas.FAILURES)
+
+
+def _handled(step: Step | None) -> Step:
+    """All that is done with updates, as one table of ``request``, ``message`` or ``failure``."""
+
+    def handle(updates: DataFrame) -> DataFrame:
+        routed = route_updates(updates)
+        routed = step(routed) if step else routed
+        if "error" not in routed.columns:
+            routed = routed.withColumn("error", F.lit(None).cast("string"))
+        ok, bad = routed.where("error is null"), routed.where("error is not null")
+        record = F.to_json(F.struct(*updates.columns)).alias("record")
+        parts = {
+            "request": screening_requests(ok),
+            "message": outgoing_messages(ok),
+            "failure": bad.select("update_id", _chat().alias("chat_id"), "error", record),
+        }
+        rows = []
+        for name, part in parts.items():
+            held = F.struct(*part.columns).cast(_DONE[name].dataType)
+            rows.append(part.select(*[held.alias(n) if n == name else F.lit(None).cast(_DONE[n].dataType).alias(n) for n in parts]))
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+    return handle
 
 
 def run_chat(
-    updates: DataFrame, path: str, checkpoint: str, horizon: str = dims.DEDUP_HORIZON, **trigger
+    updates: DataFrame, path: str, checkpoint: str, horizon: str = dims.DEDUP_HORIZON, step: Step | None = None, exact: bool = False,
+    clock: Column | None = None, **trigger,
 ) -> StreamingQuery:
-    """Deduplicate and route a stream of updates into ``requests`` and ``outbox`` tables.
+    """Deduplicate, route and answer a stream of updates.
 
-    One query, hence one deduplication state. Each micro-batch replaces its own folders, so a
-    batch that is repeated after a lost executor or driver leaves no second copy.
+    Each micro-batch becomes the committed tables ``requests``, ``outbox``, ``rejects`` and ``duplicates``
+    under ``path`` (see ``read_chat``), all at once; a batch that is repeated after a lost driver writes
+    nothing a second time. ``duplicates`` is filled where ``exact`` (see ``dedup_updates``, also for ``clock``).
+
+    An update that cannot be processed stops no other: its chat gets an error message and the ledger an
+    entry. That holds for lines that cannot be read (``read_update_lines``), for rows to which ``step`` gives
+    an ``error``, and for rows at which an expression raises (``write_apart``). ``step`` works on routed updates
+    row by row, before requests and messages are made of them.
     """
-    routed = route_updates(dedup_updates(updates, horizon))
+    keyed = dedup_updates(updates, horizon, exact, clock)
+    handle = _handled(step)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        run = run_id(batch.sparkSession, checkpoint)
-        batch.persist()
-        try:
-            write_batch(screening_requests(batch), f"{path}/requests", batch_id, run)
-            write_batch(outgoing_messages(batch), f"{path}/outbox", batch_id, run)
-        finally:
-            batch.unpersist()
+        spark = batch.sparkSession
+        run = run_id(spark, checkpoint)
+        if is_committed(spark, path, run, batch_id):
+            # its rows are there, but Spark repeats the batch because it lacks the state behind it
+            batch.write.format("noop").mode("overwrite").save()
+            return
+        attempt = new_attempt()
+        work = f"{path}/_work/run={run}/batch={batch_id}"
+        # one evaluation of the source and the state; everything else reads this
+        batch.write.parquet(f"{work}/{attempt}/in")
+        rows = spark.read.schema(batch.schema).parquet(f"{work}/{attempt}/in")
+        repeat = F.col("duplicate") if exact else F.lit(False)
+        line = F.col(CORRUPT) if CORRUPT in rows.columns else F.lit(None).cast("string")
+        apart = write_apart(rows.where(~repeat & line.isNull()).drop("duplicate", CORRUPT), handle, f"{work}/{attempt}/done")
+        done = spark.read.schema(_DONE).parquet(*apart.folders) if apart.folders else spark.createDataFrame([], _DONE)
+        raised = apart.failed.select(
+            "update_id", _chat().alias("chat_id"), "error", F.to_json(F.struct(*[c for c in apart.failed.columns if c != "error"])).alias("record")
+        )
+        unread = rows.where(line.isNotNull()).select(
+            "update_id", chat_of_line(line).alias("chat_id"), F.lit(dims.UNREADABLE).alias("error"), line.alias("record")
+        )
+        failures = done.where("failure is not null").select("failure.*").unionByName(raised).unionByName(unread)
+        tables = {
+            "requests": done.where("request is not null").select("request.*"),
+            "outbox": done.where("message is not null").select("message.*").unionByName(error_messages(failures)),
+            "rejects": failures.select(F.lit("updates").alias("source"), "record", "error"),
+            "duplicates": rows.where(repeat).select("update_id"),
+        }
+        for name, table in tables.items():
+            write_part(table, path, name, run, batch_id, attempt)
+        commit(spark, path, run, batch_id, attempt, list(tables))
+        remove(spark, work)
 
     return (
-        routed.writeStream.foreachBatch(write)
+        keyed.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def _chat() -> Column:
+    """The chat of an update that could not be processed: the message's, else the callback's."""
+    given = lambda c: F.when(c != 0, c)
+    return F.coalesce(given(F.col("message.chat.id")), given(F.col("callback_query.message.chat.id")))
+
+
+def read_chat(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What ``run_chat`` and ``run_reports`` have committed: ``requests``, ``outbox``, ``rejects`` and
+    ``duplicates``, all of the same batches."""
+    commits = committed(spark, path)
+    return {name: read_committed(spark, path, name, schema, commits) for name, schema in TABLES.items()}
+
+
 def report_messages(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Result reports for the chats that asked: update_id, chat_id, text, reply_to_message_id."""
     answered = requests.select("doc_id", "update_id", "chat_id", "reply_to").join(results, "doc_id")
@@ -52,3 +133,19 @@ def report_messages(requests: DataFrame, results: DataFrame) -> DataFrame:
         "update_id", "chat_id", F.when(F.col("success"), F.col("text")).otherwise(failed).alias("text"),
         F.col("reply_to").alias("reply_to_message_id"),
     )
+
+
+def run_reports(results: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Send a stream of screening results (doc_id and what ``render_report`` reads, success, error) to the
+    chats whose committed requests they answer: into the same outbox, each batch once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        write_tables({"outbox": report_messages(read_chat(spark, path)["requests"], batch)}, path, run_id(spark, checkpoint), batch_id)
+
+    return (
+        results.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -1,0 +1,281 @@
+"""The chat flow over many batches: poisoned updates, restarts, torn writes, repeats."""
+
+import glob
+import json
+import os
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+from test_updates import PDF, callback, drain, message, no_empty_batches, write_updates  # noqa: F401
+
+from docrisk import dims, schemas
+from docrisk.sources import commits, ledger
+from docrisk.sources.updates import read_update_lines, read_updates
+from docrisk.streaming import chat, isolate
+from docrisk.streaming.chat import read_chat, run_chat, run_reports
+from docrisk.streaming.dedup import dedup_updates, first_of_runs
+
+
+def line(i, **envelope):
+    return json.dumps({"update_id": i, "event_time": "2024-01-01T00:00:00Z", **envelope})
+
+
+def asks(i, chat_id):
+    return line(i, callback_query=callback("bank:akbank", message(document=PDF, caption="Tutar: 5 TL"), chat=chat_id))
+
+
+def run(spark, tmp_path, **options):
+    updates = read_update_lines(spark, str(tmp_path / "u"), stream=True)
+    drain(run_chat(updates, str(tmp_path / "out"), str(tmp_path / "checkpoint"), **options))
+    return seen(spark, tmp_path)
+
+
+def seen(spark, tmp_path):
+    return {name: df.collect() for name, df in read_chat(spark, str(tmp_path / "out")).items()}
+
+
+def ids(rows):
+    return sorted(r.update_id for r in rows)
+
+
+def test_poisoned_updates_are_answered_and_stop_no_other(spark, tmp_path):
+    lines = [asks(i, 100 + i) for i in range(40)]
+    # unreadable with a chat, unreadable without one, raising, failing by a column, without a chat (dropped before)
+    lines += ['{"update_id": 50, "message": {"message_id": "x", "chat": {"id": 950}}}', '{"update_id": 51, "mess']
+    lines += [asks(52, 952), asks(53, 953), asks(54, 0)]
+    write_updates(tmp_path / "u", lines)
+
+    def step(routed):
+        broken = F.when(F.col("update_id").isin(52, 54), F.raise_error(F.concat(F.lit("dosya "), F.col("update_id").cast("string"))).cast("string"))
+        return routed.withColumns({"text": F.coalesce(broken, "text"), "error": F.when(F.col("update_id") == 53, "dosya yok")})
+
+    got = run(spark, tmp_path, step=step)
+    assert ids(got["requests"]) == list(range(40))
+    texts = {r.chat_id: (r.update_id, r.text) for r in got["outbox"]}
+    assert {c: i for c, (i, _) in texts.items() if c < 900} == {100 + i: i for i in range(40)}
+    head = dims.PROCESS_ERROR + "\n\n"
+    assert {c: t for c, t in texts.items() if c >= 900} == {
+        950: (None, head + dims.UNREADABLE), 952: (52, head + "dosya 52"), 953: (53, head + "dosya yok")
+    }
+    errors = sorted((r.error, r.source) for r in got["rejects"])
+    assert errors == sorted([(dims.UNREADABLE, "updates")] * 2 + [("dosya 52", "updates"), ("dosya yok", "updates")])
+    assert {r.record for r in got["rejects"] if r.error == dims.UNREADABLE} == set(lines[40:42])
+    kept = next(json.loads(r.record) for r in got["rejects"] if r.error == "dosya 52")
+    assert kept["update_id"] == 52 and kept["callback_query"]["data"] == "bank:akbank"
+    assert not glob.glob(str(tmp_path / "out/_work/run=*/*"))
+
+
+def test_batches_and_restarts_under_a_clock(spark, tmp_path):
+    """Three runs from one checkpoint; state is evicted by the clock that is given."""
+    at = lambda minute: {"exact": True, "clock": F.lit(f"2024-01-01 00:{minute:02d}:00").cast("timestamp")}
+    write_updates(tmp_path / "u", [asks(1, 101), asks(1, 101), asks(2, 102), line(None, message=message(text="/start")), line(None, message=message(text="/start"))])
+    got = run(spark, tmp_path, **at(0))
+    assert ids(got["requests"]) == [1, 2] and ids(got["duplicates"]) == [1] and len(got["outbox"]) == 4
+    write_updates(tmp_path / "u", [asks(1, 101), asks(3, 103), "broken", "broken"], "1.json")
+    got = run(spark, tmp_path, **at(10))
+    # ten minutes after: still a repeat; lines that cannot be read are never repeats
+    assert ids(got["requests"]) == [1, 2, 3] and ids(got["duplicates"]) == [1, 1] and len(got["rejects"]) == 2
+    write_updates(tmp_path / "u", [asks(1, 101), asks(2, 102), asks(3, 103)], "2.json")
+    got = run(spark, tmp_path, **at(11))
+    assert ids(got["requests"]) == [1, 1, 2, 2, 3] and ids(got["duplicates"]) == [1, 1, 3]
+    assert sorted({r.batch for r in got["requests"]}) == [0, 1, 2] and len({r.run for r in got["requests"]}) == 1
+
+
+def test_the_default_forgets_by_the_clock_too(spark, tmp_path):
+    at = lambda minute: {"clock": F.lit(f"2024-01-01 00:{minute:02d}:00").cast("timestamp")}
+    for k, (minute, wanted) in enumerate([(0, [1]), (4, [1]), (11, [1, 9]), (12, [1, 1, 9])]):
+        write_updates(tmp_path / "u", [asks(9 if k == 2 else 1, 7)], f"{k}.json")
+        assert ids(run(spark, tmp_path, **at(minute))["requests"]) == wanted
+
+
+@pytest.mark.parametrize("dies_at", ["requests", "outbox", "duplicates"])
+def test_a_torn_batch_is_never_seen(spark, tmp_path, monkeypatch, dies_at):
+    write_updates(tmp_path / "u", [asks(1, 101), asks(2, 102), "broken"])
+    real = commits.write_part
+
+    def write_part(df, path, table, *rest):
+        real(df.limit(1) if table == dies_at else df, path, table, *rest)
+        if table == dies_at:
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(chat, "write_part", write_part)
+    with pytest.raises(Exception):
+        run(spark, tmp_path)
+    torn = seen(spark, tmp_path)
+    assert all(rows == [] for rows in torn.values())
+    assert glob.glob(str(tmp_path / f"out/{dies_at}/run=*/batch=0/attempt=*/*.parquet"))
+    monkeypatch.undo()
+    got = run(spark, tmp_path)
+    assert ids(got["requests"]) == [1, 2] and ids(got["outbox"]) == [1, 2] and len(got["rejects"]) == 1
+
+
+def test_a_batch_that_is_repeated_after_its_commit_changes_nothing(spark, tmp_path, no_empty_batches):  # noqa: F811
+    write_updates(tmp_path / "u", [asks(1, 101), asks(2, 102)])
+    first = run(spark, tmp_path)
+    # the driver was lost after our commit and before Spark's own
+    for name in glob.glob(str(tmp_path / "checkpoint/commits/*")) + glob.glob(str(tmp_path / "checkpoint/commits/.*.crc")):
+        if os.path.basename(name).strip(".").split(".")[0] != "metadata":
+            os.remove(name)
+    again = run(spark, tmp_path)
+    assert {r.attempt for r in again["outbox"]} == {r.attempt for r in first["outbox"]} and ids(again["outbox"]) == [1, 2]
+
+
+def test_two_commits_of_a_batch_show_one(spark, tmp_path):
+    path = str(tmp_path / "o")
+    rows = spark.createDataFrame([(1,)], "update_id bigint")
+    for attempt in ("ab", "aa"):
+        commits.write_part(rows, path, "t", "r", 0, attempt)
+        commits.commit(spark, path, "r", 0, attempt, ["t"])
+    schema = schemas.struct(update_id=schemas.L)
+    assert [r.attempt for r in commits.read_committed(spark, path, "t", schema).collect()] == ["aa"]
+    assert commits.write_tables({"t": rows}, path, "r", 0) is False and commits.write_tables({"t": rows}, path, "r", 1) is True
+    assert commits.read_committed(spark, path, "t", schema).count() == 2
+    assert commits.read_committed(spark, path, "none", schema).collect() == []
+    assert commits.read_committed(spark, str(tmp_path / "nowhere"), "t", schema).collect() == []
+
+
+def test_reports_go_to_the_chats_that_asked(spark, tmp_path):
+    write_updates(tmp_path / "u", [asks(1, 101), asks(2, 102)])
+    run(spark, tmp_path)
+    schema = "doc_id string, success boolean, error string, type string, score double, risk_label string, confidence double, summary string, bank string"
+    results = [("1", True, None, "pdf", 50.0, "HIGH RISK", 80.0, "ozet", "akbank"), ("2", False, "bozuk", "pdf", None, None, None, None, None), ("9", True, None, "pdf", 1.0, "x", 1.0, "y", None)]
+    spark.createDataFrame(results, schema).write.parquet(str(tmp_path / "results"))
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "results"))
+        drain(run_reports(stream, str(tmp_path / "out"), str(tmp_path / "reports")))
+    sent = [r for r in seen(spark, tmp_path)["outbox"] if "Skoru" in r.text or "bozuk" in r.text]
+    assert sorted((r.update_id, r.chat_id, r.reply_to_message_id) for r in sent) == [(1, 101, 5), (2, 102, 5)]
+
+
+def brute_repeats(rows, span):
+    until, flags = {}, [None] * len(rows)
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][1], k)):
+        i, t = rows[k]
+        flags[k] = not (i in until and t <= until[i])
+        if flags[k]:
+            until[i] = t + span
+    return flags, until
+
+
+def test_first_of_runs_against_a_loop():
+    rng = random.Random(6)
+    for _ in range(60):
+        known = until = np.zeros(0, np.int64)
+        state, now = {}, 0
+        for _ in range(4):
+            now += rng.randrange(40)
+            rows = [(rng.randrange(-5, 8) * 2**40, now + rng.randrange(50)) for _ in range(rng.randrange(60))]
+            array = np.array(rows, np.int64).reshape(-1, 2)
+            flags, known, until = first_of_runs(array[:, 0], array[:, 1], known, until, 10)
+            want = []
+            taken = dict(state)
+            want = [None] * len(rows)
+            for k in sorted(range(len(rows)), key=lambda k: (rows[k][1], k)):
+                i, t = rows[k]
+                want[k] = not (i in taken and t <= taken[i])
+                if want[k]:
+                    taken[i] = t + 10
+            state = taken
+            assert flags.tolist() == want and dict(zip(known.tolist(), until.tolist(), strict=True)) == state
+
+
+def test_state_is_kept_by_bucket_not_by_id(spark, tmp_path):
+    """One piece of state and one call for a bucket and batch, however many ids there are; ids keep all digits."""
+    many = [line(2**60 + i, message=message(text="a")) for i in range(3000)]
+    source = write_updates(tmp_path / "u", many + many[:500] + [line(None, message=message(text="b"))] * 3)
+    out = str(tmp_path / "out")
+
+    def drained():
+        flagged = dedup_updates(read_updates(spark, source, stream=True), exact=True, buckets=16)
+        query = (flagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
+                 .trigger(availableNow=True).start())
+        drain(query)
+        return [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+
+    assert max(drained()) <= 16
+    rows = spark.read.parquet(out).collect()
+    assert sum(r.duplicate for r in rows) == 500 and len(rows) == 3503
+    assert {r.update_id for r in rows} == {2**60 + i for i in range(3000)} | {None}
+    write_updates(tmp_path / "u", many[:10], "1.json")
+    drained()
+    assert spark.read.parquet(out).where("duplicate").count() == 510
+
+
+def test_exact_rows_pass_unchanged(spark, tmp_path):
+    source = write_updates(tmp_path / "u", [line(1, message=message(text='é "x"\n', photo=[{"file_id": "s"}, {"file_id": "l"}]), extra=1)])
+    plain = read_updates(spark, source).collect()
+    flagged = dedup_updates(read_updates(spark, source, stream=True), exact=True, clock=F.col("event_time"))
+    query = flagged.writeStream.format("memory").queryName("flagged_rows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    drain(query)
+    assert spark.table("flagged_rows").drop("duplicate").collect() == plain
+
+
+def test_rows_apart(spark, tmp_path):
+    spark.range(200).withColumn("s", F.col("id").cast("string")).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+
+    def step(df):
+        value = F.when(F.col("id") == 13, F.raise_error(F.lit("on purpose"))).when(F.col("id") == 77, F.col("s").cast("int") / (F.col("id") - 77))
+        return df.select("id", F.coalesce(value, F.lit(0.0)).alias("v"))
+
+    apart = isolate.write_apart(rows, step, str(tmp_path / "out"))
+    failed = {r.id: r.error for r in apart.failed.collect()}
+    assert set(failed) == {13, 77} and failed[13] == "on purpose" and "DIVIDE_BY_ZERO" in failed[77]
+    assert spark.read.parquet(*apart.folders).count() == 198
+    # nothing fails: one job, one folder
+    assert len(isolate.write_apart(rows, lambda df: df, str(tmp_path / "fine")).folders) == 1
+    with pytest.raises(isolate.StepFails):
+        isolate.write_apart(rows, lambda df: df.select(F.raise_error(F.lit("x")).alias("v")), str(tmp_path / "all"), most=3)
+    # what is no row's fault is not divided
+    with pytest.raises(Exception) as wrong:
+        isolate.write_apart(rows, lambda df: df.select("nothing"), str(tmp_path / "wrong"))
+    assert "UNRESOLVED_COLUMN" in str(wrong.value)
+
+
+def test_python_errors_are_parted_too(spark, tmp_path):
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+
+    @F.udf("long")
+    def picky(x):
+        if x == 3:
+            raise ValueError("three")
+        return x
+
+    apart = isolate.write_apart(spark.read.parquet(str(tmp_path / "in")), lambda df: df.select(picky("id").alias("x")), str(tmp_path / "out"))
+    assert [(r.id, r.error) for r in apart.failed.collect()] == [(3, "ValueError: three")]
+
+
+LINES = ['{"doc_id":"1","output_text":"{}"}', '{"doc_id":"2"} behind', '{"doc_id":"3"}{"doc_id":"4"}', '{"doc_id":', "[1]", "null", "7", "", "  ",
+         '{"doc_id":"5","unknown":[1,{"a":2}]}', '{"doc_id":"6"},"x":1', '{"doc_id":"a\\"]}"}']
+
+
+def test_the_ledger_holds_what_is_not_accepted(spark, tmp_path):
+    (tmp_path / "r.json").write_text("\n".join(LINES))
+    counts = Observation("responses")
+    lines = ledger.counted(ledger.read_lines(spark, schemas.MODEL_RESPONSES, str(tmp_path / "r.json")), counts)
+    lines.write.parquet(str(tmp_path / "read"))
+    read = spark.read.parquet(str(tmp_path / "read"))
+    good, bad = ledger.accepted(read).collect(), ledger.rejected(read, "responses").collect()
+    assert [r.doc_id for r in good] == ["1", "5", 'a"]}']
+    assert {r.record for r in bad} == {x for x in LINES if x.strip()} - {LINES[0], LINES[9], LINES[11]}
+    assert counts.get == {"n_read": 10, "n_accepted": 3, "n_rejected": 7} and len(good) + len(bad) == 10
+
+
+def test_records_of_the_chain(spark, tmp_path):
+    texts = ['{"address":"a","record":{"x":null}}', '{"address":"b","record":null}', '{"address":"c"}', '{"record":{}}', '{"address":"d","record":{}} x', "no", ""]
+    (tmp_path / "s.json").write_text("\n".join(texts))
+    read = ledger.read_records(spark, str(tmp_path / "s.json"))
+    assert [(r.address, r.v.toJson()) for r in ledger.accepted(read).collect()] == [("a", '{"x":null}'), ("b", "null")]
+    assert [r.record for r in ledger.rejected(read, "security").collect()] == texts[2:6]
+
+
+def test_streams_take_bounded_batches(spark, tmp_path):
+    for k in range(4):
+        write_updates(tmp_path / "u", [asks(10 * k + i, 7) for i in range(5)], f"{k}.json")
+    updates = read_update_lines(spark, str(tmp_path / "u"), stream=True, max_bytes="1k")
+    drain(run_chat(updates, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
+    rows = seen(spark, tmp_path)["requests"]
+    assert len(rows) == 20 and len({r.batch for r in rows}) == 4
