@@ -25,21 +25,20 @@ from pyspark.sql import functions as F
 
 from docrisk.llm import words as W
 from docrisk.llm.components import components
-from docrisk.llm.scratch import cut, small_batches
+from docrisk.llm.scratch import Shelf, small_batches
 
 #: Words of a k-mer, and least similarity of duplicates (1 - edits by words of the longer text).
 K, LEAST = 5, 0.8
 #: Values of a sketch, and k-mers of each.
-SKETCHES, PICKED = 48, 5
-#: Texts of few k-mers have so many values of so few k-mers instead, texts of medium size both, so
-#: that neighbours across either bound share a kind.
-SHORT_SKETCHES, SHORT_PICKED, SHORT_LEAST, SHORT_MOST = 16, 2, 10, 16
-#: Distances are worked out up to this many times the greatest of duplicates; beyond 2.5 times, no
-#: duplicate of one text can be one of the other.
+SKETCHES, PICKED = 64, 3
+#: Texts whose words, in any order, differ by more than this many times the greatest distance of duplicates
+#: are far apart; beyond 2.5 times, no duplicate of one text can be one of the other.
 FAR = 3.0
-#: Leaders of a value that are compared with its texts at once: one in the first round, FEW in those
-#: up to FEW_ROUNDS, then LEADERS.
-FEW, FEW_ROUNDS, LEADERS = 4, 4, 64
+#: Leaders of a value that are compared with its texts at once: one in the first round, and in each round
+#: this many times as many as in the one before.
+MORE = 4
+#: Rounds in which texts of the largest groups lead.
+LARGEST = 4
 #: Hashes handled at once.
 CELLS = 1 << 20
 
@@ -61,16 +60,16 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return W.mix(kmers + occurrence * W.CHAIN)
 
 
-def values(kmers: np.ndarray, n: int, picked: int, salt: int) -> np.ndarray:
+def values(kmers: np.ndarray, n: int, picked: int) -> np.ndarray:
     """``n`` sketch values of ``picked`` labelled k-mers each."""
     found = []
-    by = multipliers(n + salt)[salt:]
+    by = multipliers(n)
     step = max(1, CELLS // len(kmers))
     for s in range(0, n, step):
         hashed = (by[s : s + step, None] * kmers >> np.uint64(32)).astype(np.uint32)
-        at = np.argpartition(hashed, picked - 1, axis=1)[:, :picked] if len(kmers) > picked else np.tile(np.arange(picked), (len(hashed), 1))
+        at = np.argpartition(hashed, picked - 1, axis=1)[:, :picked]
         at.sort(axis=1)
-        value = by[s : s + step] + np.uint64(salt)
+        value = by[s : s + step].copy()
         for t in range(picked):
             value = W.mix(value * W.CHAIN + kmers[at[:, t]])
         found.append(value)
@@ -78,16 +77,18 @@ def values(kmers: np.ndarray, n: int, picked: int, salt: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The sketch of a text, given its words' hashes; empty for texts without two k-mers, which have
-    no duplicate but their copies."""
+    """The sketch of a text, given its words' hashes; empty for a text without words.
+
+    ``K - 1`` marks stand before and behind the text, so a text of n words has n + K - 1 k-mers: words at
+    its ends are in as many as others, and the shortest text has more than ``PICKED``. One rule holds for
+    all lengths.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    mark = np.full(K - 1, W.CHAIN, np.uint64)
+    hashes = np.concatenate([mark, hashes, ~mark])
     kmers, _ = W.grams(hashes, np.zeros(len(hashes), np.int8), K)
-    kmers = labelled(kmers)
-    found = [np.zeros(0, np.uint64)]
-    if len(kmers) >= SHORT_LEAST:
-        found.append(values(kmers, SKETCHES, PICKED, 0))
-    if SHORT_PICKED <= len(kmers) <= SHORT_MOST:
-        found.append(values(kmers, SHORT_SKETCHES, SHORT_PICKED, SKETCHES))
-    return np.concatenate(found)
+    return values(labelled(kmers), SKETCHES, PICKED)
 
 
 def copy_keys(w: W.Words, hashes: np.ndarray) -> list[np.ndarray]:
@@ -215,14 +216,24 @@ def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np
     return result
 
 
-def distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+def apart(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """The least number of edits that each pair's words, in any order, need; where already their lengths
+    differ by more than ``most``, that difference."""
+    found = np.array([abs(len(a) - len(b)) for a, b in pairs], np.int64)
+    for i in np.flatnonzero(found <= most):
+        found[i] = _bag_apart(*pairs[i])
+    return found
+
+
+def distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
     """Edit distance of each pair of word sequences, or -1 if it is more than ``most``.
 
-    Pairs whose lengths, or whose words in any order, differ by more are settled; the others are
-    aligned, as many at a time as fill tables of bounded size.
+    Pairs that need more edits (``least``) are settled; the others are aligned, as many at a time as fill
+    tables of bounded size.
     """
     result = np.full(len(pairs), -1, np.int64)
-    left = [i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= most[i] and _bag_apart(a, b) <= most[i]]
+    least = apart(pairs, most) if least is None else least
+    left = [i for i in range(len(pairs)) if least[i] <= most[i]]
     left.sort(key=lambda i: len(pairs[i][0]))
     at = 0
     while at < len(left):
@@ -237,97 +248,108 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> n
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``near`` (duplicates) and ``within`` (no further than ``FAR`` times that) of pairs."""
+    """``near`` (duplicates) and ``within`` (not known to be far apart) of pairs.
+
+    Only distances of duplicates are worked out: their band is narrow. Whether others are far apart is
+    told by their words in any order, which can only understate it.
+    """
     for batch in batches:
         flat = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column("words"), batch.column("other"))]
         pairs = [tuple(v[o[i] : o[i + 1]] for o, v in flat) for i in range(len(batch))]
         greatest = np.array([(1 - LEAST) * max(len(x), len(y)) + 1e-9 for x, y in pairs])
-        d = distances(pairs, np.floor(FAR * greatest).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array((d >= 0) & (d <= greatest)), pa.array(d >= 0)], names=["a", "b", "near", "within"]
-        )
+        far = np.floor(FAR * greatest).astype(np.int64)
+        least = apart(pairs, far)
+        d = distances(pairs, np.floor(greatest).astype(np.int64), least)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d >= 0), pa.array(least <= far)], names=["a", "b", "near", "within"])
 
 
-def groups(members: DataFrame, words: DataFrame) -> DataFrame:
+def groups(members: DataFrame, words: DataFrame, shelf: Shelf) -> DataFrame:
     """``id`` and ``class_id`` (smallest id of its group) of all texts that are duplicates of others
     with which they share a value (``members``: ``value``, ``id``); ``words`` has the texts by ``id``.
 
     In each round the texts of a value are compared with its leaders alone: the smallest id at first,
-    then few texts of the largest groups, in the end up to ``LEADERS`` of the smallest. Texts of one group
-    need no comparison, so values that are left with one group are settled. Nor do two texts of which
-    one is a duplicate of a leader and the other is far from it. So a text goes on to the next round
+    then texts of the largest groups, in the end of the smallest, ``MORE`` times as many in each round. Texts
+    of one group need no comparison, so values that are left with one group are settled. Nor do two texts of
+    which one is a duplicate of a leader and the other is far from it. So a text goes on to the next round
     if it is no duplicate of any leader, or fails one closely, or is a duplicate of a leader that
     another failed closely; the first two kinds may lead later. Leaders have met all texts of their
     value that they need to and leave. Rounds end when no value is left.
+
+    Each round's tables are written; pairs that were compared are one growing table, read where it lies.
+    Joins are merge joins, so no table of a round goes through the driver.
     """
     nothing = members.sparkSession.createDataFrame([], "id long, class_id long")
     members = members.withColumn("may_lead", F.lit(True)).withColumn("class_id", F.col("id"))
     done = labels = None
     rounds = 0
     while True:
-        rounds += 1
         if done is None:
             leading = members.groupBy(F.col("value").alias("of")).agg(F.min("id").alias("lead")).withColumn("lead_class", F.col("lead"))
         else:
             sizes = members.groupBy("value", "class_id").agg(F.count("*").alias("size"))
-            # texts of the largest groups first take up what belongs to them, few at a time; then those
-            # of the smallest meet all that are left
-            few = rounds <= FEW_ROUNDS
-            place = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("size") if few else "size", "id"))
+            # texts of the largest groups first take up what belongs to them; then those of the smallest
+            # meet all that are left
+            place = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("size") if rounds <= LARGEST else "size", "id"))
             leading = (
-                members.where("may_lead").join(sizes, ["value", "class_id"])
-                .withColumn("place", place).where(F.col("place") <= (FEW if few else LEADERS))
+                members.where("may_lead").join(sizes.hint("merge"), ["value", "class_id"])
+                .withColumn("place", place).where(F.col("place") <= MORE**rounds)
                 .select(F.col("value").alias("of"), F.col("id").alias("lead"), F.col("class_id").alias("lead_class"))
             )
-        met = members.join(leading, (F.col("value") == F.col("of")) & (F.col("class_id") != F.col("lead_class")))
-        led = cut(met.select("value", "id", "may_lead", "lead", F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
+        met = members.join(leading.hint("merge"), (F.col("value") == F.col("of")) & (F.col("class_id") != F.col("lead_class")))
+        led = shelf.put("led", met.select("value", "id", "may_lead", "lead", F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")))
         pairs = led.select("a", "b").distinct()
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        checked = cut(
-            pairs.join(words.select(F.col("id").alias("b"), "words"), "b")
-            .join(words.select(F.col("id").alias("a"), F.col("words").alias("other")), "a")
+            pairs = pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
+        # repeated tries of a task find the same pairs; each is kept once
+        found = (
+            pairs.join(words.select(F.col("id").alias("b"), "words").hint("merge"), "b")
+            .join(words.select(F.col("id").alias("a"), F.col("words").alias("other")).hint("merge"), "a")
             .select("a", "b", "words", "other")
             .mapInArrow(_verified, "a long, b long, near boolean, within boolean")
-            .groupBy("a", "b").agg(F.max("near").alias("near"), F.max("within").alias("within"))
         )
-        done = checked if done is None else done.unionByName(checked)
+        checked = shelf.put("checked", found)
+        done = shelf.append("done", checked)
         near = checked.where("near").select("a", "b")
         if not near.isEmpty():
-            labels = _merged(labels, near)
-        judged = led.join(done, ["a", "b"]).withColumn("close", F.col("within") & ~F.col("near"))
+            labels = _merged(labels, near, shelf)
+        judged = led.join(done.hint("merge"), ["a", "b"]).withColumn("close", F.col("within") & ~F.col("near"))
         missed = judged.groupBy("value", "lead").agg(F.max("close").alias("missed"))
         seen = (
-            judged.join(missed, ["value", "lead"])
+            judged.join(missed.hint("merge"), ["value", "lead"])
             .groupBy("value", "id")
             .agg(F.max("near").alias("near"), F.max("close").alias("close"), F.max(F.col("near") & F.col("missed")).alias("wanted"))
         )
         # texts that met no leader, for they are of its group, go on as they are
+        led_ids = leading.select(F.col("of").alias("value"), F.col("lead").alias("id"))
         going = (
-            members.join(leading.select(F.col("of").alias("value"), F.col("lead").alias("id")), ["value", "id"], "left_anti")
-            .join(seen, ["value", "id"], "left")
+            members.join(led_ids.hint("merge"), ["value", "id"], "left_anti")
+            .join(seen.hint("merge"), ["value", "id"], "left")
             .where("near is null or not near or close or wanted or not may_lead")
             .withColumn("may_lead", F.coalesce(F.col("close") | (F.col("may_lead") & ~F.col("near")), F.col("may_lead")))
-            .join((nothing if labels is None else labels).withColumnRenamed("class_id", "now"), "id", "left")
+            .join((nothing if labels is None else labels).withColumnRenamed("class_id", "now").hint("merge"), "id", "left")
             .select("value", "id", "may_lead", F.coalesce("now", "id").alias("class_id"))
         )
+        going = shelf.put("going", going)
         several = going.groupBy("value").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("may_lead").alias("any"))
-        members = cut(going.join(several.where("low < high and any").select("value"), "value"))
+        members = shelf.put("members", going.join(several.where("low < high and any").select("value").hint("merge"), "value"))
+        rounds += 1
         if members.isEmpty():
+            shelf.drop("led", "checked", "done", "going", "members", "between", "renamed")
             return nothing if labels is None else labels
 
 
-def _merged(labels: DataFrame | None, near: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame | None, near: DataFrame, shelf: Shelf) -> DataFrame:
     """Groups with further links: the links between groups are followed, then all are renamed."""
     if labels is None:
-        return components(near)
+        return shelf.put("labels", components(near, shelf, "renamed"))
     a = labels.select(F.col("id").alias("a"), F.col("class_id").alias("ca"))
     b = labels.select(F.col("id").alias("b"), F.col("class_id").alias("cb"))
-    between = cut(near.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
-    renamed = components(between).select(F.col("id").alias("old"), F.col("class_id").alias("new"))
-    kept = labels.join(renamed, F.col("class_id") == F.col("old"), "left").select("id", F.coalesce("new", "class_id").alias("class_id"))
-    fresh = renamed.join(labels.select(F.col("id").alias("old")), "old", "left_anti").select(F.col("old").alias("id"), F.col("new").alias("class_id"))
-    return cut(kept.unionByName(fresh))
+    joined = near.join(a.hint("merge"), "a", "left").join(b.hint("merge"), "b", "left")
+    between = shelf.put("between", joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
+    renamed = components(between, shelf, "renamed").select(F.col("id").alias("old"), F.col("class_id").alias("new"))
+    kept = labels.join(renamed.hint("merge"), F.col("class_id") == F.col("old"), "left").select("id", F.coalesce("new", "class_id").alias("class_id"))
+    fresh = renamed.join(labels.select(F.col("id").alias("old")).hint("merge"), "old", "left_anti").select(F.col("old").alias("id"), F.col("new").alias("class_id"))
+    return shelf.put("labels", kept.unionByName(fresh))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -335,12 +357,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
     A group is what links of at least ``LEAST`` similarity connect; words are longest runs of other
     code points than U+0020 and U+0009 to U+000D, compared as they stand, so texts that differ in
-    white space alone are copies. Texts too short for two k-mers have no duplicates but their copies.
-    Empty and white-space texts are copies of one another. Null texts are in no group: their class
+    white space alone are copies. Empty and white-space texts are copies of one another. Null texts are in no group: their class
     is their own id. Rows without ``doc_id`` have no class (null) and take no part. Repeated rows of
     one id are one document. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
+    shelf = Shelf(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     distinct = (
         texts.mapInArrow(_sketch_rows, "id long, one long, two long, sketch array<long>")
@@ -348,9 +370,10 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     shown = distinct.select("id", F.explode("sketch").alias("value"))
     shared = shown.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("value")
-    members = cut(shown.join(shared, "value").select("value", "id").distinct())
-    words = cut(texts.join(members.select("id").distinct(), "id").mapInArrow(_word_rows, "id long, words array<int>").distinct())
-    linked = groups(members, words)
+    members = shelf.put("shared", shown.join(shared, "value").select("value", "id").distinct())
+    words = shelf.put("words", texts.join(members.select("id").distinct(), "id").mapInArrow(_word_rows, "id long, words array<int>").distinct())
+    linked = groups(members, words, shelf)
+    shelf.drop("shared", "words")
     first = texts.mapInArrow(_key_rows, "id long, one long, two long")
     copies = first.groupBy("one", "two").agg(F.min("id").alias("copy_of"))
     known = (

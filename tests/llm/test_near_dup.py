@@ -7,6 +7,7 @@ from docrisk.llm import near_dup as N
 from docrisk.llm import words as W
 from docrisk.llm.components import components
 from docrisk.llm.queries import op1_near_dup
+from docrisk.llm.scratch import Shelf
 
 
 def edits(a, b):
@@ -44,6 +45,39 @@ def test_sketch_keeps_text_order_and_occurrence():
     assert len(set(repeats.tolist())) == 4
 
 
+#: Least share of pairs that meet, by edit similarity.
+RECALL = {0.8: 0.3, 0.85: 0.65, 0.9: 0.9, 0.95: 0.98}
+
+
+@pytest.mark.parametrize("n", [10, 20, 50, 100, 300])
+@pytest.mark.parametrize("similarity", RECALL)
+def test_recall_by_length_and_similarity(n, similarity):
+    """Pairs of any length at an edit similarity, by edits of all kinds at any places, that share a value."""
+    rng = np.random.default_rng(n)
+    tried = met = 0
+    for _ in range(150):
+        a = rng.integers(0, 2**62, n).astype(np.uint64)
+        b = a.tolist()
+        for _ in range(int((1 - similarity) * n + 1e-9)):
+            at = int(rng.integers(0, len(b)))
+            kind = rng.integers(0, 4)
+            b[at : at + (kind != 1)] = [] if kind == 0 else [int(rng.integers(0, 2**62))]
+        b = np.array(b, np.uint64)
+        if edits(a.tolist(), b.tolist()) > (1 - N.LEAST) * max(n, len(b)) + 1e-9:
+            continue
+        tried += 1
+        met += bool(set(N.sketch(a).tolist()) & set(N.sketch(b).tolist()))
+    assert tried > 50 and met >= RECALL[similarity] * tried
+
+
+def test_pairs_that_share_four_fifths_of_their_windows_always_meet():
+    rng = np.random.default_rng(3)
+    for n in range(6, 400, 7):
+        a = rng.integers(0, 2**62, n).astype(np.uint64)
+        b = np.concatenate([a, rng.integers(0, 2**62, n // 5).astype(np.uint64)])
+        assert set(N.sketch(a).tolist()) & set(N.sketch(b).tolist())
+
+
 def _share(rng, n):
     return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
@@ -79,7 +113,7 @@ def test_residual_leaders_lose_no_link(spark):
     table = spark.createDataFrame(list(words.items()), "id long, words array<int>")
     near = {(i, j) for i in texts for j in texts if i < j and edits(texts[i], texts[j]) <= 20}
     assert near == {(2, 3), (4, 5)}
-    assert {r.id: r.class_id for r in N.groups(members, table).collect()} == {2: 2, 3: 2, 4: 4, 5: 4}
+    assert {r.id: r.class_id for r in N.groups(members, table, Shelf(spark)).collect()} == {2: 2, 3: 2, 4: 4, 5: 4}
 
 
 def test_groups_are_the_components_of_all_links_of_a_value(spark):
@@ -100,13 +134,13 @@ def test_groups_are_the_components_of_all_links_of_a_value(spark):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = {k: new if v == old else v for k, v in label.items()}
     members = spark.createDataFrame([(v, i) for i in texts for v in (7, 8 + i % 2)], "value long, id long")
-    got = {r.id: r.class_id for r in N.groups(members, spark.createDataFrame(list(words.items()), "id long, words array<int>")).collect()}
+    got = {r.id: r.class_id for r in N.groups(members, spark.createDataFrame(list(words.items()), "id long, words array<int>"), Shelf(spark)).collect()}
     assert {i: got.get(i, i) for i in texts} == label
 
 
 def test_components_of_chain_star_and_ring(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(30)] + [(300, 301), (301, 302), (302, 300)]
-    got = {r.id: r.class_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.class_id for r in components(spark.createDataFrame(edges, "a long, b long"), Shelf(spark), "c").collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in [100, *range(200, 230)]} | {300: 300, 301: 300, 302: 300}
 
 
