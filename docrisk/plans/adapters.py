@@ -727,6 +727,35 @@ def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.unionByName(broken).select("line", F.explode(F.sequence(F.expr(FIRST_BATCH), last)).alias("batch"))
 
 
+#: Lines of other sources that are torn, or have text behind them.
+def torn(key: str) -> str:
+    return f"{key} % 13 = 1"
+
+
+def trailed(key: str) -> str:
+    return f"{key} % 13 = 2"
+
+
+def spoilt_line(key: str, line: str) -> str:
+    """SQL: the line as it arrives."""
+    return f"CASE WHEN {torn(key)} THEN concat('{{\"address\":\"', cast({key} AS string)) WHEN {trailed(key)} THEN concat({line}, ' x') ELSE {line} END"
+
+
+ADDRESS_LINE = "concat('{{\"address\":\"', {address}, '\",\"record\":', {record}, '}}')"
+ANSWER_LINE = "concat('{\"doc_id\":\"', cast(o_orderkey AS string), '\",\"type\":\"pdf\",\"output_text\":\"{}\"}')"
+SOURCE_LINES = {
+    "security": ("part", "p_partkey", ADDRESS_LINE.format(address=address_of(TOKEN_KEY), record=SECURITY_JSON)),
+    "accounts": ("customer", "c_custkey", ADDRESS_LINE.format(address=address_of("c_custkey"), record=ACCOUNT_JSON)),
+    "responses": ("orders", "o_orderkey", ANSWER_LINE),
+}
+
+
+def source_lines(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """``line`` of a source as it arrives, one a row of its table."""
+    name, key, line = SOURCE_LINES[source]
+    return table(spark, sf_dir, name).select(F.expr(spoilt_line(key, line)).alias("line"))
+
+
 REPLAYED = "event_id % 10 = 0"
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk import dims
+from docrisk import dims, schemas
 from docrisk.functions.banks import bank_display, canonical_bank
 from docrisk.functions.files import document_type, repair_mime
 from docrisk.functions.identifiers import bic_valid, clean_address, iban_valid, valid_address
@@ -17,6 +17,8 @@ from docrisk.operators import chain, claims, frames, intake, invoice, report, re
 from docrisk.plans import adapters as a
 from docrisk.plans.screening import screen_documents
 from docrisk.session import configure, shared_folder
+from docrisk.sources.ledger import read_lines, read_records, take_in
+from docrisk.sources.sinks import publish, read_published
 from docrisk.sources.updates import read_update_lines
 from docrisk.streaming.chat import read_chat, run_chat
 from docrisk.streaming.dedup import dedup_updates
@@ -454,6 +456,40 @@ def chat_flow(spark, sf_dir):
     )
 
 
+@query
+def reject_ledger(spark, sf_dir):
+    """What could not be read of four sources, line by line, with how many lines were read and accepted."""
+    folder = f"{shared_folder(spark)}/docrisk-{uuid.uuid4().hex}"
+    readers = {
+        "updates": lambda path: read_update_lines(spark, path),
+        "responses": lambda path: read_lines(spark, schemas.MODEL_RESPONSES, path),
+        "security": lambda path: read_records(spark, path),
+        "accounts": lambda path: read_records(spark, path),
+    }
+    entries = None
+    for source, reader in readers.items():
+        lines = a.chat_lines(spark, sf_dir).select("line") if source == "updates" else a.source_lines(spark, sf_dir, source)
+        lines.write.text(f"{folder}/{source}/lines")
+        taken = take_in(reader(f"{folder}/{source}/lines"), source, f"{folder}/{source}/read")
+        rows = taken.rejects.select("*", *[F.lit(taken.counts[c]).cast("bigint").alias(c) for c in ("n_read", "n_accepted", "n_rejected")])
+        entries = rows if entries is None else entries.unionByName(rows)
+    return entries
+
+
+@query
+def results_rerun(spark, sf_dir):
+    """Address results, published, then those of wallets again: all types as they stand, with their edition."""
+    folder = f"{shared_folder(spark)}/docrisk-{uuid.uuid4().hex}"
+    scored = address_scores(spark, sf_dir).withColumnRenamed("address_type", "type").withColumn("edition", F.lit(1))
+    publish(scored, folder)
+    first = read_published(spark, folder, "results", scored.drop("error").schema)
+    publish(first.where("type = 'WALLET'").withColumns({"edition": F.lit(2), "error": F.lit(None).cast("string")}), folder)
+    good = read_published(spark, folder, "results", scored.drop("error").schema)
+    bad = read_published(spark, folder, "rejects", scored.select("address", "type", "success", "error").schema)
+    whole = good.unionByName(bad, allowMissingColumns=True)
+    return whole.select("address", "type", "success", "error", "score", "edition")
+
+
 @query
 def report_text(spark, sf_dir):
     return report.render_report(a.report_inputs(spark, sf_dir)).select("k", "text", "severity")

@@ -669,6 +669,22 @@ UNION ALL {_flow_rows("duplicate", "read WHERE NOT fresh", update_id="u")}
 UNION ALL {_flow_rows("reject", "bad", error="error")}
 UNION ALL {_flow_rows("reject", "unread", error=sql_text(dims.UNREADABLE), record="line")}"""
 
+_spoilt = " UNION ALL ".join(
+    f"SELECT '{source}' AS source, CASE WHEN {a.torn(key)} OR {a.trailed(key)} THEN {a.spoilt_line(key, line)} END AS record FROM {name}"
+    for source, (name, key, line) in a.SOURCE_LINES.items()
+)
+ORACLES["reject_ledger"] = f"""
+WITH {CHAT},
+deliveries AS (SELECT *, unnest(range({a.FIRST_BATCH}, CASE WHEN {a.AGAIN} THEN 3 ELSE {a.FIRST_BATCH} + 1 END)) AS batch FROM flat),
+lines AS (
+  SELECT 'updates' AS source, CASE WHEN {a.TORN} THEN {a.TORN_LINE} WHEN {a.MISTYPED} THEN {a.MISTYPED_LINE} END AS record FROM deliveries
+  UNION ALL {_spoilt}),
+numbered AS (SELECT *, count(*) OVER (PARTITION BY source) AS n_read, count(record) OVER (PARTITION BY source) AS n_rejected FROM lines)
+SELECT source, record, {sql_text(dims.UNREADABLE)} AS error, n_read, n_read - n_rejected AS n_accepted, n_rejected FROM numbered WHERE record IS NOT NULL"""
+ORACLES["results_rerun"] = f"""
+SELECT address, address_type AS type, success, error, score, CASE WHEN success THEN CAST(CASE address_type WHEN 'WALLET' THEN 2 ELSE 1 END AS INTEGER) END AS edition
+FROM ({ORACLES['address_scores']})"""
+
 ORACLES["update_dedup_batch"] = f"""
 SELECT event_id AS update_id, 0 AS copy, CAST(CASE WHEN {a.REPLAYED} THEN 3 ELSE 1 END AS BIGINT) AS n_copies FROM events
 UNION ALL SELECT event_id, c.copy, CAST(1 AS BIGINT) FROM events, (SELECT 3 AS copy UNION ALL SELECT 4 AS copy) c WHERE {a.REPLAYED}"""

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from docrisk.schemas import struct
 
 _PLACE = struct(run=T.StringType(), batch=T.LongType(), attempt=T.StringType())
-_COMMIT = struct(attempt=T.StringType(), tables=T.ArrayType(T.StringType()))
+_COMMIT = struct(attempt=T.StringType(), tables=T.ArrayType(T.StringType()), parts=T.ArrayType(T.StringType()))
 KEYS = _PLACE.fieldNames()
 
 
@@ -51,9 +51,13 @@ def write_part(df: DataFrame, path: str, table: str, run: str, batch_id: int, at
     df.write.parquet(f"{path}/{table}/run={run}/batch={batch_id}/attempt={attempt}")
 
 
-def commit(spark: SparkSession, path: str, run: str, batch_id: int, attempt: str, tables: list[str]) -> None:
-    """Make the tables of an attempt seen: a file of one row, which appears whole or not at all."""
-    row = spark.range(1, numPartitions=1).select(F.lit(attempt).alias("attempt"), F.array(*[F.lit(t) for t in tables]).alias("tables"))
+def commit(spark: SparkSession, path: str, run: str, batch_id: int, attempt: str, tables: list[str], parts: list[str] | None = None) -> None:
+    """Make the tables of an attempt seen: a file of one row, which appears whole or not at all.
+
+    ``parts`` names what the attempt replaces, for tables that are read by parts (``latest_parts``).
+    """
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    row = spark.range(1, numPartitions=1).select(F.lit(attempt).alias("attempt"), texts(tables).alias("tables"), texts(parts or []).alias("parts"))
     row.write.mode("append").parquet(_commit_folder(path, run, batch_id))
 
 
@@ -70,7 +74,7 @@ def write_tables(tables: dict[str, DataFrame], path: str, run: str, batch_id: in
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """``run``, ``batch``, ``attempt``, ``tables``: the batches there are now, one attempt each.
+    """``run``, ``batch``, ``attempt``, ``tables``, ``parts``: the batches there are now, one attempt each.
 
     The files are listed here: tables that are read with the same listing show the same batches,
     whatever is committed meanwhile.
@@ -78,9 +82,9 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([*_COMMIT.fields, *_PLACE.fields[:2]])
     there = _there(spark, f"{path}/commits", schema)
     if there is None:
-        return spark.createDataFrame([], schema).select(*KEYS, "tables")
+        return spark.createDataFrame([], schema).select(*KEYS, "tables", "parts")
     # two writers of one batch may both commit; one of them is seen, always the same
-    return there.groupBy("run", "batch").agg(F.min(F.struct("attempt", "tables")).alias("c")).select("run", "batch", "c.*")
+    return there.groupBy("run", "batch").agg(F.min(F.struct("attempt", "tables", "parts")).alias("c")).select("run", "batch", "c.*")
 
 
 def read_committed(spark: SparkSession, path: str, table: str, schema: T.StructType, commits: DataFrame | None = None) -> DataFrame:
@@ -91,3 +95,11 @@ def read_committed(spark: SparkSession, path: str, table: str, schema: T.StructT
     if there is None:
         return spark.createDataFrame([], full)
     return there.join(commits.where(F.array_contains("tables", table)).select(*KEYS), KEYS, "left_semi").select(there.columns)
+
+
+def latest_parts(commits: DataFrame) -> DataFrame:
+    """``run``, ``batch``, ``attempt``, ``part``: for each part the last batch that replaced it."""
+    return (
+        commits.select(*KEYS, F.explode("parts").alias("part"))
+        .groupBy("part").agg(F.max(F.struct("batch", "run", "attempt")).alias("c")).select("part", "c.*")
+    )

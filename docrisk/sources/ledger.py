@@ -8,6 +8,8 @@ has Spark count both while the rows go by.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,3 +74,23 @@ def counted(df: DataFrame, observation: Observation | str) -> DataFrame:
     return df.observe(
         observation, F.count(F.lit(1)).alias("n_read"), F.count_if(~bad).alias("n_accepted"), F.count_if(bad).alias("n_rejected")
     )
+
+
+@dataclass
+class Intake:
+    """A source that was read once: its rows, its ledger entries and how many lines there were."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    counts: dict[str, int]
+
+
+def take_in(lines: DataFrame, source: str, folder: str) -> Intake:
+    """Read a source once, into ``folder``, and count its lines on the way.
+
+    Rows and entries are taken from what was written, so they are of the same reading as the counts.
+    """
+    seen = Observation(f"lines of {source}")
+    counted(lines, seen).write.parquet(folder)
+    written = lines.sparkSession.read.schema(lines.schema).parquet(folder)
+    return Intake(accepted(written), rejected(written, source), seen.get)

@@ -86,3 +86,44 @@ def test_session_settings(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     folder = shared_folder(spark)
     assert folder and shared_folder(spark) == folder
+
+
+PUBLISHED = "doc_id string, type string, success boolean, error string, score double"
+
+
+def _standing(spark, path):
+    schema = spark.createDataFrame([], PUBLISHED).schema
+    good = sinks.read_published(spark, path, "results", spark.createDataFrame([], "doc_id string, type string, success boolean, score double").schema)
+    bad = sinks.read_published(spark, path, "rejects", spark.createDataFrame([], "doc_id string, type string, success boolean, error string").schema)
+    assert set(good.columns) | set(bad.columns) == set(schema.fieldNames())
+    return sorted((r.doc_id, r.type, r.score) for r in good.collect()), sorted((r.doc_id, r.type, r.error) for r in bad.collect())
+
+
+def test_published_types_are_replaced_together(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "o")
+    first = [("1", "pdf", True, None, 1.0), ("2", "pdf", False, "x", None), ("3", "image", True, None, 3.0), ("4", None, False, "no type", None)]
+    assert sinks.publish(spark.createDataFrame(first, PUBLISHED), path) == 0
+    assert _standing(spark, path) == ([("1", "pdf", 1.0), ("3", "image", 3.0)], [("2", "pdf", "x"), ("4", None, "no type")])
+    # the run dies between the two tables: nothing has changed
+    again = spark.createDataFrame([("2", "pdf", True, None, 9.0), ("1", "pdf", False, "gone", None)], PUBLISHED)
+    monkeypatch.setattr(sinks, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+    try:
+        sinks.publish(again, path)
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert _standing(spark, path)[0] == [("1", "pdf", 1.0), ("3", "image", 3.0)]
+    # a rerun of one type replaces its results and rejects and leaves the others
+    assert sinks.publish(again, path) == 1
+    assert _standing(spark, path) == ([("2", "pdf", 9.0), ("3", "image", 3.0)], [("1", "pdf", "gone"), ("4", None, "no type")])
+    # a type whose documents all fail has no results any more
+    sinks.publish(spark.createDataFrame([("3", "image", False, "late", None)], PUBLISHED), path)
+    assert _standing(spark, path)[0] == [("2", "pdf", 9.0)]
+
+
+def test_published_types_prune_folders(spark, tmp_path):
+    path = str(tmp_path / "o")
+    sinks.publish(spark.createDataFrame([("1", "pdf", True, None, 1.0), ("3", "image", True, None, 3.0)], PUBLISHED), path)
+    schema = spark.createDataFrame([], "doc_id string, type string, success boolean, score double").schema
+    rows = sinks.read_published(spark, path, "results", schema).where("type = 'pdf'")
+    assert [r.doc_id for r in rows.collect()] == ["1"]
