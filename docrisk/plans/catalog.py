@@ -448,8 +448,10 @@ def chat_flow(spark, sf_dir):
         return {n: F.col(n) for n in names}
 
     unread = F.col("error") == dims.UNREADABLE
+    # claims of captions; other texts are prose
+    claimed = F.when(F.col("claim.rawText") == a.CAPTION_TEXT, F.col("provided_info"))
     return (
-        rows("requests", "request", **given("update_id", "chat_id", "reply_to", "type", "file_name", "bank", "provided_info"))
+        rows("requests", "request", **given("update_id", "chat_id", "reply_to", "type", "file_name", "bank"), provided_info=claimed)
         .unionByName(rows("outbox", "message", **given("update_id", "chat_id", "text"), reply_to=F.col("reply_to_message_id")))
         .unionByName(rows("duplicates", "duplicate", **given("update_id")))
         .unionByName(rows("rejects", "reject", **given("error"), record=F.when(unread, F.col("record"))))

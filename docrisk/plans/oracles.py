@@ -630,9 +630,7 @@ _started = (
     f"CASE route {_messages} WHEN 'statement' THEN concat('Hesap özeti seçildi.', chr(10), chr(10), {_file['file_name']}) "
     f"ELSE concat(CASE substring(data, 6) {_displays} ELSE substring(data, 6) END, ' seçildi.', chr(10), chr(10), {_file['file_name']}) END"
 )
-_said = "coalesce(nullif(caption, ''), nullif(text, ''), '')"
-_claimed = """CASE WHEN caption <> '' THEN '{"senderName":null,"recipientName":null,"amount":"12","currency":"TL","iban":null}'
-    WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN '{"senderName":null,"recipientName":null,"amount":null,"currency":null,"iban":null}' END"""
+_claimed = """CASE WHEN caption <> '' THEN '{"senderName":null,"recipientName":null,"amount":"12","currency":"TL","iban":null}' END"""
 _error_head = f"concat({sql_text(dims.PROCESS_ERROR)}, chr(10), chr(10), "
 _none = {"type": "VARCHAR", "file_name": "VARCHAR", "bank": "VARCHAR", "provided_info": "VARCHAR", "text": "VARCHAR", "error": "VARCHAR", "record": "VARCHAR",
          "update_id": "BIGINT", "chat_id": "BIGINT", "reply_to": "BIGINT"}

@@ -21,31 +21,26 @@ from docrisk.streaming.isolate import write_apart
 
 Step = Callable[[DataFrame], DataFrame]
 TABLES = {"requests": schemas.REQUESTS, "outbox": schemas.MESSAGES, "rejects": schemas.LEDGER, "duplicates": schemas.DUPLICATES}
-_DONE = schemas.struct(request=schemas.REQUESTS, message=schemas.MESSAGES, failure=schemas.FAILURES)
+_ANSWERS = schemas.struct(request=schemas.REQUESTS, message=schemas.MESSAGES)
 
 
-def _handled(step: Step | None) -> Step:
-    """All that is done with updates, as one table of ``request``, ``message`` or ``failure``."""
+def _routed(step: Step | None) -> Step:
+    """Updates with their route and ``error``."""
 
-    def handle(updates: DataFrame) -> DataFrame:
+    def route(updates: DataFrame) -> DataFrame:
         routed = route_updates(updates)
         routed = step(routed) if step else routed
-        if "error" not in routed.columns:
-            routed = routed.withColumn("error", F.lit(None).cast("string"))
-        ok, bad = routed.where("error is null"), routed.where("error is not null")
-        record = F.to_json(F.struct(*updates.columns)).alias("record")
-        parts = {
-            "request": screening_requests(ok),
-            "message": outgoing_messages(ok),
-            "failure": bad.select("update_id", _chat().alias("chat_id"), "error", record),
-        }
-        rows = []
-        for name, part in parts.items():
-            held = F.struct(*part.columns).cast(_DONE[name].dataType)
-            rows.append(part.select(*[held.alias(n) if n == name else F.lit(None).cast(_DONE[n].dataType).alias(n) for n in parts]))
-        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+        return routed if "error" in routed.columns else routed.withColumn("error", F.lit(None).cast("string"))
+
+    return route
 
-    return handle
+
+def _answers(routed: DataFrame) -> DataFrame:
+    """What routed updates lead to, as one table of ``request`` or ``message``."""
+    requests, messages = screening_requests(routed), outgoing_messages(routed)
+    request, message = (F.struct(*df.columns).cast(_ANSWERS[n].dataType).alias(n) for n, df in (("request", requests), ("message", messages)))
+    none = {n: F.lit(None).cast(_ANSWERS[n].dataType).alias(n) for n in _ANSWERS.fieldNames()}
+    return requests.select(request, none["message"]).unionByName(messages.select(none["request"], message))
 
 
 def run_chat(
@@ -64,7 +59,6 @@ def run_chat(
     row by row, before requests and messages are made of them.
     """
     keyed = dedup_updates(updates, horizon, exact, clock)
-    handle = _handled(step)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -80,18 +74,22 @@ def run_chat(
         rows = spark.read.schema(batch.schema).parquet(f"{work}/{attempt}/in")
         repeat = F.col("duplicate") if exact else F.lit(False)
         line = F.col(CORRUPT) if CORRUPT in rows.columns else F.lit(None).cast("string")
-        apart = write_apart(rows.where(~repeat & line.isNull()).drop("duplicate", CORRUPT), handle, f"{work}/{attempt}/done")
-        done = spark.read.schema(_DONE).parquet(*apart.folders) if apart.folders else spark.createDataFrame([], _DONE)
-        raised = apart.failed.select(
-            "update_id", _chat().alias("chat_id"), "error", F.to_json(F.struct(*[c for c in apart.failed.columns if c != "error"])).alias("record")
-        )
+        readable = rows.where(~repeat & line.isNull()).drop("duplicate", CORRUPT)
+        route = _routed(step)
+        first = write_apart(readable, route, f"{work}/{attempt}/routed")
+        routed = first.rows(spark, route(readable.limit(0)).schema)
+        second = write_apart(routed.where("error is null").drop("error"), _answers, f"{work}/{attempt}/answers")
+        answers = second.rows(spark, _ANSWERS)
         unread = rows.where(line.isNotNull()).select(
             "update_id", chat_of_line(line).alias("chat_id"), F.lit(dims.UNREADABLE).alias("error"), line.alias("record")
         )
-        failures = done.where("failure is not null").select("failure.*").unionByName(raised).unionByName(unread)
+        record = F.to_json(F.struct(*readable.columns)).alias("record")
+        failures = unread
+        for failed in (routed.where("error is not null"), first.failed, second.failed):
+            failures = failures.unionByName(failed.select("update_id", _chat().alias("chat_id"), "error", record))
         tables = {
-            "requests": done.where("request is not null").select("request.*"),
-            "outbox": done.where("message is not null").select("message.*").unionByName(error_messages(failures)),
+            "requests": answers.where("request is not null").select("request.*"),
+            "outbox": answers.where("message is not null").select("message.*").unionByName(error_messages(failures)),
             "rejects": failures.select(F.lit("updates").alias("source"), "record", "error"),
             "duplicates": rows.where(repeat).select("update_id"),
         }

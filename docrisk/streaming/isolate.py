@@ -3,7 +3,7 @@
 An expression that raises ends the whole job, however many other rows it had. ``write_apart`` runs a step
 over all rows; if the rows themselves are at fault, it deals them into ``FAN`` folders by a hash and tries
 eighths of these, and eighths of those that fail, until every failing row stands alone with its error and
-all others are written. All parts of a round are tried at once. A batch without such rows costs one job;
+all others are written. Parts of a round are tried beside one another. A batch without such rows costs one job;
 one with some costs as many rounds as it has powers of eight in its size, however many fail.
 """
 
@@ -15,15 +15,16 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException, PythonException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 #: Folders that rows are dealt into at once (a power of two), as bits of the hash.
 BITS = 6
 FAN = 1 << BITS
 #: Parts that a failing one is divided into, and jobs at a time.
-SPLIT = 8
+SPLIT, AT_ONCE = 8, 3
 #: Failing rows of a batch beyond which the step, not the rows, is taken to be at fault.
 MOST = 200
 _HASH, _PART = "_row_hash", "_part"
@@ -64,6 +65,10 @@ class Apart:
     folders: list[str]
     failed: DataFrame
 
+    def rows(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """What was written, in the step's schema."""
+        return spark.read.schema(schema).parquet(*self.folders) if self.folders else spark.createDataFrame([], schema)
+
 
 def write_apart(rows: DataFrame, step: Callable[[DataFrame], DataFrame], folder: str, most: int = MOST) -> Apart:
     """Write ``step(rows)`` as Parquet into parts of ``folder``, without the rows at which it fails.
@@ -117,7 +122,7 @@ def write_apart(rows: DataFrame, step: Callable[[DataFrame], DataFrame], folder:
     if tried(rows, "whole") is not None:
         deal(hashed, "dealt", 0)
     n = 0
-    with ThreadPoolExecutor(SPLIT) as pool:
+    with ThreadPoolExecutor(AT_ONCE) as pool:
         while open_:
             now, open_[:] = open_[:], []
             names = [f"try-{n + k}" for k in range(len(now))]

@@ -43,7 +43,7 @@ def ids(rows):
 
 def test_poisoned_updates_are_answered_and_stop_no_other(spark, tmp_path):
     lines = [asks(i, 100 + i) for i in range(40)]
-    # unreadable with a chat, unreadable without one, raising, failing by a column, without a chat (dropped before)
+    # unreadable with a chat, unreadable without one, raising, failing by a column, raising without a chat
     lines += ['{"update_id": 50, "message": {"message_id": "x", "chat": {"id": 950}}}', '{"update_id": 51, "mess']
     lines += [asks(52, 952), asks(53, 953), asks(54, 0)]
     write_updates(tmp_path / "u", lines)
@@ -61,7 +61,7 @@ def test_poisoned_updates_are_answered_and_stop_no_other(spark, tmp_path):
         950: (None, head + dims.UNREADABLE), 952: (52, head + "dosya 52"), 953: (53, head + "dosya yok")
     }
     errors = sorted((r.error, r.source) for r in got["rejects"])
-    assert errors == sorted([(dims.UNREADABLE, "updates")] * 2 + [("dosya 52", "updates"), ("dosya yok", "updates")])
+    assert errors == sorted([(dims.UNREADABLE, "updates")] * 2 + [("dosya 52", "updates"), ("dosya 54", "updates"), ("dosya yok", "updates")])
     assert {r.record for r in got["rejects"] if r.error == dims.UNREADABLE} == set(lines[40:42])
     kept = next(json.loads(r.record) for r in got["rejects"] if r.error == "dosya 52")
     assert kept["update_id"] == 52 and kept["callback_query"]["data"] == "bank:akbank"
