@@ -21,7 +21,7 @@ from docrisk.functions.jsontext import whole_json
 CORRUPT = "_corrupt"
 
 
-def read_lines(spark: SparkSession, schema: T.StructType, path: str, stream: bool = False, max_bytes: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, schema: T.StructType, path: str, stream: bool = False, max_bytes: int | None = None) -> DataFrame:
     """JSON lines as ``schema`` and ``CORRUPT``. A stream takes ``max_bytes`` of files a batch at most
     (one file at least).
 
@@ -31,7 +31,7 @@ def read_lines(spark: SparkSession, schema: T.StructType, path: str, stream: boo
     """
     reader = spark.readStream if stream else spark.read
     if stream and max_bytes:
-        reader = reader.option("maxBytesPerTrigger", max_bytes)
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes))
     lines = reader.text(path).where(F.trim("value") != "")
     wrapped = T.StructType([T.StructField("r", T.ArrayType(schema)), T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(

@@ -15,7 +15,7 @@ def read_updates(spark: SparkSession, path: str, stream: bool = False, fmt: str
     return reader.schema(schemas.UPDATES).format(fmt).load(path)
 
 
-def read_update_lines(spark: SparkSession, path: str, stream: bool = False, max_bytes: str | None = None) -> DataFrame:
+def read_update_lines(spark: SparkSession, path: str, stream: bool = False, max_bytes: int | None = None) -> DataFrame:
     """JSON lines of updates; those that cannot be read have their text in ``CORRUPT`` and nothing else.
 
     A stream takes ``max_bytes`` of files a batch at most.

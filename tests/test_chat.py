@@ -275,7 +275,7 @@ def test_records_of_the_chain(spark, tmp_path):
 def test_streams_take_bounded_batches(spark, tmp_path):
     for k in range(4):
         write_updates(tmp_path / "u", [asks(10 * k + i, 7) for i in range(5)], f"{k}.json")
-    updates = read_update_lines(spark, str(tmp_path / "u"), stream=True, max_bytes="1k")
+    updates = read_update_lines(spark, str(tmp_path / "u"), stream=True, max_bytes=1000)
     drain(run_chat(updates, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
     rows = seen(spark, tmp_path)["requests"]
     assert len(rows) == 20 and len({r.batch for r in rows}) == 4
