@@ -480,6 +480,32 @@ def security_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Keys of a security record that scores do not read.
+HAS_URL = "CASE p_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'null' END"
+SWAP_TOKEN = "concat('S', cast(p_partkey AS string))"
+
+
+def whole_security_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_partkey, v: security records with every key that is shown."""
+    more = f"""concat(',"has_url":', {HAS_URL}, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(',"swap_token":"', {SWAP_TOKEN}, '"') END, '}}')"""
+    whole = F.expr(f"concat(substring({SECURITY_JSON}, 1, length({SECURITY_JSON}) - 1), {more})")
+    return table(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(whole).alias("v"))
+
+
+def fetched_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """address, token_transfers, data: a fetched response a wallet, with either list, both, an empty one or none."""
+    def transfer(name: str) -> Column:
+        return F.struct(F.concat(F.lit(name), F.col("c_custkey").cast("string")).alias("transaction_id"), F.col("c_custkey").cast("string").alias("quant"))
+
+    kind = F.expr("c_custkey % 4")
+    one, two = F.array(transfer("a")), F.array(transfer("b"), transfer("c"))
+    return table(spark, sf_dir, "customer").select(
+        F.expr(address_of("c_custkey")).alias("address"),
+        F.when(kind == 0, two).when(kind == 3, F.slice(two, 1, 0)).alias("token_transfers"),
+        F.when(kind != 2, one).alias("data"),
+    )
+
+
 ACCOUNT_PRESENT = "c_custkey % 9 <> 4"
 ACCOUNT_CREATED = f"{AS_OF_SECONDS} - (c_custkey % 50) * 86400"
 ACCOUNT_JSON = (

@@ -262,6 +262,20 @@ def token_projection(spark, sf_dir):
     return out.select("k", "t.*", F.col("s.vip"), F.col("s.tokenLevel"), F.col("s.openSource"), F.col("s.hasUrl"))
 
 
+@query
+def security_projection(spark, sf_dir):
+    """All nine fields that are shown of a security record."""
+    records = a.whole_security_records(spark, sf_dir)
+    return records.select(F.col("p_partkey").alias("k"), chain.security_fields(F.col("v")).alias("s")).select("k", "s.*")
+
+
+@query
+def transfer_lists(spark, sf_dir):
+    """Transfers of fetched responses, from whichever list there is."""
+    listed = chain.transfer_fields(chain.transfer_list(a.fetched_transfers(spark, sf_dir)))
+    return listed.select("address", "transactionHash", "amount")
+
+
 @query
 def wallet_projection(spark, sf_dir):
     accounts = a.account_records(spark, sf_dir)

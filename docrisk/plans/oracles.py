@@ -396,6 +396,17 @@ SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 4 <> 0 THEN nullif(
   CAST(NULL AS VARCHAR) AS "hasUrl"
 FROM tokens"""
 
+ORACLES["security_projection"] = f"""
+SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS vip, CAST(p_partkey % 3 AS VARCHAR) AS blacklist,
+  CAST(p_partkey % 2 AS VARCHAR) AS "canIncreaseSupply", CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size % 6 AS VARCHAR) END AS "tokenLevel",
+  nullif({a.HAS_URL}, 'null') AS "hasUrl", CASE WHEN p_partkey % 7 <> 0 THEN {a.SWAP_TOKEN} END AS "swapToken",
+  CASE p_partkey % 6 WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN '500' WHEN 4 THEN '5000' WHEN 5 THEN 'n/a' END AS liquidity,
+  CASE WHEN p_partkey % 4 = 0 THEN 'false' ELSE 'true' END AS "openSource", CASE WHEN p_partkey % 5 = 0 THEN 'true' ELSE 'false' END AS proxy
+FROM part"""
+ORACLES["transfer_lists"] = f"""
+SELECT {a.address_of('c_custkey')} AS address, concat(name, c_custkey) AS "transactionHash", CAST(c_custkey AS VARCHAR) AS amount
+FROM customer JOIN (SELECT unnest([0, 0, 1]) AS kind, unnest(['b', 'c', 'a']) AS name) ON c_custkey % 4 = kind"""
+
 ORACLES["wallet_projection"] = f"""
 SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS "balanceTRX", CAST(c_custkey % 4 AS VARCHAR) AS transactions,
   CASE WHEN c_custkey % 7 <> 0 THEN CAST({a.ACCOUNT_CREATED} AS VARCHAR) END AS "dateCreated",
