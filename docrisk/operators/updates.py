@@ -189,7 +189,8 @@ def _kept(moments: DataFrame, horizon: str) -> DataFrame:
 
 def first_updates(df: DataFrame, horizon: str = dims.DEDUP_HORIZON) -> DataFrame:
     """Batch deduplication: every delivery that no kept one of the same id precedes by ``horizon`` or
-    less, with the number of copies it stands for.
+    less, with the number of copies it stands for. It goes by event time; the stream (``dedup_updates``)
+    goes by arrival unless it is given another clock.
 
     Updates without an id are never duplicates. Deliveries of one id at one time are one by partial
     aggregation; the different times of an id, however many, are scanned by ordered blocks and

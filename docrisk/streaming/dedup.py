@@ -30,7 +30,9 @@ def dedup_updates(
     """Drop updates whose id was seen within ``horizon`` of its first processing.
 
     ``clock`` is the time at which an update arrives: that of the micro-batch, unless given. It must not
-    go back from batch to batch, so a first delivery always comes out, however old its own time is.
+    go back from batch to batch, so a first delivery always comes out, however old its own time is. A
+    backlog that is replayed at once arrives at one time, so it loses deliveries that the batch form
+    (``first_updates``, by event time) admits again; give the event time as the clock to keep them.
     The default works inside the JVM. An id is forgotten once the stream is ``horizon`` past its first
     arrival: Spark keeps it for the watermark's delay, and the watermark is that delay behind, so the
     delay is half the horizon; it moves between batches, so a repeat may still be dropped in the first
