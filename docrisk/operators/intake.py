@@ -68,6 +68,34 @@ def attach_template(docs: DataFrame, templates: DataFrame) -> DataFrame:
     return docs.join(t, wanted, "left").drop("_bank")
 
 
+#: Templates of more bytes in all are joined by shuffle, dealt over this many copies each.
+BROADCAST_BYTES, TEMPLATE_COPIES = 32 * 1024 * 1024, 64
+
+
+def attach_template_content(docs: DataFrame, templates: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Add ``template_content`` to the PDFs that have a ``reference``; other documents have none.
+
+    ``templates`` has at most one row per bank (see ``read_templates``). Up to ``most`` bytes in all they are
+    broadcast; larger ones are copied, and the documents of a template are dealt over its copies by doc_id.
+    """
+    wanted = F.when((F.col("type") == "pdf") & F.col("reference").isNotNull(), F.col("reference"))
+    t = templates.select(F.col("reference").alias("_reference"), "template_content")
+    size = t.agg(F.sum(F.length("template_content"))).first()[0] or 0
+    if size <= most:
+        return docs.withColumn("_reference", wanted).join(F.broadcast(t), "_reference", "left").drop("_reference")
+    copies = t.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TEMPLATE_COPIES - 1).cast("bigint"))))
+    spread = F.xxhash64("doc_id")
+    # documents without a template have keys of their own, not one for all
+    copy = F.when(wanted.isNotNull(), F.pmod(spread, F.lit(TEMPLATE_COPIES))).otherwise(spread)
+    dealt = docs.withColumns({"_reference": F.coalesce(wanted, F.lit("")), "_copy": copy})
+    return dealt.join(copies.hint("merge"), ["_reference", "_copy"], "left").drop("_reference", "_copy")
+
+
+def _base64(content: Column) -> Column:
+    """In one line: Spark breaks longer texts into lines of 76 characters."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
 _PART = "array<struct<kind: string, filename: string, data: string>>"
 
 
@@ -76,10 +104,11 @@ def model_requests(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, type, mime, file_name, content, and for receipts reference and
     template_content; videos bring ``frames``, an ordered array of at most eight frame images.
-    The template itself is attached to PDFs only; images merely name it.
+    The template itself is attached to PDFs only; images merely name it. Where ``docs`` has an ``error``,
+    it comes out too, and documents that have one ask nothing.
     """
-    data_url = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.base64("content"))
-    pdf_url = F.concat(F.lit("data:application/pdf;base64,"), F.base64("content"))
+    data_url = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), _base64(F.col("content")))
+    pdf_url = F.concat(F.lit("data:application/pdf;base64,"), _base64(F.col("content")))
 
     def part(kind: str, name: Column, data: Column) -> Column:
         return F.array(F.struct(F.lit(kind).alias("kind"), name.alias("filename"), data.alias("data")))
@@ -89,7 +118,7 @@ def model_requests(docs: DataFrame) -> DataFrame:
     pdf = part("input_file", F.col("file_name"), pdf_url)
     template = part(
         "input_file", F.col("reference"),
-        F.concat(F.lit("data:application/pdf;base64,"), F.base64("template_content")),
+        F.concat(F.lit("data:application/pdf;base64,"), _base64(F.col("template_content"))),
     )
     none = F.array().cast(_PART)
     frames = (
@@ -97,7 +126,7 @@ def model_requests(docs: DataFrame) -> DataFrame:
             F.col("frames"),
             lambda f: F.struct(
                 F.lit("input_image").alias("kind"), nameless.alias("filename"),
-                F.concat(F.lit("data:image/jpeg;base64,"), F.base64(f)).alias("data"),
+                F.concat(F.lit("data:image/jpeg;base64,"), _base64(f)).alias("data"),
             ),
         )
         if "frames" in docs.columns
@@ -111,4 +140,8 @@ def model_requests(docs: DataFrame) -> DataFrame:
         .when(kind == "video", frames)
     )
     prompt = F.when(kind == "statement", "statement").when(kind == "video", "video").otherwise("receipt")
-    return docs.select("doc_id", "type", "bank", "reference", prompt.alias("prompt"), parts.alias("parts"))
+    asked = F.col("error").isNull() if "error" in docs.columns else F.lit(True)
+    given = [F.col("error")] if "error" in docs.columns else []
+    return docs.select(
+        "doc_id", "type", "bank", "reference", F.when(asked, prompt).alias("prompt"), F.when(asked, parts).alias("parts"), *given
+    )

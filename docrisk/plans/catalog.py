@@ -15,8 +15,9 @@ from docrisk.functions.identifiers import bic_valid, clean_address, iban_valid,
 from docrisk.functions.jsontext import parse_lenient
 from docrisk.operators import chain, claims, frames, intake, invoice, report, responses, risk, statement, updates
 from docrisk.plans import adapters as a
-from docrisk.plans.screening import screen_documents
+from docrisk.plans.screening import requests_from_files, screen_documents
 from docrisk.session import configure, shared_folder
+from docrisk.sources.documents import present_templates
 from docrisk.sources.ledger import read_lines, read_records, take_in
 from docrisk.sources.sinks import publish, read_published
 from docrisk.sources.updates import read_update_lines
@@ -312,6 +313,33 @@ def template_match(spark, sf_dir):
     return intake.attach_template(documents, intake.template_names(spark)).select("k", "type", "bank", "reference")
 
 
+@query
+def template_presence(spark, sf_dir):
+    """Templates of a folder in which one bank's file is missing and another's is empty."""
+    folder = a.template_folder(spark, f"{shared_folder(spark)}/docrisk-{uuid.uuid4().hex}")
+    documents = a.bank_spellings(spark, sf_dir).select("k", "type", canonical_bank(F.col("name")).alias("bank"))
+    return intake.attach_template(documents, present_templates(spark, folder)).select("k", "type", "bank", "reference")
+
+
+@query
+def model_requests(spark, sf_dir):
+    """What the model is asked: every page a file, form fields as the manifest, templates by presence.
+
+    The parts come out as their kinds and names and a digest of their data.
+    """
+    folder = f"{shared_folder(spark)}/docrisk-{uuid.uuid4().hex}"
+    files, templates = a.page_files(spark, sf_dir, f"{folder}/files"), a.template_folder(spark, f"{folder}/templates")
+    asked = requests_from_files(intake.resolve_manifest(a.filed_uploads(spark, sf_dir, files)), spark, files, templates)
+
+    def joined(field: str):
+        return F.array_join(F.transform("parts", lambda p: F.coalesce(p[field], F.lit("-"))), "|")
+
+    return asked.select(
+        "doc_id", "type", "bank", "reference", "prompt", "error", F.size("parts").alias("n_parts"),
+        joined("kind").alias("kinds"), joined("filename").alias("names"), F.sha2(joined("data"), 256).alias("data_sha256"),
+    )
+
+
 @query
 def document_types(spark, sf_dir):
     return a.table(spark, sf_dir, "pages").select(

@@ -147,6 +147,9 @@ ORACLES["bank_canonical"] = f"""
 WITH {BANKS} SELECT k, bank, CASE bank {_displays} ELSE bank END AS display, bank_fixed FROM banked"""
 ORACLES["template_match"] = f"""
 WITH {BANKS} SELECT k, type, bank, CASE WHEN type <> 'video' THEN CASE bank {_templates} END END AS reference FROM banked"""
+_present = " ".join(f"WHEN '{b}' THEN '{f}'" for b, f in dims.BANK_TEMPLATES.items() if a.TEMPLATE_FILES.get(f))
+ORACLES["template_presence"] = f"""
+WITH {BANKS} SELECT k, type, bank, CASE WHEN type <> 'video' THEN CASE bank {_present} END END AS reference FROM banked"""
 
 # --- screening ---------------------------------------------------------------------------------------
 
@@ -451,8 +454,7 @@ ORACLES["document_types"] = f"""
 WITH p AS (SELECT page_id, {a.FILE_MIME} AS mime, {a.FILE_NAME} AS name FROM pages)
 SELECT page_id, {_type('mime', 'name')} AS type FROM p"""
 
-ORACLES["mime_repair"] = f"""
-WITH p AS (
+RESOLVED = f"""p AS (
   SELECT page_id, {a.FILE_MIME} AS m0, CASE WHEN page_id % 13 <> 0 THEN {a.FILE_NAME} END AS original,
     {pick('page_id', a.BANK_SPELLINGS)} AS bank_name, {a.UPLOAD_FIELD} AS field,
     CASE WHEN {a.FORM_STATEMENT} = 'true' THEN 'statement' ELSE coalesce(nullif({a.FORM_TYPE}, ''), 'document') END AS type
@@ -467,11 +469,30 @@ s1 AS (
     THEN CASE ext WHEN '.png' THEN 'image/png' WHEN '.webp' THEN 'image/webp' ELSE 'image/jpeg' END ELSE mime END AS m1 FROM e),
 s2 AS (
   SELECT *, CASE WHEN type IN ('pdf', 'statement') AND coalesce(m1 NOT LIKE '%pdf%', true) AND ext = '.pdf'
-    THEN 'application/pdf' ELSE m1 END AS m2 FROM s1)
-SELECT CAST(page_id AS VARCHAR) AS doc_id, type, file_name, {_bank('bank_name')} AS bank,
+    THEN 'application/pdf' ELSE m1 END AS m2 FROM s1),
+resolved AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, type, file_name, {_bank('bank_name')} AS bank,
   CASE WHEN type = 'video' AND coalesce(m2 NOT LIKE 'video/%', true) THEN 'video/mp4' ELSE m2 END AS mime,
   CASE WHEN field = 'none' THEN '{dims.NO_UPLOAD}' WHEN type NOT IN ('image', 'pdf', 'video', 'statement') THEN '{dims.UNSUPPORTED_TYPE}' END AS error
-FROM s2"""
+FROM s2)"""
+ORACLES["mime_repair"] = f"WITH {RESOLVED} SELECT * FROM resolved"
+_template_data = " ".join(f"WHEN '{f}' THEN to_base64(encode({sql_text(c.decode())}))" for f, c in a.TEMPLATE_FILES.items())
+ORACLES["model_requests"] = f"""
+WITH {RESOLVED},
+filed AS (
+  SELECT r.* REPLACE (coalesce(error, CASE WHEN page_id % 17 = 5 THEN '{dims.EMPTY_FILE}' END) AS error),
+    CASE WHEN r.type NOT IN ('video', 'statement') THEN CASE r.bank {_present} END END AS reference,
+    to_base64(encode(concat({a.PAGE_FILE.replace('string', 'VARCHAR')}, chr(10)))) AS data
+  FROM resolved r JOIN pages ON doc_id = CAST(page_id AS VARCHAR)),
+told AS (
+  SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN type = 'video' THEN 0 WHEN type = 'pdf' AND reference IS NOT NULL THEN 2 ELSE 1 END AS n,
+    type = 'pdf' OR type = 'statement' AND mime LIKE '%pdf%' AS pdf FROM filed)
+SELECT doc_id, type, bank, reference, error, n AS n_parts,
+  CASE WHEN error IS NULL THEN CASE WHEN type IN ('statement', 'video') THEN type ELSE 'receipt' END END AS prompt,
+  CASE WHEN n = 0 THEN '' WHEN n = 2 THEN 'input_file|input_file' WHEN n = 1 AND pdf THEN 'input_file' WHEN n = 1 THEN 'input_image' END AS kinds,
+  CASE WHEN n = 0 THEN '' WHEN n = 2 THEN concat(file_name, '|', reference) WHEN n = 1 AND pdf THEN file_name WHEN n = 1 THEN '-' END AS names,
+  sha256(CASE WHEN n = 0 THEN '' WHEN n IS NOT NULL THEN concat('data:', CASE WHEN pdf THEN 'application/pdf' ELSE mime END, ';base64,', data,
+    CASE WHEN n = 2 THEN concat('|data:application/pdf;base64,', CASE reference {_template_data} END) ELSE '' END) END) AS data_sha256
+FROM told"""
 
 # --- claims -----------------------------------------------------------------------------------------------------------
 

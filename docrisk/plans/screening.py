@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrisk import dims
 from docrisk.functions.scoring import suspicious
 from docrisk.functions.values import first_text, non_empty
-from docrisk.operators.intake import attach_template
+from docrisk.operators.intake import attach_template, attach_template_content, model_requests
 from docrisk.operators.responses import amount_analysis, parse_responses, receipt_fields, statement_fields
 from docrisk.operators.risk import score_documents
+from docrisk.sources.documents import present_templates, read_templates, with_contents
 
 RESULT = [
     "overall_risk", "risk_label", "confidence", "summary", "categories", "checks", "balance_analysis",
@@ -95,3 +96,13 @@ def screen_requests(manifest: DataFrame, answers: DataFrame, templates: DataFram
     """
     answered = answers.select("doc_id", non_empty(F.col("output_text")).alias("output_text"))
     return screen_documents(manifest.join(answered, "doc_id", "left"), templates)
+
+
+def requests_from_files(resolved: DataFrame, spark: SparkSession, files: str, templates: str) -> DataFrame:
+    """What the model is asked for each document of a resolved manifest: see ``model_requests``.
+
+    Contents come from the files under ``files``, templates from those under ``templates``; a template that is
+    missing or empty is no reference. A document without a file to read comes out with its error.
+    """
+    named = attach_template(resolved, present_templates(spark, templates))
+    return model_requests(attach_template_content(with_contents(named, spark, files), read_templates(spark, templates)))

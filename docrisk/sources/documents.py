@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from docrisk import dims, schemas
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def _files(spark: SparkSession, path: str, deep: bool = True) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(deep).lower()).load(path)
 
 
 def read_documents(spark: SparkSession, path: str, max_bytes: int = dims.MAX_UPLOAD_BYTES) -> DataFrame:
@@ -45,20 +45,55 @@ def rejected_documents(
     return large.unionByName(absent).select("path", "length", F.lit(False).alias("success"), "error")
 
 
-def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """Issuer templates found under ``path``: bank, reference, template_content.
+def with_contents(requests: DataFrame, spark: SparkSession, path: str, max_bytes: int = dims.MAX_UPLOAD_BYTES) -> DataFrame:
+    """``requests`` (doc_id, path, error, ...) with the ``content`` of the file under ``path`` that each names.
 
-    Only files of the fixed table count; missing and empty ones are simply not there.
+    A file that is missing or empty, or too large, is the request's ``error`` unless it has one already;
+    the content of large ones is not read, nor kept for requests that have an error. Requests without a
+    path, or with one that lies elsewhere, are missing their file. Rows that name the same file all get it.
+    Files come in partitions bounded by bytes (``spark.sql.files.maxPartitionBytes``), and a task holds
+    one of them at a time.
     """
+    files = _files(spark, path)
+    place = _plain(F.col("path")).alias("_place")
+    small = files.filter(F.col("length") <= max_bytes).select(place, "content")
+    large = files.filter(F.col("length") > max_bytes).select(place, F.lit(dims.TOO_LARGE).alias("_large"))
+    asked = requests.withColumn("_place", F.when(F.col("error").isNull(), _plain(F.col("path"))))
+    # requests that need no file do not go through the joins, where all of them would have one key
+    wanting = asked.filter(F.col("_place").isNotNull()).join(large, "_place", "left").join(small, "_place", "left")
+    absent = F.when(F.length("content") > 0, F.lit(None)).otherwise(F.coalesce("_large", F.lit(dims.EMPTY_FILE)))
+    found = wanting.withColumns({"error": F.coalesce("error", absent), "content": F.when(F.length("content") > 0, F.col("content"))})
+    idle = asked.filter(F.col("_place").isNull()).withColumns(
+        {"error": F.coalesce("error", F.lit(dims.EMPTY_FILE)), "content": F.lit(None).cast("binary")}
+    )
+    columns = [c for c in requests.columns if c != "content"] + ["content"]
+    return found.select(*columns).unionByName(idle.select(*columns))
+
+
+def _template_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files right under ``path`` that the fixed table names, with their banks: one row a bank at most."""
     name = F.element_at(F.split("path", "/"), -1)
     bank = F.when(F.lit(False), "")
     for key, file in dims.BANK_TEMPLATES.items():
         bank = bank.when(name == file, key)
-    return (
-        read_documents(spark, path)
-        .select(bank.alias("bank"), name.alias("reference"), F.col("content").alias("template_content"))
-        .filter(F.col("bank").isNotNull())
-    )
+    there = _files(spark, path, deep=False).filter((F.col("length") > 0) & (F.col("length") <= dims.MAX_UPLOAD_BYTES))
+    return there.withColumns({"bank": bank, "reference": name}).filter(F.col("bank").isNotNull())
+
+
+def present_templates(spark: SparkSession, path: str) -> DataFrame:
+    """bank, reference of the issuer templates that are there; the files are listed, not read.
+
+    A bank whose file is missing or empty has no row, so the flow that joins this gives it no reference.
+    """
+    return _template_files(spark, path).select("bank", "reference")
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """Issuer templates found under ``path``: bank, reference, template_content.
+
+    Only files of the fixed table count; missing and empty ones are simply not there.
+    """
+    return _template_files(spark, path).select("bank", "reference", F.col("content").alias("template_content"))
 
 
 def read_manifest(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

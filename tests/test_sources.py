@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docrisk import dims
 from docrisk.operators import intake
-from docrisk.plans.screening import screen_requests
+from docrisk.plans.screening import requests_from_files, screen_requests
 from docrisk.session import configure, shared_folder
 from docrisk.sources import documents, sinks
 
@@ -127,3 +127,49 @@ def test_published_types_prune_folders(spark, tmp_path):
     schema = spark.createDataFrame([], "doc_id string, type string, success boolean, score double").schema
     rows = sinks.read_published(spark, path, "results", schema).where("type = 'pdf'")
     assert [r.doc_id for r in rows.collect()] == ["1"]
+
+
+def test_requests_from_files(spark, tmp_path):
+    files, templates = tmp_path / "files", tmp_path / "templates"
+    (files / "deep").mkdir(parents=True)
+    (templates / "old").mkdir(parents=True)
+    (files / "a b.pdf").write_bytes(b"%PDF" * 40)
+    (files / "deep" / "ğ+1.png").write_bytes(b"img")
+    (files / "empty.pdf").write_bytes(b"")
+    (files / "big.pdf").write_bytes(b"x" * 301)
+    (templates / "akbank.pdf").write_bytes(b"tpl")
+    (templates / "ziraat.pdf").write_bytes(b"")
+    (templates / "old" / "enpara.pdf").write_bytes(b"not at its place")
+    assert [tuple(r) for r in documents.present_templates(spark, str(templates)).collect()] == [("akbank", "akbank.pdf")]
+    rows = [
+        ("1", "pdf", f"file:{files}/a b.pdf", "akbank", None), ("2", "image", f"file://{files}/deep/ğ+1.png", "akbank", None),
+        ("3", "pdf", f"file:{files}/empty.pdf", "akbank", None), ("4", "pdf", f"file:{files}/gone.pdf", "ziraat", None),
+        ("5", "pdf", f"file:{files}/big.pdf", "enpara", None), ("6", "pdf", f"file:{files}/a b.pdf", "ziraat", None),
+        ("7", "pdf", f"file:{files}/a b.pdf", "akbank", "earlier"), ("8", "pdf", None, "akbank", None),
+    ]
+    resolved = spark.createDataFrame(rows, "doc_id string, type string, path string, bank string, error string").withColumns(
+        {"mime": F.lit("image/png"), "file_name": F.lit("f")})
+    found = documents.with_contents(resolved, spark, str(files), max_bytes=300)
+    assert {r.doc_id: (r.error, r.content and len(r.content)) for r in found.collect()} == {
+        "1": (None, 160), "2": (None, 3), "3": (dims.EMPTY_FILE, None), "4": (dims.EMPTY_FILE, None), "5": (dims.TOO_LARGE, None),
+        "6": (None, 160), "7": ("earlier", None), "8": (dims.EMPTY_FILE, None)}
+    got = {r.doc_id: r for r in requests_from_files(resolved, spark, str(files), str(templates)).collect()}
+    one_line = "data:application/pdf;base64," + base64.b64encode(b"%PDF" * 40).decode()
+    assert [(p.filename, p.data) for p in got["1"].parts] == [
+        ("f", one_line), ("akbank.pdf", "data:application/pdf;base64," + base64.b64encode(b"tpl").decode())]
+    assert (got["2"].reference, [p.kind for p in got["2"].parts]) == ("akbank.pdf", ["input_image"])
+    assert [p.data for p in got["6"].parts] == [one_line] and got["6"].reference is None
+    assert all(got[i].parts is None and got[i].prompt is None and got[i].error for i in "3478")
+
+
+def test_large_templates_are_dealt(spark):
+    docs = spark.createDataFrame(
+        [(str(i), t, r) for i in range(40) for t, r in (("pdf", "a.pdf"), ("pdf", None), ("image", "a.pdf"), ("pdf", "gone.pdf"))],
+        "doc_id string, type string, reference string")
+    templates = spark.createDataFrame([("a", "a.pdf", b"tpl"), ("b", "b.pdf", b"x")], "bank string, reference string, template_content binary")
+    both = [sorted(map(str, intake.attach_template_content(docs, templates, most).collect())) for most in (100, 1)]
+    assert both[0] == both[1] and len(both[0]) == 160
+    assert sum("tpl" in r for r in both[0]) == 40
+    plan = intake.attach_template_content(docs, templates, 1)._jdf.queryExecution().toString()
+    assert "ResolvedHint (strategy=merge)" in plan or "SortMergeJoin" in plan
+    assert intake.attach_template_content(docs, templates.limit(0)).where("template_content is not null").count() == 0
