@@ -579,13 +579,15 @@ FORM_STATEMENT = pick("page_id", ["true", "false", None])
 UPLOAD_FIELD = pick("page_id", ["image", "file", "video", "file", "none"])
 
 
-def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Form submissions: list-valued fields and one upload under one of three names."""
+def uploads(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    """Form submissions: list-valued fields and one upload under one of three names, one for each of ``pages``."""
+    if pages is None:
+        pages = table(spark, sf_dir, "pages")
     mime, name, field = F.expr(FILE_MIME), F.expr(FILE_NAME), F.expr(UPLOAD_FIELD)
     upload = F.struct(
         F.col("url").alias("path"), F.when(F.col("page_id") % 13 != 0, name).alias("original_name"), mime.alias("mime")
     ).cast(schemas.UPLOAD)
-    return table(spark, sf_dir, "pages").select(
+    return pages.select(
         F.col("page_id").cast("string").alias("doc_id"),
         F.array(F.expr(FORM_TYPE), F.lit("second")).alias("type"),
         F.when(F.col("page_id") % 4 == 0, F.array(F.lit("form.png"))).alias("file_name"),
@@ -612,21 +614,30 @@ def template_folder(spark: SparkSession, folder: str) -> str:
     return folder
 
 
-PAGE_FILE = "concat(cast(page_id AS string), chr(10), coalesce(html, ''))"
+BUNDLE = "page_id // 8"  # in Spark: page_id DIV 8
 
 
-def page_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
-    """Every page as an uploaded file of its own, which begins with its number and ends with a line feed."""
-    table(spark, sf_dir, "pages").select(F.expr(PAGE_FILE).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+def page_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of eight pages in a row: page_id (their number), url, html (all of it, under a first line with the number)."""
+    pages = table(spark, sf_dir, "pages").select(F.expr(BUNDLE.replace("//", "DIV")).alias("b"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    whole = pages.groupBy("b").agg(F.min("url").alias("url"), F.sort_array(F.collect_list(F.struct("page_id", "html"))).alias("p"))
+    return whole.select(
+        F.col("b").alias("page_id"), "url", F.concat_ws("\n", F.col("b").cast("string"), F.col("p.html")).alias("html")
+    )
+
+
+def bundle_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Every document of eight pages as an uploaded file of its own, which ends with a line feed."""
+    page_bundles(spark, sf_dir).select("html").write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
 def filed_uploads(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """``uploads`` with the paths of the files that hold them; every 17th is not there."""
-    lines = spark.read.format("binaryFile").load(folder)
-    number = F.substring_index(F.decode(F.substring("content", 1, 24), "US-ASCII"), "\n", 1)
-    placed = lines.select(number.alias("doc_id"), F.when(number.cast("bigint") % 17 == 5, F.lit("gone")).otherwise(F.col("path")).alias("_path"))
-    there = uploads(spark, sf_dir).join(placed, "doc_id")
+    """``uploads`` of those documents, with the paths of their files; every 17th is not there."""
+    files = spark.read.format("binaryFile").load(folder)
+    number = F.substring_index(F.decode(F.substring("content", 1, 24), "ISO-8859-1"), "\n", 1)
+    placed = files.select(number.alias("doc_id"), F.when(number.cast("bigint") % 17 == 5, F.lit("gone")).otherwise(F.col("path")).alias("_path"))
+    there = uploads(spark, sf_dir, page_bundles(spark, sf_dir)).join(placed, "doc_id")
     return there.withColumns(
         {u: F.when(F.col(u).isNotNull(), F.col(u).withField("path", F.col("_path"))) for u in ("image", "file", "video")}
     ).drop("_path")

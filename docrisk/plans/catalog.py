@@ -323,12 +323,12 @@ def template_presence(spark, sf_dir):
 
 @query
 def model_requests(spark, sf_dir):
-    """What the model is asked: every page a file, form fields as the manifest, templates by presence.
+    """What the model is asked: documents of eight pages as files, form fields as the manifest, templates by presence.
 
     The parts come out as their kinds and names and a digest of their data.
     """
     folder = f"{shared_folder(spark)}/docrisk-{uuid.uuid4().hex}"
-    files, templates = a.page_files(spark, sf_dir, f"{folder}/files"), a.template_folder(spark, f"{folder}/templates")
+    files, templates = a.bundle_files(spark, sf_dir, f"{folder}/files"), a.template_folder(spark, f"{folder}/templates")
     asked = requests_from_files(intake.resolve_manifest(a.filed_uploads(spark, sf_dir, files)), spark, files, templates)
 
     def joined(field: str):

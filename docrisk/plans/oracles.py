@@ -477,12 +477,16 @@ FROM s2)"""
 ORACLES["mime_repair"] = f"WITH {RESOLVED} SELECT * FROM resolved"
 _template_data = " ".join(f"WHEN '{f}' THEN to_base64(encode({sql_text(c.decode())}))" for f, c in a.TEMPLATE_FILES.items())
 ORACLES["model_requests"] = f"""
-WITH {RESOLVED},
+WITH bundles AS (
+  SELECT {a.BUNDLE} AS page_id, min(url) AS url,
+    concat(CAST({a.BUNDLE} AS VARCHAR), chr(10), string_agg(coalesce(html, ''), chr(10) ORDER BY page_id), chr(10)) AS content
+  FROM pages GROUP BY {a.BUNDLE}),
+{RESOLVED.replace('FROM pages', 'FROM bundles')},
 filed AS (
   SELECT r.* REPLACE (coalesce(error, CASE WHEN page_id % 17 = 5 THEN '{dims.EMPTY_FILE}' END) AS error),
     CASE WHEN r.type NOT IN ('video', 'statement') THEN CASE r.bank {_present} END END AS reference,
-    to_base64(encode(concat({a.PAGE_FILE.replace('string', 'VARCHAR')}, chr(10)))) AS data
-  FROM resolved r JOIN pages ON doc_id = CAST(page_id AS VARCHAR)),
+    to_base64(encode(content)) AS data
+  FROM resolved r JOIN bundles ON doc_id = CAST(page_id AS VARCHAR)),
 told AS (
   SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN type = 'video' THEN 0 WHEN type = 'pdf' AND reference IS NOT NULL THEN 2 ELSE 1 END AS n,
     type = 'pdf' OR type = 'statement' AND mime LIKE '%pdf%' AS pdf FROM filed)

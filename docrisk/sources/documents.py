@@ -56,11 +56,11 @@ def with_contents(requests: DataFrame, spark: SparkSession, path: str, max_bytes
     """
     files = _files(spark, path)
     place = _plain(F.col("path")).alias("_place")
-    small = files.filter(F.col("length") <= max_bytes).select(place, "content")
-    large = files.filter(F.col("length") > max_bytes).select(place, F.lit(dims.TOO_LARGE).alias("_large"))
+    small = files.filter(F.col("length") <= max_bytes).select(place, "content", F.lit(None).cast("string").alias("_large"))
+    large = files.filter(F.col("length") > max_bytes).select(place, F.lit(None).cast("binary").alias("content"), F.lit(dims.TOO_LARGE).alias("_large"))
     asked = requests.withColumn("_place", F.when(F.col("error").isNull(), _plain(F.col("path"))))
     # requests that need no file do not go through the joins, where all of them would have one key
-    wanting = asked.filter(F.col("_place").isNotNull()).join(large, "_place", "left").join(small, "_place", "left")
+    wanting = asked.filter(F.col("_place").isNotNull()).drop("content").join(small.unionByName(large), "_place", "left")
     absent = F.when(F.length("content") > 0, F.lit(None)).otherwise(F.coalesce("_large", F.lit(dims.EMPTY_FILE)))
     found = wanting.withColumns({"error": F.coalesce("error", absent), "content": F.when(F.length("content") > 0, F.col("content"))})
     idle = asked.filter(F.col("_place").isNull()).withColumns(
