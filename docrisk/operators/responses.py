@@ -215,34 +215,61 @@ def _object_findings(value: Column, keys: Column, spec: dict, path: str) -> list
     return found
 
 
-def _check_findings(checks: Column, entries: Column, parts: Column) -> list[Column]:
-    """Rules over the check map, tested per entry; what is wrong is spelt out for broken ones only."""
-    names = F.array(*[F.lit(n) for n in dims.CHECK_NAMES])
+# the types that JSON values of a rule are read as; where others may be right too, they are looked at in full
+_SHAPES = {
+    _PERCENT: "BIGINT", _COUNT: "BIGINT", "text": "STRING", "texts": "ARRAY<STRING>", "flag": "BOOLEAN",
+    "text?": "(STRING|VOID)", "number?": r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)|VOID)",
+}
+
+
+def _sound_object(value: Column, spec: dict) -> Column:
+    """Whether an object without objects in it is seen to be right by its shape and a typed read of its whole numbers."""
+    shape = "OBJECT<" + ", ".join(f"{n}: {_SHAPES[spec[n]]}" for n in sorted(spec)) + ">"
+    sound = F.schema_of_variant(value).rlike(f"^{shape}$")
+    bounds = {n: {_PERCENT: 100, _COUNT: 2**63 - 1}[k] for n, k in spec.items() if k in (_PERCENT, _COUNT)}
+    for name, most in bounds.items():
+        sound &= F.try_variant_get(value, f"$.{name}", "bigint").between(0, most)
+    return F.coalesce(sound, F.lit(False))
 
-    def plainly_fine(check: Column) -> Column:
-        # the usual case in few steps; anything else is looked at in full by ``findings``
-        status, score, evidence = (F.try_element_at(check, F.lit(n)) for n in _CHECK)
-        ok = (
-            (F.size(check) == len(_CHECK))
-            & F.try_variant_get(status, "$", "string").isin(dims.CHECK_STATUSES)
-            & (kind(score) == "BIGINT")
-            & F.try_variant_get(score, "$", "bigint").between(0, 100)
-            & (kind(evidence) == "STRING")
-        )
-        return F.coalesce(ok, F.lit(False))
+
+_CHECK_VALUES = "struct<" + ",".join(f"{n}:struct<status:string,score:bigint>" for n in dims.CHECK_NAMES) + ">"
+
+
+def _sound_checks(shape: Column, values: Column) -> Column:
+    """Names of the checks that are seen to be right at little cost: the shape of all checks is one text, their
+    values one typed read. Others may be right too (a score of 7.0), and are looked at in full.
+
+    A key with blanks or signs stands in backquotes in ``shape`` and could look like several; then no check
+    is taken for right by its shape.
+    """
+    shaped = F.regexp_extract_all(
+        F.when(shape.contains("`"), "").otherwise(shape), F.lit("(\\w+): OBJECT<evidence: STRING, score: BIGINT, status: STRING>"), F.lit(1)
+    )
+    valued = F.array_compact(
+        F.array(*[
+            F.when(values[n]["status"].isin(dims.CHECK_STATUSES) & values[n]["score"].between(0, 100), F.lit(n))
+            for n in dims.CHECK_NAMES
+        ])
+    )
+    return F.array_intersect(shaped, valued)
+
+
+def _check_findings(checks: Column, entries: Column, sound: Column) -> list[Column]:
+    """Rules over the check map; what is wrong is spelt out for checks that are not ``sound`` only."""
+    names = F.array(*[F.lit(n) for n in dims.CHECK_NAMES])
+    keys = F.map_keys(entries)
 
     def findings(name: Column) -> Column:
         check = F.try_element_at(entries, name)
         rules = _object_findings(check, _keys(check), _CHECK, "checks.*")
         return F.flatten(F.array(*[F.coalesce(r, F.array().cast("array<string>")) for r in rules]))
 
-    doubtful = F.map_keys(F.map_filter(parts, lambda n, c: ~plainly_fine(c)))
-    broken = F.array_intersect(doubtful, names)
+    doubtful = F.array_except(F.array_intersect(keys, names), F.coalesce(sound, F.array().cast("array<string>")))
     return [
         F.when(entries.isNull() & checks.isNotNull(), F.array(F.lit("type:checks"))),
-        F.transform(F.array_except(names, F.map_keys(entries)), lambda n: F.concat(F.lit("missing:checks."), n)),
-        F.transform(F.array_except(F.map_keys(entries), names), lambda n: F.lit("unexpected:checks.*")),
-        F.flatten(F.transform(broken, findings)),
+        F.transform(F.array_except(names, keys), lambda n: F.concat(F.lit("missing:checks."), n)),
+        F.transform(F.array_except(keys, names), lambda n: F.lit("unexpected:checks.*")),
+        F.flatten(F.transform(doubtful, findings)),
     ]
 
 
@@ -254,17 +281,22 @@ def violations(df: DataFrame, contract: str, keys: list[str], response: str = "r
     # key lists and check maps as columns of their own, so that each is read off the variant once
     staged = {f"_keys_{name}": _keys(member(v, name) if name else v) for name in objects}
     checks = member(v, "checks")
-    staged["_entries"] = F.try_variant_get(checks, "$", "map<string,variant>")
-    staged["_parts"] = F.try_variant_get(checks, "$", "map<string,map<string,variant>>")
-    found = []
-    for name, part in objects.items():
-        found += _object_findings(member(v, name) if name else v, F.col(f"_keys_{name}"), part, name)
     if "checks" in spec:
-        found += _check_findings(checks, F.col("_entries"), F.col("_parts"))
+        staged["_entries"] = F.try_variant_get(checks, "$", "map<string,variant>")
+        staged["_shape"] = F.schema_of_variant(checks)
+        staged["_values"] = F.try_variant_get(checks, "$", _CHECK_VALUES)
     none = F.array().cast("array<string>")
+    found = _object_findings(v, F.col("_keys_"), spec, "")
+    for name, part in objects.items():
+        if name:
+            rules = _object_findings(member(v, name), F.col(f"_keys_{name}"), part, name)
+            every = F.flatten(F.array(*[F.coalesce(r, none) for r in rules]))
+            found.append(F.when(~_sound_object(member(v, name), part), every))
+    if "checks" in spec:
+        found += _check_findings(checks, F.col("_entries"), _sound_checks(F.col("_shape"), F.col("_values")))
     every = F.flatten(F.array(*[F.coalesce(f, none) for f in found]))
     rules = F.when(v.isNull(), F.array(F.lit("type:response"))).otherwise(every)
-    # a plain explode would first filter on the size of the list and so work everything out twice
-    return (
-        df.withColumns(staged).select(*keys, F.explode_outer(rules).alias("rule")).filter(F.col("rule").isNotNull())
-    )
+    # The rules are a column of their own: worked out inside the generator they would be interpreted, not compiled.
+    # A plain explode would first filter on the size of the list and so work everything out twice.
+    listed = df.withColumns(staged).select(*keys, rules.alias("_rules"))
+    return listed.select(*keys, F.explode_outer("_rules").alias("rule")).filter(F.col("rule").isNotNull())

@@ -103,6 +103,16 @@ def response_violations(spark, sf_dir):
     return broken.groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query
+def contract_findings(spark, sf_dir):
+    """What is wrong with each response, by the contract of receipts and by that of statements."""
+    found = []
+    for contract, answers in (("receipt", a.contract_responses(spark, sf_dir)), ("statement", a.statement_responses(spark, sf_dir))):
+        rules = responses.violations(responses.parse_responses(answers), contract, ["k"])
+        found.append(rules.select(F.lit(contract).alias("contract"), "k", "rule"))
+    return found[0].unionByName(found[1])
+
+
 @query
 def lenient_json(spark, sf_dir):
     """Event properties wrapped in fences or prose, or broken, read back."""

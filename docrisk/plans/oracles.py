@@ -201,6 +201,23 @@ SELECT rule, count(*) AS n FROM (
     WHERE {a.CONTRACT_BREAK} NOT IN (1, 2) AND o_orderkey % 101 > 100)
 WHERE rule IS NOT NULL GROUP BY rule"""
 
+_statement_breaks = {
+    1: "value:overallRisk", 2: "value:riskLabel", 3: "missing:summary", 4: "value:categories.textRisk", 5: "unexpected:categories.*",
+    6: "value:balanceAnalysis.openingBalance", 7: "missing:balanceAnalysis.difference", 8: "value:transactionAnalysis.transactionCount",
+    9: "value:transactionAnalysis.transactionCount", 10: "value:transactionAnalysis.duplicateTransactions", 11: "value:evidence",
+    12: "unexpected:response.*",
+}
+ORACLES["contract_findings"] = f"""
+SELECT * FROM (
+  SELECT 'receipt' AS contract, o_orderkey AS k,
+    CASE {a.CONTRACT_BREAK} {' '.join(f"WHEN {k} THEN '{r}'" for k, r in _breaks.items())} END AS rule FROM orders
+  UNION ALL SELECT 'statement', o_orderkey,
+    CASE WHEN {a.STATEMENT_PROSE} THEN 'type:response' ELSE
+      CASE o_orderkey % 13 {' '.join(f"WHEN {k} THEN '{r}'" for k, r in _statement_breaks.items())} END END FROM orders
+  UNION ALL SELECT 'statement', o_orderkey, 'value:balanceAnalysis.calculationConsistent' FROM orders
+    WHERE {a.STATEMENT_FLAG} AND NOT ({a.STATEMENT_PROSE}))
+WHERE rule IS NOT NULL"""
+
 ORACLES["lenient_json"] = """
 SELECT event_id, event_id % 8 NOT IN (2, 5) AS ok,
   CASE WHEN event_id % 8 IN (0, 1, 3, 6, 7) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k

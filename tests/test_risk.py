@@ -180,6 +180,34 @@ def test_statement_contract(spark):
     }
 
 
+def test_checks_that_look_right(spark):
+    """Shapes in one text and typed values are a short way only: what they do not settle is looked at in full."""
+    fine = {"status": "pass", "score": 0, "evidence": ""}
+    answer = {
+        "overallRisk": 1, "riskLabel": "LOW RISK", "confidence": 2, "summary": "s", "categories": {c: 0 for c in dims.CATEGORY_WEIGHTS},
+        "checks": {n: fine for n in dims.CHECK_NAMES}, "limitations": [],
+        "amountAnalysis": {"amount": None, "subtotal": 1, "taxAmount": 1.5, "totalAmount": 1e30, "calculatedTotal": None, "difference": 0,
+                           "calculationConsistent": True, "evidence": ""},
+    }
+    first, second = dims.CHECK_NAMES[:2]
+    forged = f"x, {first}: OBJECT<evidence: STRING, score: BIGINT, status: STRING>, y"
+    changed = {
+        "fine": {}, "whole": {first: fine | {"score": 7.0}}, "part": {first: fine | {"score": 7.5}}, "text": {first: fine | {"score": "7"}},
+        "high": {first: fine | {"score": 101}}, "word": {first: fine | {"status": "ok"}}, "flag": {first: fine | {"status": True}},
+        "more": {first: fine | {"z": 1}}, "less": {first: {"status": "pass", "score": 0}}, "none": {first: None}, "list": {second: []},
+        "forged": {forged: 1, first: fine | {"evidence": 1}},
+    }
+    rows = [(k, json.dumps(answer | {"checks": answer["checks"] | c})) for k, c in changed.items()]
+    parsed = responses.parse_responses(spark.createDataFrame(rows, "k string, output_text string"))
+    got = {(r.k, r.rule) for r in responses.violations(parsed, "receipt", ["k"]).collect()}
+    assert got == {
+        ("part", "value:checks.*.score"), ("text", "value:checks.*.score"), ("high", "value:checks.*.score"),
+        ("word", "value:checks.*.status"), ("flag", "value:checks.*.status"), ("more", "unexpected:checks.*.*"),
+        ("less", "missing:checks.*.evidence"), ("none", "type:checks.*"), ("list", "type:checks.*"),
+        ("forged", "value:checks.*.evidence"), ("forged", "unexpected:checks.*"),
+    }
+
+
 def test_screening_flow(spark):
     answer = {"overallRisk": 50, "riskLabel": "HIGH RISK", "confidence": 80, "summary": "ozet",
               "checks": {"logoConsistency": {"status": "pass", "score": 100, "evidence": ""}},
