@@ -98,19 +98,17 @@ def category_risks_long(checks: DataFrame, weights: DataFrame, key: str = "doc_i
     """
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.col("score").cast("double")))
     usable = F.when(F.col("score").isNotNull() & ~is_true(F.col("status") == "unknown"), F.round(score * 1000000).cast("bigint"))
-    scored = checks.withColumn("_s", usable).join(weights, "check").select(
-        key, "category", (F.col("_s") * F.col("tenths")).alias("_n"), F.when(F.col("_s").isNotNull(), F.col("tenths")).alias("_d")
+    # one row of weights a check, so that a check stays one row and all five sums come out of one aggregation
+    tenths = {c: f"_{c}" for c in dims.CATEGORY_WEIGHTS}
+    of_check = weights.groupBy("check").agg(*[F.sum(F.when(F.col("category") == c, F.col("tenths"))).alias(w) for c, w in tenths.items()])
+    scored = checks.select(key, "check", usable.alias("_s")).join(of_check, "check", "left")
+    sums = scored.groupBy(key).agg(
+        *[F.coalesce(F.sum(F.col("_s") * F.col(w)), F.lit(0)).alias(f"{w}_n") for w in tenths.values()],
+        *[F.coalesce(F.sum(F.when(F.col("_s").isNotNull(), F.col(w))), F.lit(0)).alias(f"{w}_d") for w in tenths.values()],
     )
-    categories = F.explode(F.array(*[F.lit(c) for c in dims.CATEGORY_WEIGHTS])).alias("category")
-    nothing = [F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_d")]
-    every = checks.select(key).distinct().select(key, categories, *nothing)
-    sums = (
-        scored.unionByName(every)
-        .groupBy(key, "category")
-        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("_d"), F.lit(0)).alias("_d"))
-    )
-    mean = F.when(F.col("_d") == 0, F.lit(0)).otherwise(F.expr("(2 * _n + 1000000 * _d) div (2000000 * _d)"))
-    return sums.select(key, "category", mean.cast("int").alias("risk"))
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"{w}_n").alias("n"), F.col(f"{w}_d").alias("d")) for c, w in tenths.items()])
+    mean = F.when(F.col("r.d") == 0, F.lit(0)).otherwise(F.expr("(2 * r.n + 1000000 * r.d) div (2000000 * r.d)"))
+    return sums.select(key, F.explode(rows).alias("r")).select(key, "r.category", mean.cast("int").alias("risk"))
 
 
 def independent_signals(df: DataFrame, min_count: int = 2, checks: str = "checks") -> DataFrame:
