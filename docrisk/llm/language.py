@@ -4,11 +4,13 @@ For each language a suffix automaton of a bounded sample of its labelled texts.
 against each automaton into longest phrases that occur in that sample; many short phrases mean a
 foreign text. The phrases of a parse times the bits to point into the sample, per character, estimate
 the cross entropy; the language with the least wins. Parses run for many blocks of texts at once,
-each step one lookup in a table in which a failed match has already begun the next phrase.
+each step one lookup in a table in which a failed match has already begun the next phrase. A block
+begins in the state in which the one before it ended, so the phrases are those of the whole text.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +24,10 @@ from docrisk.llm import words as W
 from docrisk.llm.labelled import remainder, texts_of
 from docrisk.llm.scratch import small_batches
 
-#: Characters of a block; each block of a text begins a new phrase.
+#: Characters of a text that are parsed as one block beside others; no phrase ends because a block does.
 BLOCK = 256
+#: Times that all blocks with a wrong begin are parsed again at once, before what is left is parsed in order.
+ROUNDS = 6
 #: Marks, in a table of transitions, those that begin a new phrase.
 NEW = 1 << 30
 UNKNOWN = "und"
@@ -32,7 +36,7 @@ UNKNOWN = "und"
 @dataclass
 class Model:
     """Languages; the class of each letter; all automata's transitions (state x class) one behind
-    another; each automaton's first state; and the bits of a pointer into each sample."""
+    another; the state in which each begins; and the bits of a pointer into each sample."""
 
     languages: list[str]
     letters: dict[int, int]
@@ -41,9 +45,21 @@ class Model:
     bits: np.ndarray
 
 
+def _letter(c: str) -> int:
+    """The lower case of a letter, a space for anything else."""
+    return (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 32
+
+
 def letter_folding() -> np.ndarray:
-    """For each code point below 2^16: its lower case if it is a letter, else a space."""
-    return np.array([(ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 32 for c in map(chr, range(1 << 16))], np.uint32)
+    """``_letter`` of each code point below 2^16; those above are rare and looked at one by one."""
+    return np.array([_letter(c) for c in map(chr, range(1 << 16))], np.uint32)
+
+
+def letter_classes(model: Model) -> np.ndarray:
+    """Class of every code point; letters that no sample holds share one."""
+    classes = np.full(sys.maxunicode + 1, len(model.letters), np.int32)
+    classes[list(model.letters)] = list(model.letters.values())
+    return classes
 
 
 def folded(texts: list[str | None], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +69,7 @@ def folded(texts: list[str | None], fold: np.ndarray) -> tuple[np.ndarray, np.nd
     letters = fold[np.where(far, 0, codes)]
     if far.any():
         other, place = np.unique(codes[far], return_inverse=True)
-        letters[far] = np.array([c if chr(c).isalpha() else 32 for c in other.tolist()], np.uint32)[place]
+        letters[far] = np.array([_letter(chr(c)) for c in other.tolist()], np.uint32)[place]
     doc = np.repeat(np.arange(len(texts)), np.diff(begins))
     space = letters == 32
     keep = np.ones(len(letters), bool)
@@ -102,21 +118,22 @@ def fit(samples: dict[str, list[str]]) -> Model:
     letters = {32: 0}
     for c in np.unique(np.concatenate([*streams.values(), np.array([32], np.uint32)])).tolist():
         letters.setdefault(c, len(letters))
-    other, pad = len(letters), len(letters) + 1
+    pad = len(letters) + 1
     tables, roots, bits, at = [], [], [], 0
     for stream in streams.values():
         move = automaton([letters[c] for c in stream.tolist()])
-        table = np.full((len(move), pad + 1), -1, np.int64)
+        # one state more: behind a letter that the sample lacks, and at a text's begin, the next letter begins a phrase
+        fresh = len(move)
+        table = np.full((fresh + 1, pad + 1), -1, np.int64)
         for state, to in enumerate(move):
             table[state, list(to)] = list(to.values())
-        root = np.where(table[0] >= 0, table[0], 0) + at
-        table = np.where(table >= 0, table + at, root | NEW)
-        table[:, other] = at | NEW
-        table[:, pad] = np.arange(len(move)) + at
+        begin = np.where(table[0] >= 0, table[0], fresh) + at
+        table = np.where(table >= 0, table + at, begin | NEW)
+        table[:, pad] = np.arange(fresh + 1) + at
         tables.append(table.astype(np.int32))
-        roots.append(at)
+        roots.append(at + fresh)
         bits.append(np.log2(len(stream) + 1))
-        at += len(move)
+        at += fresh + 1
     return Model(
         list(streams), letters, np.concatenate(tables) if tables else np.zeros((0, pad + 1), np.int32), np.array(roots, np.int64), np.array(bits)
     )
@@ -149,28 +166,59 @@ def learn(docs: DataFrame, *, n_chars: int = 15_000, n_docs: int = 60, seed: int
     return fit(samples)
 
 
+def _parse(table: np.ndarray, width: int, symbols: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States after the symbols (one row each) of some lanes, and phrases begun on the way."""
+    begun = np.zeros(state.shape, np.int64)
+    for row in symbols:
+        to = table[state * width + row]
+        begun += to >= NEW
+        state = to & (NEW - 1)
+    return state.astype(np.int64), begun
+
+
 def costs(texts: list[str | None], model: Model, fold: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits a character of each text in each language, and whether a text has a letter."""
+    """Bits a character of each text in each language, and whether a text has a letter.
+
+    All blocks are parsed at once, as if each began a phrase. Greedy parses soon fall into step, so
+    most blocks then end in the right state; those whose begin was wrong are parsed again from where
+    the one before ended. What ``ROUNDS`` of that leave open (in texts that repeat themselves) is
+    parsed block by block.
+    """
     letters, doc = folded(texts, fold)
     width, pad = model.table.shape[1], model.table.shape[1] - 1
-    symbol = np.where(letters < len(classes), classes[np.minimum(letters, len(classes) - 1)], width - 2)
     n = np.bincount(doc, minlength=len(texts))
     begin = np.concatenate([[0], np.cumsum(n)])
     within = np.arange(len(doc)) - begin[doc]
     blocks = -(-n // BLOCK)
     lane = (np.concatenate([[0], np.cumsum(blocks)])[doc] + within // BLOCK).astype(np.int64)
     grid = np.full((BLOCK, int(blocks.sum())), pad, np.int64)
-    grid[within % BLOCK, lane] = symbol
-    table = model.table.ravel()
-    state = np.repeat(model.roots[:, None], grid.shape[1], axis=1) * width
-    phrases = np.ones(state.shape, np.int64)
-    for symbols in grid:
-        to = table[state + symbols]
-        phrases += to >= NEW
-        state = (to & (NEW - 1)).astype(np.int64) * width
+    grid[within % BLOCK, lane] = classes[letters]
     of = np.repeat(np.arange(len(texts)), blocks)
-    total = np.stack([np.bincount(of, row, len(texts)) for row in phrases], axis=1)
-    return total * model.bits / np.maximum(n, 1)[:, None], np.bincount(doc, letters != 32, len(texts)) > 0
+    first = np.ones(len(of), bool)
+    first[1:] = of[1:] != of[:-1]
+    table, roots = model.table.ravel(), model.roots[:, None]
+    start = np.repeat(roots, len(of), axis=1)
+    end, begun = _parse(table, width, grid, start)
+
+    def again(language: np.ndarray, at: np.ndarray) -> None:
+        start[language, at] = end[language, at - 1]
+        end[language, at], begun[language, at] = _parse(table, width, grid[:, at], start[language, at])
+
+    for _ in range(ROUNDS):
+        language, at = np.nonzero(~first & (start != np.roll(end, 1, axis=1)))
+        if not len(at):
+            break
+        again(language, at)
+    while True:
+        # the first open block of each text and language is final once it is parsed again
+        wrong = ~first & (start != np.roll(end, 1, axis=1))
+        language, at = np.nonzero(wrong)
+        if not len(at):
+            break
+        _, one = np.unique(language * len(texts) + of[at], return_index=True)
+        again(language[one], at[one])
+    phrases = np.stack([np.bincount(of, row, len(texts)) for row in begun], axis=1)
+    return phrases * model.bits / np.maximum(n, 1)[:, None], np.bincount(doc, letters != 32, len(texts)) > 0
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -184,11 +232,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = letter_folding()
-        classes = np.full(1 << 16, model.table.shape[1] - 2, np.int64)
-        for letter, number in model.letters.items():
-            if letter < len(classes):
-                classes[letter] = number
+        fold, classes = letter_folding(), letter_classes(model)
         for batch in batches:
             texts = batch.column("document").field("text").to_pylist()
             for i, j in W.chunks(texts):

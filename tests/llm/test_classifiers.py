@@ -69,9 +69,7 @@ def test_non_negative_risk_learns_from_positives_and_the_rest():
 def test_cross_parsing_counts_longest_phrases():
     model = language.fit({"xx": ["abcabd"], "yy": ["aaaa"]})
     fold = language.letter_folding()
-    classes = np.full(1 << 16, model.table.shape[1] - 2, np.int64)
-    for letter, number in model.letters.items():
-        classes[letter] = number
+    classes = language.letter_classes(model)
     # in xx: abca, abd, d; in yy: a, b, c, aa, b, d, d ("bcabd" ends as two phrases in xx: bcabd, d)
     bits, lettered = language.costs(["abcabdd", "123", "aaaaaaaaa"], model, fold, classes)
     n = [len("abcabdd") + 1, 0, 10]
@@ -81,6 +79,43 @@ def test_cross_parsing_counts_longest_phrases():
     assert phrases[0, 0] < phrases[0, 1] and phrases[2, 1] < phrases[2, 0]
 
 
+def greedy(text, sample):
+    """Longest phrases of a text that occur in a sample, from left to right."""
+    phrases, at = 0, 0
+    while at < len(text):
+        to = at + 1
+        while to < len(text) and text[at : to + 1] in sample:
+            to += 1
+        phrases, at = phrases + 1, to
+    return phrases
+
+
+def test_phrases_of_whole_texts_by_brute_force():
+    """Long and periodic texts, letters of all planes, several texts at once: phrases cross blocks."""
+    rng = np.random.default_rng(5)
+    adlam = [chr(c) for c in range(0x1E922, 0x1E930)]
+    samples = {"xx": "".join(rng.choice(list("abc "), 900)), "yy": "a" * 700 + " b", "zz": "".join(rng.choice([*adlam, " "], 900))}
+    samples = {k: " ".join(v.split()) for k, v in samples.items()}
+    model = language.fit({k: [v] for k, v in samples.items()})
+    texts = ["".join(rng.choice(list("abcd "), 3000)), "a" * 5000, "ab" * 1500, "".join(rng.choice([*adlam, "q", " "], 2000)), "", samples["xx"][100:800], "a" * 255, "a" * 256]
+    texts = [" ".join(x.split()) for x in texts]
+    bits, _ = language.costs(texts, model, language.letter_folding(), language.letter_classes(model))
+    for k, (name, sample) in enumerate(samples.items()):
+        for t, text in enumerate(texts):
+            # a line feed behind each text is read as a space, in samples as well
+            want = greedy(text + " ", sample + " ") * model.bits[k] / (len(text) + 1)
+            assert np.isclose(bits[t, k], want), (name, t)
+
+
+def test_letters_of_every_plane(spark):
+    """A text goes to the language of its letters where these lie above U+FFFF, in either case."""
+    lower = " ".join("".join(chr(0x1E922 + (i * j) % 34) for j in range(1, 7)) for i in range(1, 200))
+    upper = lower.translate({c: c - 34 for c in range(0x1E922, 0x1E944)})
+    docs = spark.createDataFrame([(1, lower, "ff"), (2, "the of and to in " * 50, "en"), (3, lower, None), (4, upper, None)], "doc_id long, text string, lang string")
+    model = language.fit({"ff": [lower], "en": ["the of and to in " * 50]})
+    assert {r.document.doc_id: r.lang_pred for r in language.predict(docs, model).collect()} == {1: "ff", 2: "en", 3: "ff", 4: "ff"}
+
+
 def test_odd_texts_and_clashing_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     marks = spark.read.parquet(f"{SF}/labels.parquet")
