@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are reduced to lower-case letters and digits with one space between words.
-Long items are cut into overlapping pieces, so that a quotation of part of an item is found too. A
+Items are cut into overlapping pieces, so that a quotation of part of an item is found too. A
 piece of m characters that occurs in a text with at most e edits shares at least m - q + 1 - q e of
 its q-grams with it, all within 2 e + 1 neighbouring diagonals (text place minus piece place). So
 q-gram hits are counted in diagonal bands that overlap by half, bands with enough hits are regions,
@@ -26,9 +26,10 @@ from docrisk.llm.scratch import small_batches
 
 #: Characters of a q-gram (a power of 2); edits allowed per character of a piece.
 Q, RATE = 8, 0.08
-#: Items of up to one and a half times this many characters stay whole; longer ones become pieces of
-#: it, each beginning half a piece after the one before.
-PIECE = 100
+#: Every item becomes pieces of this many characters, each beginning a stride after the one before and
+#: the last one ending with the item; an item that is no longer is one piece. So a quotation of
+#: ``PIECE + STRIDE - 1`` characters holds a whole piece.
+PIECE, STRIDE = 100, 11
 #: Half the width of a band; at least 2 e + 1 for the longest piece.
 HALF = 32
 #: Characters of benchmark items that go to the tasks at once.
@@ -83,10 +84,9 @@ def index(items: list[tuple[int, str]]) -> Index | None:
         codes = codes[(codes[:1] == 32).sum() : len(codes) - (codes[-1:] == 32).sum()]
         if len(codes) < Q:
             continue
-        cuts = [0] if 2 * len(codes) <= 3 * PIECE else sorted({*range(0, len(codes) - PIECE, PIECE // 2), len(codes) - PIECE})
-        for c in cuts:
+        for c in sorted({*range(0, max(1, len(codes) - PIECE), STRIDE), max(0, len(codes) - PIECE)}):
             owner.append(k)
-            pieces.append(codes if len(cuts) == 1 else codes[c : c + PIECE])
+            pieces.append(codes[c : c + PIECE])
     if not pieces:
         return None
     size = np.array([len(p) for p in pieces])

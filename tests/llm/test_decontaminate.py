@@ -45,12 +45,30 @@ def test_edited_items_are_found_and_others_not():
     got = {(d, k): n for d, k, _, _, n in found}
     for d, text in enumerate(texts):
         for k, item in items:
-            piece = normal(item)
-            n = best(piece, normal(text))
-            allowed = min(int(D.RATE * len(piece)), (len(piece) - D.Q) // D.Q)
-            assert ((d, k) in got) == (n <= allowed), (text, item, n, allowed)
-            if n <= allowed:
-                assert got[d, k] == n
+            counts = [(best(piece, normal(text)), min(int(D.RATE * len(piece)), (len(piece) - D.Q) // D.Q)) for piece in cut(normal(item))]
+            close = [n for n, allowed in counts if n <= allowed]
+            assert ((d, k) in got) == bool(close), (text, item, counts)
+            if close:
+                assert got[d, k] == min(close)
+
+
+def cut(item):
+    """Pieces of an item by the rule of the module."""
+    last = len(item) - D.PIECE
+    return [item[c : c + D.PIECE] for c in range(0, last, D.STRIDE)] + [item[last:]] if last > 0 else [item]
+
+
+def test_quotations_of_110_characters_of_any_item():
+    """Wherever a verbatim quotation begins, and however long its item is, it is found."""
+    rng = random.Random(4)
+    items = [(k, "".join(rng.choice("abcdefghijklmnop") for _ in range(n))) for k, n in enumerate((110, 125, 140, 151, 300, 1000))]
+    texts, want = [], []
+    for k, item in items:
+        for at in {*range(0, len(item) - 109, 7), len(item) - 110}:
+            texts.append("before " + item[at : at + 110] + " behind")
+            want.append((len(texts) - 1, k))
+    found, _ = search(texts, items)
+    assert [(d, k) for d, k, *_ in found] == want
 
 
 def test_spans_parts_and_neighbouring_texts():
@@ -61,7 +79,7 @@ def test_spans_parts_and_neighbouring_texts():
     assert [(d, k) for d, k, *_ in found] == [(0, 0)]
     _, _, begin, end, n = found[0]
     # pieces with edits in the margin count, too
-    assert n == 0 and normal(quoted)[D.PIECE // 2 : -D.PIECE // 2] in normal(texts[0][begin:end])
+    assert n == 0 and normal(quoted)[D.STRIDE : -D.STRIDE] in normal(texts[0][begin:end])
 
 
 def test_query_finds_all_verbatim_items(spark, sf_dir):
