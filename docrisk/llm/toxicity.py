@@ -140,18 +140,49 @@ def fit(positive: list[Example], unlabelled: list[Example], prior: float, *, lea
     return Model(kept, w, b - float(places[risk.argmin()]) if len(places) else b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, n_positive: int = 2000, n_unlabelled: int = 4000, seed: int = 7) -> Model:
+def share_of_positives(positive: list[Example], unlabelled: list[Example], *, least: float = 0.5, seed: int = 7) -> float:
+    """The class prior, from confirmed positives and the unlabelled alone.
+
+    Whatever rule is looked at, the positives that it takes are a part of the unlabelled that it
+    takes, so its share of the unlabelled over its share of the positives is no less than the prior,
+    and comes close to it where the rule takes few others. The rules are thresholds on the sum, per words of
+    the text, of the cubes of the logarithms of how much more often its buckets occur among positives (cubes, as
+    few strong words tell more than many weak ones), learned on one half of each sample and counted on the
+    other; each takes at least the share ``least`` of the positives.
+    """
+    rng = np.random.default_rng(seed)
+    halves = []
+    for rows in (positive, unlabelled):
+        order = rng.permutation(len(rows))
+        halves.append(([rows[i] for i in order[::2]], [rows[i] for i in order[1::2]]))
+    (learned_p, counted_p), (learned_u, counted_u) = halves
+    if not counted_p or not counted_u:
+        return 0.0
+    seen, usual = (np.bincount(np.concatenate([x[1] for x in rows]).astype(np.int64), minlength=1 << BITS) for rows in (learned_p, learned_u))
+    weight = np.log((seen + 0.5) / (len(learned_p) + 1)) - np.log((usual + 0.5) / (len(learned_u) + 1))
+    weight[seen < 3] = 0
+    at_p, at_u = (np.sort([(weight[x[1]].clip(0) ** 3 * x[2]).sum() / (x[0] + MORE) for x in rows]) for rows in (counted_p, counted_u))
+    places = np.unique(at_p)
+    taken_p = 1 - np.searchsorted(at_p, places) / len(at_p)
+    # one text more, so that a rule that takes none of the unlabelled does not make the prior 0
+    taken_u = (len(at_u) - np.searchsorted(at_u, places) + 1) / (len(at_u) + 1)
+    return float(min(1.0, (taken_u / taken_p)[taken_p >= least].min()))
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, n_positive: int = 2000, n_unlabelled: int = 4000, seed: int = 7) -> Model:
     """Fit on a bounded sample: at most ``n_positive`` documents labelled toxic and ``n_unlabelled``
     documents of any kind, all from learning rows (crc32 of the id modulo 5 not 0).
 
-    The class prior is the toxic share of the labelled learning rows. Where documents share an id,
-    each row counts; null ids and null labels are left out of learning.
+    The class prior, unless it is given, is the toxic share of the labelled learning rows; where all of
+    these are toxic, as where only confirmed cases are labelled, it is estimated by
+    ``share_of_positives``. Where documents share an id, each row counts; null ids and null labels are left
+    out of learning.
     """
     small_batches(docs.sparkSession)
     learning = remainder(F.col("doc_id"), 5) != 0
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learning & F.col("toxic").isNotNull())
-    prior = rows.agg(F.avg("toxic")).first()[0]
-    if prior is None:
+    share = rows.agg(F.avg("toxic")).first()[0]
+    if share is None:
         return fit([], [], 0)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = (
@@ -164,7 +195,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, n_positive: int = 2000, n_unlab
         for row in part.mapInArrow(_features, "positive boolean, n_words int, buckets array<int>, counts array<int>").toLocalIterator():
             found[positive].append((row.n_words, np.asarray(row.buckets, np.int64), np.asarray(row.counts, np.int64)))
     order = lambda x: (x[0], len(x[1]), x[1].tobytes())  # noqa: E731  the order in which Spark delivers rows must not matter
-    return fit(sorted(found[True], key=order), sorted(found[False], key=order), float(prior), seed=seed)
+    positive, unlabelled = sorted(found[True], key=order), sorted(found[False], key=order)
+    if prior is None:
+        prior = float(share) if share < 1 else share_of_positives(positive, unlabelled, seed=seed)
+    return fit(positive, unlabelled, prior, seed=seed)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

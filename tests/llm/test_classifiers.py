@@ -66,6 +66,31 @@ def test_non_negative_risk_learns_from_positives_and_the_rest():
     assert not len(empty.buckets) and empty.bias < 0
 
 
+def test_labels_of_confirmed_cases_alone(spark, labels):
+    """Without clean labels the prior is estimated, and toxic documents are still found."""
+    docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    confirmed = marks.where("toxic = 1")
+    scored = toxicity.digest(toxicity.score(docs, toxicity.learn(docs, confirmed))).collect()
+    known = [(r.predicted, labels[r.doc_id].toxic) for r in scored if r.held_out and r.doc_id in labels]
+    assert np.mean([p == t for p, t in known]) >= 0.9 and np.mean([p for p, t in known if t]) >= 0.5
+    given = toxicity.learn(docs, confirmed, prior=marks.agg({"toxic": "avg"}).first()[0])
+    assert len(given.buckets)
+
+
+def test_share_of_positives():
+    rng = np.random.default_rng(1)
+
+    def text(bad):
+        at = np.unique(np.append(rng.integers(0, 500, 80), rng.integers(600, 620, 3)) if bad else rng.integers(0, 500, 80))
+        return (80, at, np.ones(len(at), np.int64))
+
+    for prior in (0.02, 0.1, 0.4):
+        unlabelled = [text(rng.random() < prior) for _ in range(3000)]
+        found = toxicity.share_of_positives([text(True) for _ in range(600)], unlabelled)
+        assert 0.6 * prior <= found <= 1.5 * prior, (prior, found)
+    assert toxicity.share_of_positives([text(True)], unlabelled) == 0.0
+
+
 def test_cross_parsing_counts_longest_phrases():
     model = language.fit({"xx": ["abcabd"], "yy": ["aaaa"]})
     fold = language.letter_folding()
