@@ -138,6 +138,55 @@ def test_groups_are_the_components_of_all_links_of_a_value(spark):
     assert {i: got.get(i, i) for i in texts} == label
 
 
+class Counting(Shelf):
+    """Counts the pairs that were compared."""
+
+    compared = 0
+
+    def put(self, name, df):
+        table = super().put(name, df)
+        if table.columns == ["a", "b", "near", "within"]:
+            self.compared += table.count()
+        return table
+
+
+@pytest.mark.parametrize("large, back", [(32, 16), (2, 1)])
+def test_texts_that_quote_one_passage_are_not_all_compared(spark, monkeypatch, large, back):
+    """Texts 60 % alike by one passage, which fail each other closely, with some groups among them: all links
+    are found, by few comparisons."""
+    monkeypatch.setattr(N, "LARGE", large, raising=False)
+    monkeypatch.setattr(N, "BACK", back, raising=False)
+    rng = random.Random(5)
+    passage, texts, label = [f"p{i}" for i in range(60)], {}, {}
+    for i in range(1, 241):
+        texts[i] = passage + [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        label[i] = i
+    # one group of 50 and ten of 3; members lack other words than their first text
+    for first, size in [(20, 50), *((k, 3) for k in range(80, 180, 10))]:
+        for i in range(first + 1, first + size):
+            texts[i] = list(texts[first])
+            for k in rng.sample(range(100), 6):
+                texts[i][k] = f"x{rng.randrange(10**6)}"
+            label[i] = first
+    words = {i: (W.words([" ".join(t)]).hashes() >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist() for i, t in texts.items()}
+    members = spark.createDataFrame([(v, i) for i in texts for v in (7, 8 + i % 2)], "value long, id long")
+    shelf = Counting(spark)
+    got = {r.id: r.class_id for r in N.groups(members, spark.createDataFrame(list(words.items()), "id long, words array<int>"), shelf).collect()}
+    assert {i: got.get(i, i) for i in texts} == label
+    assert shelf.compared <= 10 * len(texts)
+
+
+def test_all_texts_of_an_id_are_compared(spark):
+    rng = random.Random(6)
+    base = _share(rng, 100)
+    texts = [(i, base[:55] + [f"y{rng.randrange(10**6)}" for _ in range(45)]) for i in (1, 2, 2, 3)]
+    texts.append((4, texts[2][1][:95]))
+    rows = [(i, (W.words([" ".join(t)]).hashes() >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()) for i, t in texts]
+    members = spark.createDataFrame([(7, i) for i in (1, 2, 3, 4)], "value long, id long")
+    got = {r.id: r.class_id for r in N.groups(members, spark.createDataFrame(rows, "id long, words array<int>"), Shelf(spark)).collect()}
+    assert got == {2: 2, 4: 2}
+
+
 def test_components_of_chain_star_and_ring(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(30)] + [(300, 301), (301, 302), (302, 300)]
     got = {r.id: r.class_id for r in components(spark.createDataFrame(edges, "a long, b long"), Shelf(spark), "c").collect()}
