@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +15,9 @@ from docrisk.functions.values import is_exactly, kind, member, number, text_of
 __all__ = ["parse_lenient", "parse_responses", "receipt_fields", "statement_fields", "explode_checks", "violations"]
 
 
-def parse_responses(df: DataFrame, text: str = "output_text") -> DataFrame:
-    """Add ``response``: the parsed object, NULL where the text holds none."""
-    return parse_lenient(df, text, "response", objects_only=True)
+def parse_responses(df: DataFrame, text: str = "output_text", source: str | None = None) -> DataFrame:
+    """Add ``response``: the parsed object, NULL where the text holds none; ``source``: the text it was read from."""
+    return parse_lenient(df, text, "response", objects_only=True, source=source)
 
 
 def _texts(value: Column, path: str) -> Column:
@@ -194,109 +197,149 @@ def _bad_value(value: Column, spec) -> Column:
     return ~F.coalesce(ok, F.lit(False))
 
 
-def _keys(value: Column) -> Column:
-    """Keys of an object variant; NULL when it is missing or no object."""
-    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+# values become NULL at once; a plain type would be tried on each
+_KEYS_ONLY = "map<string,array<struct<x:boolean>>>"
+
+
+def _keys(value: Column, path: str = "$") -> Column:
+    """Keys of an object variant, in order; NULL when it is missing or no object."""
+    return F.map_keys(F.try_variant_get(value, path, _KEYS_ONLY))
+
 
+def _names(names) -> Column:
+    return F.array(*[F.lit(n) for n in sorted(names)])
 
-def _object_findings(value: Column, keys: Column, spec: dict, path: str) -> list[Column]:
-    """Arrays of rule names broken by the object at ``path`` (empty path: the response) itself."""
+
+def _name_findings(keys: Column, names: Column, missing: str, unexpected: str) -> Column:
+    """Rule names for the keys that lack and those that are too many; most objects have just ``names``."""
+    lacking = F.transform(F.array_except(names, keys), lambda n: F.concat(F.lit(f"missing:{missing}"), n))
+    more = F.transform(F.array_except(keys, names), lambda n: F.lit(f"unexpected:{unexpected}*"))
+    return F.when(keys != names, F.concat(lacking, more))
+
+
+def _object_findings(
+    value: Column, keys: Column, spec: dict, path: str, inside: str = "", doubts: Column | None = None
+) -> list[Column]:
+    """Arrays of rule names broken by the object at ``path`` (empty path: the response) itself, which is ``value`` or
+    its member ``inside``; values only of the names in ``doubts``, of all where that is NULL."""
     at = f"{path}." if path else ""
-    names = F.array(*[F.lit(n) for n in spec])
+    whole = member(value, inside) if inside else value
+    # in two steps: what is asked only once needed must not stand in a condition, or it is worked out for all
     found = [
-        F.when(keys.isNull() & value.isNotNull(), F.array(F.lit(f"type:{path or 'response'}"))),
-        F.transform(F.array_except(names, keys), lambda n: F.concat(F.lit(f"missing:{at}"), n)),
-        F.transform(F.array_except(keys, names), lambda n: F.lit(f"unexpected:{at or 'response.'}*")),
+        F.when(keys.isNull(), F.when(whole.isNotNull(), F.array(F.lit(f"type:{path or 'response'}")))),
+        _name_findings(keys, _names(spec), at, at or "response."),
     ]
     for name, part in spec.items():
         if not isinstance(part, dict) and part != "checks":
-            item = member(value, name)
-            found.append(F.when(item.isNotNull() & _bad_value(item, part), F.array(F.lit(f"value:{at}{name}"))))
+            item = member(value, f"{inside}.{name}" if inside else name)
+            bad = item.isNotNull() & _bad_value(item, part)
+            if doubts is not None:
+                bad = F.when(F.coalesce(F.array_contains(doubts, name), F.lit(True)), bad)
+            found.append(F.when(bad, F.array(F.lit(f"value:{at}{name}"))))
     return found
 
 
-# the types that JSON values of a rule are read as; where others may be right too, they are looked at in full
-_SHAPES = {
-    _PERCENT: "BIGINT", _COUNT: "BIGINT", "text": "STRING", "texts": "ARRAY<STRING>", "flag": "BOOLEAN",
-    "text?": "(STRING|VOID)", "number?": r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)|VOID)",
-}
+# --- what the text shows ------------------------------------------------------------------
+# Values that are right beyond doubt, as they stand in JSON text. Groups are possessive: they take no stack, however
+# long the text.
 
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TEXTS = rf"\[\s*+(?:{_TEXT}(?:\s*+,\s*+{_TEXT})*+)?+\s*+\]"
+_END = r"(?=\s*+[,}])"
+_NUMBER = rf"-?+\d++(?:\.\d++)?+(?:[eE][+-]?+\d++)?+{_END}"
+_RIGHT = {
+    _PERCENT: rf"(?:100|\d{{1,2}}+){_END}", _COUNT: rf"\d{{1,18}}+{_END}", "text": _TEXT, "texts": _TEXTS,
+    "flag": "(?:true|false)", "text?": f"(?:null|{_TEXT})", "number?": f"(?:null|{_NUMBER})",
+}
+# the opening quote of a word: none that is part of a text behind a backslash
+_OPEN, _COLON = r'"(?=\w)(?<!\\")', r"\s*+:\s*+"
 
-def _sound_object(value: Column, spec: dict) -> Column:
-    """Whether an object without objects in it is seen to be right by its shape and a typed read of its whole numbers."""
-    shape = "OBJECT<" + ", ".join(f"{n}: {_SHAPES[spec[n]]}" for n in sorted(spec)) + ">"
-    sound = F.schema_of_variant(value).rlike(f"^{shape}$")
-    bounds = {n: {_PERCENT: 100, _COUNT: 2**63 - 1}[k] for n, k in spec.items() if k in (_PERCENT, _COUNT)}
-    for name, most in bounds.items():
-        sound &= F.try_variant_get(value, f"$.{name}", "bigint").between(0, most)
-    return F.coalesce(sound, F.lit(False))
 
+def _right(part) -> str:
+    return rf'"(?:{"|".join(map(re.escape, part))})"' if isinstance(part, list) else _RIGHT[part]
 
-_CHECK_VALUES = "struct<" + ",".join(f"{n}:struct<status:string,score:bigint>" for n in dims.CHECK_NAMES) + ">"
 
+def _scalars(spec: dict) -> list[tuple[str, object]]:
+    """Names and types of all members, at any depth, that are no objects."""
+    found = []
+    for name, part in spec.items():
+        inner = _CHECK if part == "checks" else part
+        found += _scalars(inner) if isinstance(inner, dict) else [(name, inner)]
+    return found
 
-def _sound_checks(shape: Column, values: Column) -> Column:
-    """Names of the checks that are seen to be right at little cost: the shape of all checks is one text, their
-    values one typed read. Others may be right too (a score of 7.0), and are looked at in full.
 
-    A key with blanks or signs stands in backquotes in ``shape`` and could look like several; then no check
-    is taken for right by its shape.
+def _right_members(spec: dict) -> str:
+    """A pattern without groups for a member, or a whole check, that is right wherever it stands, behind its first quote."""
+    types: dict[str, set[str]] = {}
+    for name, part in _scalars(spec):
+        types.setdefault(name, set()).add(_right(part))
+    alike: dict[str, list[str]] = {}
+    for name, right in types.items():
+        if len(right) == 1:  # a name of two types is always in doubt
+            alike.setdefault(*right, []).append(name)
+    members = [(names, right) for right, names in alike.items()]
+    if "checks" in spec and all(len(types[n]) == 1 for n in _CHECK):
+        check = "|".join(r"\s*+,\s*+".join(rf'"{n}"{_COLON}{_right(_CHECK[n])}' for n in names) for names in permutations(_CHECK))
+        members.insert(0, (dims.CHECK_NAMES, rf"\{{\s*+(?:{check})\s*+\}}"))
+    return "|".join(rf'(?:{"|".join(names)})"{_COLON}{right}' for names, right in members)
+
+
+def _doubts(text: Column, spec: dict) -> Column:
+    """Names of the members of a JSON text, at any depth, that do not show in the text to be right: keys of ``spec``
+    before a value that may be wrong, and keys unknown to it. NULL where that can't be told.
+
+    A key of ``spec`` that is not among them has a right value wherever it stands, so its place and repeats need no
+    look. This holds for valid JSON: a quote that is not escaped, a word, a quote and a colon are a key there, and
+    only a key that spells a letter as ``\\u`` is not found so; texts with such a key are those that can't be told.
     """
-    shaped = F.regexp_extract_all(
-        F.when(shape.contains("`"), "").otherwise(shape), F.lit("(\\w+): OBJECT<evidence: STRING, score: BIGINT, status: STRING>"), F.lit(1)
-    )
-    valued = F.array_compact(
-        F.array(*[
-            F.when(values[n]["status"].isin(dims.CHECK_STATUSES) & values[n]["score"].between(0, 100), F.lit(n))
-            for n in dims.CHECK_NAMES
-        ])
-    )
-    return F.array_intersect(shaped, valued)
-
+    names = F.regexp_extract_all(text, F.lit(rf'{_OPEN}(?:{_right_members(spec)}|(\w++)"\s*+:)'), F.lit(1))
+    told = ~(text.contains("\\u") & text.rlike(r'\\u[^"\\]*+"\s*+:'))
+    # members that are right have no name here
+    return F.when(told, F.array_remove(names, ""))
 
-def _check_findings(checks: Column, entries: Column, sound: Column) -> list[Column]:
-    """Rules over the check map; what is wrong is spelt out for checks that are not ``sound`` only."""
-    names = F.array(*[F.lit(n) for n in dims.CHECK_NAMES])
-    keys = F.map_keys(entries)
 
+def _check_findings(checks: Column, keys: Column, doubtful: Column, entries: Column) -> list[Column]:
+    """Rules over the check map; what is wrong is spelt out for the ``doubtful`` checks only."""
     def findings(name: Column) -> Column:
         check = F.try_element_at(entries, name)
         rules = _object_findings(check, _keys(check), _CHECK, "checks.*")
         return F.flatten(F.array(*[F.coalesce(r, F.array().cast("array<string>")) for r in rules]))
 
-    doubtful = F.array_except(F.array_intersect(keys, names), F.coalesce(sound, F.array().cast("array<string>")))
     return [
-        F.when(entries.isNull() & checks.isNotNull(), F.array(F.lit("type:checks"))),
-        F.transform(F.array_except(names, keys), lambda n: F.concat(F.lit("missing:checks."), n)),
-        F.transform(F.array_except(keys, names), lambda n: F.lit("unexpected:checks.*")),
-        F.flatten(F.transform(doubtful, findings)),
+        F.when(keys.isNull(), F.when(checks.isNotNull(), F.array(F.lit("type:checks")))),
+        _name_findings(keys, _names(dims.CHECK_NAMES), "checks.", "checks."),
+        F.when(F.size(doubtful) > 0, F.flatten(F.transform(doubtful, findings))),
     ]
 
 
-def violations(df: DataFrame, contract: str, keys: list[str], response: str = "response") -> DataFrame:
-    """One row per broken contract rule: keys, rule."""
+def violations(df: DataFrame, contract: str, keys: list[str], response: str = "response", source: str | None = None) -> DataFrame:
+    """One row per broken contract rule: keys, rule.
+
+    ``source`` names the column with the text that ``response`` was read from, as ``parse_responses`` adds it. What
+    is seen there to be right is not looked at again; without it, all is looked at. The rules are the same.
+    """
     spec = CONTRACTS[contract]
     v = F.col(response)
     objects = {"": spec} | {name: part for name, part in spec.items() if isinstance(part, dict)}
-    # key lists and check maps as columns of their own, so that each is read off the variant once
-    staged = {f"_keys_{name}": _keys(member(v, name) if name else v) for name in objects}
-    checks = member(v, "checks")
+    # key lists as columns of their own, so that each is read off the variant once
+    staged = {f"_keys_{name}": _keys(v, f"$.{name}" if name else "$") for name in objects}
+    staged["_doubts"] = _doubts(F.col(source), spec) if source else F.lit(None).cast("array<string>")
+    staged = df.withColumns(staged)
     if "checks" in spec:
-        staged["_entries"] = F.try_variant_get(checks, "$", "map<string,variant>")
-        staged["_shape"] = F.schema_of_variant(checks)
-        staged["_values"] = F.try_variant_get(checks, "$", _CHECK_VALUES)
+        staged = staged.withColumn("_keys_checks", _keys(v, "$.checks"))
+        names = _names(dims.CHECK_NAMES)
+        staged = staged.withColumn("_doubtful", F.coalesce(F.array_intersect("_doubts", names), names))
+        staged = staged.withColumn("_entries", F.when(F.size("_doubtful") > 0, F.try_variant_get(v, "$.checks", "map<string,variant>")))
     none = F.array().cast("array<string>")
-    found = _object_findings(v, F.col("_keys_"), spec, "")
+    doubts = F.col("_doubts")
+    found = []
     for name, part in objects.items():
-        if name:
-            rules = _object_findings(member(v, name), F.col(f"_keys_{name}"), part, name)
-            every = F.flatten(F.array(*[F.coalesce(r, none) for r in rules]))
-            found.append(F.when(~_sound_object(member(v, name), part), every))
+        found += _object_findings(v, F.col(f"_keys_{name}"), part, name, name, doubts)
     if "checks" in spec:
-        found += _check_findings(checks, F.col("_entries"), _sound_checks(F.col("_shape"), F.col("_values")))
+        found += _check_findings(member(v, "checks"), *[F.col(c) for c in ("_keys_checks", "_doubtful", "_entries")])
     every = F.flatten(F.array(*[F.coalesce(f, none) for f in found]))
     rules = F.when(v.isNull(), F.array(F.lit("type:response"))).otherwise(every)
     # The rules are a column of their own: worked out inside the generator they would be interpreted, not compiled.
     # A plain explode would first filter on the size of the list and so work everything out twice.
-    listed = df.withColumns(staged).select(*keys, rules.alias("_rules"))
+    listed = staged.select(*keys, rules.alias("_rules"))
     return listed.select(*keys, F.explode_outer("_rules").alias("rule")).filter(F.col("rule").isNotNull())

@@ -98,8 +98,8 @@ def screen_answers(spark, sf_dir):
 
 @query
 def response_violations(spark, sf_dir):
-    parsed = responses.parse_responses(a.contract_responses(spark, sf_dir))
-    broken = responses.violations(parsed, "receipt", ["k"])
+    parsed = responses.parse_responses(a.contract_responses(spark, sf_dir), source="read")
+    broken = responses.violations(parsed, "receipt", ["k"], source="read")
     return broken.groupBy("rule").agg(F.count("*").alias("n"))
 
 
@@ -108,7 +108,7 @@ def contract_findings(spark, sf_dir):
     """What is wrong with each response, by the contract of receipts and by that of statements."""
     found = []
     for contract, answers in (("receipt", a.contract_responses(spark, sf_dir)), ("statement", a.statement_responses(spark, sf_dir))):
-        rules = responses.violations(responses.parse_responses(answers), contract, ["k"])
+        rules = responses.violations(responses.parse_responses(answers, source="read"), contract, ["k"], source="read")
         found.append(rules.select(F.lit(contract).alias("contract"), "k", "rule"))
     return found[0].unionByName(found[1])
 

@@ -208,6 +208,95 @@ def test_checks_that_look_right(spark):
     }
 
 
+def _receipt(**changed):
+    fine = {"status": "pass", "score": 0, "evidence": ""}
+    return {
+        "overallRisk": 1, "riskLabel": "LOW RISK", "confidence": 2, "summary": "s", "categories": {c: 0 for c in dims.CATEGORY_WEIGHTS},
+        "checks": {n: fine for n in dims.CHECK_NAMES} | changed, "limitations": [],
+        "amountAnalysis": {"amount": None, "subtotal": 1, "taxAmount": -1.5e3, "totalAmount": 1e30, "calculatedTotal": None, "difference": 0,
+                           "calculationConsistent": True, "evidence": ""},
+    }
+
+
+def _rules(spark, texts, contract="receipt"):
+    """What is found with the text the response was read from; without it the same must be found."""
+    df = spark.createDataFrame(list(texts.items()), "k string, output_text string")
+    with_text = responses.violations(responses.parse_responses(df, source="read"), contract, ["k"], source="read")
+    found = sorted((r.k, r.rule) for r in with_text.collect())
+    assert found == sorted((r.k, r.rule) for r in responses.violations(responses.parse_responses(df), contract, ["k"]).collect())
+    return found
+
+
+def test_wrong_checks_are_found_beside_others_of_their_name(spark):
+    first, second = dims.CHECK_NAMES[:2]
+    fine = {"status": "pass", "score": 0, "evidence": ""}
+    texts = {
+        "within": json.dumps(_receipt(**{first: fine | {"score": "7"}, second: fine | {first: fine}})),
+        "beside": json.dumps(_receipt(**{first: fine | {"status": "ok"}}) | {"summary": fine, first: fine}),
+    }
+    assert _rules(spark, texts) == [
+        ("beside", "unexpected:response.*"), ("beside", "value:checks.*.status"), ("beside", "value:summary"),
+        ("within", "unexpected:checks.*.*"), ("within", "value:checks.*.score"),
+    ]
+
+
+def test_what_the_text_shows_is_not_taken_from_texts_repeats_or_escapes(spark):
+    first = dims.CHECK_NAMES[0]
+    fine, wrong = '{"status":"pass","score":0,"evidence":""}', '{"status":"pass","score":101,"evidence":""}'
+    good = json.dumps(_receipt(), separators=(",", ":"))
+    pair = f'"{first}":{fine}'
+    assert good.count(pair) == 1
+    texts = {
+        "good": good, "spaced": json.dumps(_receipt(), indent=2), "turned": json.dumps(_receipt(), sort_keys=True), "fenced": f"```json\n{good}\n```",
+        "prose": f'"{first}": 1 {good} "{first}": 1',
+        "quoted": good.replace('"summary":"s"', '"summary":"a \\"' + first + '\\":{ \\\\"'),
+        "last wrong": good.replace(pair, f'{pair},"{first}":{wrong}'), "last right": good.replace(pair, f'"{first}":{wrong},{pair}'),
+        "spelt": good.replace(pair, f'{pair},"\\u{ord(first[0]):04x}{first[1:]}":{wrong}'),
+        "word spelt": good.replace('"LOW RISK"', '"\\u004cOW RISK"'),
+        "key ends so": good.replace(pair, f'"{first}":{wrong},"x\\"{first}":{fine}'),
+        "whole": good.replace('"overallRisk":1', '"overallRisk":1.0'), "part": good.replace('"overallRisk":1', '"overallRisk":1.5'),
+        "long": good.replace('"summary":"s"', '"summary":"' + "\\n" * 100_000 + '"').replace('"limitations":[]', '"limitations":[' + ",".join(['"\\t"'] * 50_000) + "]"),
+        "no array": f"[{good}]", "none": "7", "missing": None,
+    }
+    score = "value:checks.*.score"
+    assert _rules(spark, texts) == [
+        ("key ends so", "unexpected:checks.*"), ("key ends so", score), ("last wrong", score), ("missing", "type:response"),
+        ("no array", "type:response"), ("none", "type:response"), ("part", "value:overallRisk"), ("spelt", score),
+    ]
+
+
+def test_text_and_typed_evidence_of_statements(spark):
+    good = {
+        "overallRisk": 100, "riskLabel": "LOW RISK", "confidence": 0, "summary": "s", "categories": {c: 7 for c in dims.CATEGORY_WEIGHTS},
+        "balanceAnalysis": {k: -1.5 for k in ("openingBalance", "totalIncoming", "totalOutgoing", "calculatedClosingBalance",
+                                              "documentClosingBalance", "difference")}
+        | {"calculationConsistent": True, "evidence": "e"},
+        "transactionAnalysis": {"transactionCount": 3, "dateConsistency": "", "duplicateTransactions": ["a", "b"], "suspiciousTransactions": []},
+        "limitations": [], "evidence": ["x"],
+    }
+    texts = {
+        "good": json.dumps(good), "outer": json.dumps(good | {"evidence": "x"}),
+        "inner": json.dumps(good | {"balanceAnalysis": good["balanceAnalysis"] | {"evidence": ["x"], "totalIncoming": "1"}}),
+        "moved": json.dumps(good | {"categories": good["transactionAnalysis"], "transactionAnalysis": None}),
+    }
+    found = _rules(spark, texts, "statement")
+    assert [f for f in found if f[0] != "moved"] == [
+        ("inner", "value:balanceAnalysis.evidence"), ("inner", "value:balanceAnalysis.totalIncoming"), ("outer", "value:evidence"),
+    ]
+    assert [r for k, r in found if k == "moved"] == sorted(
+        [f"missing:categories.{c}" for c in dims.CATEGORY_WEIGHTS] + ["type:transactionAnalysis"] + ["unexpected:categories.*"] * 4
+    )
+
+
+def test_nothing_is_in_doubt_where_all_is_right(spark):
+    changed = {"right": _receipt(), "one": _receipt(**{dims.CHECK_NAMES[3]: {"status": "pass", "score": 7.5, "evidence": ""}})}
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in changed.items()], "k string, text string")
+    doubts = df.select("k", responses._doubts(F.col("text"), responses.CONTRACTS["receipt"]).alias("d"))
+    assert {r.k: [n for n in r.d if n not in ("checks", "categories", "amountAnalysis")] for r in doubts.collect()} == {
+        "right": [], "one": [dims.CHECK_NAMES[3], "score"],
+    }
+
+
 def test_screening_flow(spark):
     answer = {"overallRisk": 50, "riskLabel": "HIGH RISK", "confidence": 80, "summary": "ozet",
               "checks": {"logoConsistency": {"status": "pass", "score": 100, "evidence": ""}},
